@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-from optlake.catalog.registry import ORACLES, QUERIES
+from optlake.catalog.registry import ORACLES, QUERIES, with_views
 
 MODULES = (
     "assignments",
@@ -21,4 +21,4 @@ MODULES = (
 def load() -> tuple[dict, dict]:
     for name in MODULES:
         import_module(f"optlake.catalog.{name}")
-    return QUERIES, ORACLES
+    return QUERIES, {name: with_views(sql, 1) for name, sql in ORACLES.items()}

@@ -95,7 +95,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} registered twice")
         QUERIES[name] = lambda spark, folder: fn(Inputs(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_views(sql, 1)
+            ORACLES[name] = sql
         return fn
 
     return register
