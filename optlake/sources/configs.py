@@ -41,7 +41,7 @@ def config_rows(texts: DataFrame, dialect: str = "positions") -> DataFrame:
             *keys, F.regexp_extract(line, "^([^=]*)=(.*)$", 1).alias("symbol"),
             F.regexp_extract(line, "^([^=]*)=(.*)$", 2).alias("value"), F.lit("set").alias("kind"),
         )
-    unset = bare.rlike(unset_re)
+    unset = bare.rlike(unset_re if dialect == "values" else r"^#\s+CONFIG_[A-Za-z0-9_]+ is not set\s*$")
     if dialect == "values":
         assigned = ~bare.startswith("#") & bare.contains("=")
         return lines.where(unset | assigned).select(
