@@ -54,16 +54,16 @@ def _(v):
 
 
 view("v_installed_rows", """
-SELECT DISTINCT l.tree AS host, n.p_partkey, 'bin' || CAST(n.p_partkey AS STRING) || CASE WHEN n.p_size % 3 = 0 THEN '-dev' WHEN n.p_size % 3 = 1 THEN '' ELSE '-x' END AS binary, n.source, n.p_size FROM v_lines l JOIN v_names n ON n.p_partkey = l.l_partkey
+SELECT DISTINCT l.tree AS host, n.p_partkey, 'bin' || CAST(n.p_partkey AS STRING) || CASE WHEN n.p_size % 3 = 0 THEN '-dev' WHEN n.p_size % 3 = 1 THEN '' ELSE '-x' END AS bname, n.source, n.p_size FROM v_lines l JOIN v_names n ON n.p_partkey = l.l_partkey
 """, keep=True)
 view("v_installed_text", f"""
-SELECT host, listagg(binary || {TAB} || CASE WHEN p_size = 9 THEN '' ELSE 'required' END || {TAB} || CASE WHEN p_size > 25 THEN '' ELSE source END || {TAB} || '1.0' || {TAB} || CASE WHEN p_size = 8 THEN 'big' ELSE CAST(p_size * 20 AS STRING) END || {TAB} || CASE WHEN p_size = 7 THEN 'config-files' ELSE 'installed' END, {NL}) WITHIN GROUP (ORDER BY p_partkey) AS text FROM v_installed_rows GROUP BY host
+SELECT host, listagg(bname || {TAB} || CASE WHEN p_size = 9 THEN '' ELSE 'required' END || {TAB} || CASE WHEN p_size > 25 THEN '' ELSE source END || {TAB} || '1.0' || {TAB} || CASE WHEN p_size = 8 THEN 'big' ELSE CAST(p_size * 20 AS STRING) END || {TAB} || CASE WHEN p_size = 7 THEN 'config-files' ELSE 'installed' END, {NL}) WITHIN GROUP (ORDER BY p_partkey) AS text FROM v_installed_rows GROUP BY host
 """, f"SELECT host, '' AS text FROM v_installed_rows")
 INSTALLED = """
-inst AS (SELECT host, binary, CASE WHEN p_size > 25 THEN binary ELSE source END AS source, CASE WHEN p_size = 9 THEN 'optional' ELSE 'required' END AS priority, CAST(CASE WHEN p_size = 8 THEN 0 ELSE p_size * 20 END AS BIGINT) AS installed_kb, p_partkey, p_size FROM v_installed_rows WHERE p_size <> 7),
+inst AS (SELECT host, bname, CASE WHEN p_size > 25 THEN bname ELSE source END AS source, CASE WHEN p_size = 9 THEN 'optional' ELSE 'required' END AS priority, CAST(CASE WHEN p_size = 8 THEN 0 ELSE p_size * 20 END AS BIGINT) AS installed_kb, p_partkey, p_size FROM v_installed_rows WHERE p_size <> 7),
 best AS (SELECT p_partkey, source, p_partkey % 4 IN (1, 2) AS second FROM v_names),
-bin AS (SELECT 'bin' || p_partkey AS binary, source FROM best UNION ALL SELECT 'bin' || p_partkey || '-dev', source FROM best WHERE NOT second),
-mapped AS (SELECT i.host, i.binary, coalesce(b.source, i.source) AS source, i.installed_kb FROM inst i LEFT JOIN bin b ON b.binary = i.binary)
+bin AS (SELECT 'bin' || p_partkey AS bname, source FROM best UNION ALL SELECT 'bin' || p_partkey || '-dev', source FROM best WHERE NOT second),
+mapped AS (SELECT i.host, i.bname, coalesce(b.source, i.source) AS source, i.installed_kb FROM inst i LEFT JOIN bin b ON b.bname = i.bname)
 """
 
 
@@ -71,12 +71,12 @@ def installed(v):
     return src.installed_packages(v("installed_text"))
 
 
-@query("s30_installed_packages", f"WITH {INSTALLED} SELECT host, binary, source, priority, installed_kb FROM inst")
+@query("s30_installed_packages", f"WITH {INSTALLED} SELECT host, bname AS \"binary\", source, priority, installed_kb FROM inst")
 def _(v):
     return installed(v).drop("source_version")
 
 
-@query("j26_binary_sources", f"WITH {INSTALLED} SELECT host, binary, source, source IN (SELECT source FROM v_names) AS known FROM mapped")
+@query("j26_binary_sources", f"WITH {INSTALLED} SELECT host, bname AS \"binary\", source, source IN (SELECT source FROM v_names) AS known FROM mapped")
 def _(v):
     return p.binary_sources(installed(v), sources(v)).select("host", "binary", "source", "known")
 
@@ -103,8 +103,8 @@ def _(v):
 
 
 @query("a11_package_evidence", f"""
-WITH {INSTALLED}, d AS (SELECT source, binary, sum(installed_kb) AS kb FROM inst GROUP BY 1, 2)
-SELECT source, count(*) AS binaries, CAST(sum(kb) AS BIGINT) AS installed_kb, array_to_string(list_sort(list(binary))[1:6], ' ') AS first_six FROM d GROUP BY 1
+WITH {INSTALLED}, d AS (SELECT source, bname, sum(installed_kb) AS kb FROM inst GROUP BY 1, 2)
+SELECT source, count(*) AS binaries, CAST(sum(kb) AS BIGINT) AS installed_kb, array_to_string(list_sort(list(bname))[1:6], ' ') AS first_six FROM d GROUP BY 1
 """)
 def _(v):
     return p.package_evidence(installed(v)).withColumn("first_six", F.array_join("first_six", " "))
@@ -259,14 +259,14 @@ def _(v):
     return v.table("events").select("event_id", F.round(p.token_cost(F.concat(F.lit("model-"), "event_type"), F.col("user_id") * 10, F.col("event_id") % 500, rates, "view"), 8).alias("cost"))
 
 
-view("v_ledger", "SELECT event_id, ts AS at, event_type AS agent, CAST(user_id * 10 AS BIGINT) AS input_tokens, event_id % 500 AS output_tokens, value AS cost_usd FROM events")
+view("v_ledger", "SELECT event_id, ts AS stamp, event_type AS agent, CAST(user_id * 10 AS BIGINT) AS input_tokens, event_id % 500 AS output_tokens, value AS cost_usd FROM events")
 
 
 def ledger(v):
     """The ledger written as JSON lines with a broken line after every costly call."""
     def make():
         path = f"{shared_folder(v.spark)}/ledger-{uuid.uuid4().hex}"
-        good = v("ledger").select(F.to_json(F.struct("at", "agent", "input_tokens", "output_tokens", "cost_usd")).alias("value"), "cost_usd")
+        good = v("ledger").select(F.to_json(F.struct(F.col("stamp").alias("at"), "agent", "input_tokens", "output_tokens", "cost_usd")).alias("value"), "cost_usd")
         good.select("value").unionByName(good.where("cost_usd > 50").select(F.substring("value", 1, 20).alias("value"))).write.text(path)
         return path
 

@@ -9,8 +9,8 @@ from optlake.streaming import ledger as s
 
 
 @query("t01_windowed_cost", """
-SELECT strftime(time_bucket(INTERVAL '1 hour', at), '%Y-%m-%d %H:%M') AS started, agent, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 4) AS cost_usd
-FROM v_ledger WHERE time_bucket(INTERVAL '1 hour', at) + INTERVAL '1 hour' <= (SELECT max(at) FROM v_ledger) - INTERVAL '10 minutes' GROUP BY 1, 2
+SELECT strftime(time_bucket(INTERVAL '1 hour', stamp), '%Y-%m-%d %H:%M') AS started, agent, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 4) AS cost_usd
+FROM v_ledger WHERE time_bucket(INTERVAL '1 hour', stamp) + INTERVAL '1 hour' <= (SELECT max(stamp) FROM v_ledger) - INTERVAL '10 minutes' GROUP BY 1, 2
 """)
 def _(v):
     schema = v.table("events").schema

@@ -18,7 +18,7 @@ def _part_key(text: Column) -> Column:
         return F.concat(word, F.lit("!"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
 
     body = F.array_join(F.transform(runs, one), "")
-    return F.concat(F.regexp_replace(body, "(!0000)+$", ""), F.lit("!0000"))
+    return F.concat(F.when(body == "!0000", "").otherwise(body), F.lit("!0000"))
 
 
 def debian_key(version: Column) -> Column:

@@ -17,7 +17,7 @@ def read_texts(spark: SparkSession, path: str, key: str = "config_id") -> DataFr
 def text_lines(texts: DataFrame) -> DataFrame:
     """Numbered lines: every column of ``texts`` but ``text``, plus ``line_no, line``."""
     keys = [c for c in texts.columns if c != "text"]
-    body = F.regexp_replace("text", r"\r?\n$", "")
+    body = F.regexp_replace("text", r"\r?\n\z", "")
     return texts.select(*keys, F.posexplode(F.split(body, r"\r?\n")).alias("pos", "line")).select(
         *keys, (F.col("pos") + 1).alias("line_no"), "line"
     )
