@@ -22,14 +22,16 @@ def match_aliases(devices: DataFrame, aliases: DataFrame) -> DataFrame:
     the bus and the head cut to one of a few lengths; the pattern is tested on those pairs
     alone. A hot bus is thereby split by its heads, and equal ids are matched once.
     """
-    head = literal_head(F.col("pattern"))
+    head, tail = literal_head(F.col("pattern")), F.regexp_extract("pattern", r"[^*?\[\]]*$", 0)
     length = F.array_max(F.filter(F.array(*[F.lit(n) for n in HEAD_LENGTHS]), lambda n: n <= F.length(head)))
-    patterns = aliases.select("module", "bus", "pattern", length.alias("cut")).distinct().withColumn("key", F.expr("substr(pattern, 1, cut)"))
-    patterns = patterns.withColumn("regex", shell_regex(F.col("pattern")))
+    # each distinct pattern is tested once, however many modules share it
+    patterns = aliases.select("bus", "pattern").distinct().select("bus", "pattern", length.alias("cut"), tail.alias("tail"), shell_regex(F.col("pattern")).alias("regex"))
+    patterns = patterns.withColumn("key", F.expr("substr(pattern, 1, cut)"))
     ids = devices.select("raw", F.substring_index("raw", ":", 1).alias("bus")).distinct()
     cuts = F.filter(F.array(*[F.lit(n) for n in HEAD_LENGTHS]), lambda n: n <= F.length("raw"))
     keyed = ids.select("raw", "bus", F.explode(cuts).alias("cut")).withColumn("key", F.expr("substr(raw, 1, cut)"))
-    return keyed.join(patterns, ["bus", "cut", "key"]).where(F.expr("raw RLIKE regex")).select("raw", "module").distinct()
+    hits = keyed.join(patterns, ["bus", "cut", "key"]).where(F.expr("endswith(raw, tail) AND raw RLIKE regex")).select("raw", "pattern")
+    return hits.join(aliases.select("pattern", "module").distinct(), "pattern").select("raw", "module").distinct()
 
 
 def unresolved_aliases(devices: DataFrame, matches: DataFrame) -> DataFrame:

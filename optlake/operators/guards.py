@@ -105,14 +105,13 @@ def build_store(nodes: DataFrame, edges: DataFrame, guards: DataFrame, depth: in
             .join(counts, ["tree", "parent"])
             .withColumn("default", _verdict(F.col("op"), F.col("kids"), F.col("true_kids")))
         )
-        here = cut_lineage(here)
         steps.append(cut_lineage(kids.join(here, ["tree", "parent"])))
-        below = here.select("tree", F.col("parent").alias("node"), "default")
+        below = steps[-1].select("tree", F.col("parent").alias("node"), "default").distinct()
     named = guards.join(level.withColumnRenamed("child", "guard_id"), ["tree", "guard_id"]).withColumn(
         "node", F.when(F.col("child_level") == depth, F.col("guard_id")).otherwise(F.concat_ws("@", "guard_id", F.lit(depth)))
     )
     roots = named.join(below, ["tree", "node"]).select("tree", "guard_id", F.col("node").alias("root"), "default")
-    return GuardStore(cut_lineage(leaves), steps, cut_lineage(roots), rule)
+    return GuardStore(leaves, steps, cut_lineage(roots), rule)
 
 
 def changed_verdicts(values: DataFrame, store: GuardStore, two_state: bool = False) -> DataFrame:
@@ -329,7 +328,7 @@ def co_compilation(objects: DataFrame, hashes: DataFrame) -> DataFrame:
 def scoped_store(key: str, closure: DataFrame, edges: DataFrame, guards: DataFrame, depth: int, rule=tri_state) -> GuardStore:
     """A store in which each guard (or pair of guards) named by ``key`` is a tree of its
     own, so hypothetical assignments touch only the guard they are about."""
-    inside = closure.select(F.col(key).alias("tree"), "node_id", "op", "symbol", "want", "level").distinct()
+    inside = cut_lineage(closure.select(F.col(key).alias("tree"), "node_id", "op", "symbol", "want", "level").distinct())
     links = (
         closure.select(F.col(key).alias("scope"), F.col("tree"), F.col("node_id").alias("parent"))
         .join(edges, ["tree", "parent"])
