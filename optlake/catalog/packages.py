@@ -213,7 +213,7 @@ def _(v):
 
 
 view("v_serials", f"""
-SELECT o_orderkey AS unit, o_orderstatus AS st, o_orderpriority AS pr, o_totalprice > 250000 AS panics, CASE WHEN o_orderpriority LIKE '1%' THEN 'garbage' ELSE 'Linux version 6' END || {NL} || CASE o_orderstatus WHEN 'F' THEN 'VFS: Unable to mount root fs' WHEN 'P' THEN 'Cannot open root device' ELSE 'AUTOKERNEL_BOOT_TEST_OK' END
+SELECT o_orderkey AS unit, o_orderstatus AS st, o_orderpriority AS pr, o_totalprice > 250000 AS panics, CASE WHEN o_orderpriority LIKE '1%' THEN 'garbage' ELSE 'Linux version 6' END || {NL} || CASE o_orderstatus WHEN 'F' THEN 'VFS: Unable to mount root fs' WHEN 'P' THEN 'Cannot open root device' ELSE 'BOOT_TEST_OK' END
   || {NL} || CASE WHEN o_totalprice > 250000 THEN 'Kernel panic - not syncing' || {NL} || 'VFS: Unable to mount root fs' ELSE 'login' END AS text FROM orders
 """)
 
@@ -224,7 +224,7 @@ SELECT unit, CASE WHEN pr LIKE '1%' THEN 'no kernel banner' WHEN NOT panics THEN
 """)
 def _(v):
     t = F.col("text")
-    return v("serials").select("unit", p.serial_verdict(t, F.lit("qemu"))["reason"].alias("bare"), p.serial_verdict(t, F.lit("virtme"))["reason"].alias("guest"), p.world_verdict(t, "AUTOKERNEL_BOOT_TEST_OK")["reason"].alias("image"))
+    return v("serials").select("unit", p.serial_verdict(t, F.lit("kernel"), "BOOT_TEST_OK")["reason"].alias("bare"), p.serial_verdict(t, F.lit("guest"), "BOOT_TEST_OK")["reason"].alias("guest"), p.world_verdict(t, "BOOT_TEST_OK")["reason"].alias("image"))
 
 
 view("v_remedies", """

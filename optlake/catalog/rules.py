@@ -135,3 +135,10 @@ def _(v):
     decisions = v.sql("SELECT s_name AS source, CASE WHEN s_acctbal > 5000 THEN 'trim' ELSE 'rebuild' END AS action FROM supplier")
     bearing = v.sql("SELECT s_name AS source FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND l_discount = 0.0")
     return r.keep_needed_sources(decisions, bearing)
+
+
+@query("w10_first_evidence", """
+SELECT host, config, arg_min(source || ':' || risk, position) AS evidence, min(position) AS position FROM v_proposals GROUP BY 1, 2
+""")
+def _(v):
+    return r.first_evidence(v("proposals").withColumn("evidence", F.concat_ws(":", "source", "risk")), ["host", "config"], "evidence", "position")

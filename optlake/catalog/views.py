@@ -39,9 +39,9 @@ FROM v_lines l JOIN part p ON l.l_partkey = p.p_partkey
 # guards: g0 is constant true, the others have three literals in three shapes
 view("v_guards", "SELECT DISTINCT tree, guard_id, gnum FROM v_objects", keep=True)
 view("v_literals", """
-SELECT g.tree, g.guard_id, g.gnum, j.j, 'CONFIG_S' || CAST((g.gnum * (j.j + 1) + j.j) % 40 AS STRING) AS symbol,
-       CASE WHEN (g.gnum + j.j) % 3 = 0 THEN 'm' ELSE 'y' END AS want, (g.gnum + j.j) % 4 = 1 AS negated
-FROM v_guards g CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2) j WHERE g.gnum <> 0
+SELECT tree, guard_id, gnum, j, 'CONFIG_S' || CAST((gnum * (j + 1) + j) % 40 AS STRING) AS symbol,
+       CASE WHEN (gnum + j) % 3 = 0 THEN 'm' ELSE 'y' END AS want, (gnum + j) % 4 = 1 AS negated
+FROM (SELECT *, 0 AS j FROM v_guards UNION ALL SELECT *, 1 AS j FROM v_guards UNION ALL SELECT *, 2 AS j FROM v_guards) g WHERE gnum <> 0
 """, keep=True)
 view("v_guard_nodes", """
 SELECT DISTINCT tree, symbol || '=' || want AS node_id, 'eq' AS op, symbol, want, 0 AS level FROM v_literals

@@ -26,11 +26,13 @@ def match_aliases(devices: DataFrame, aliases: DataFrame) -> DataFrame:
     length = F.array_max(F.filter(F.array(*[F.lit(n) for n in HEAD_LENGTHS]), lambda n: n <= F.length(head)))
     # each distinct pattern is tested once, however many modules share it
     patterns = aliases.select("bus", "pattern").distinct().select("bus", "pattern", length.alias("cut"), tail.alias("tail"), shell_regex(F.col("pattern")).alias("regex"))
-    patterns = patterns.withColumn("key", F.expr("substr(pattern, 1, cut)"))
+    # plain text that must occur is looked for before the expression is run
+    longest = F.aggregate(F.split("pattern", r"\*|\?|\[[^\]]+\]"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    patterns = patterns.withColumn("key", F.expr("substr(pattern, 1, cut)")).withColumn("piece", longest)
     ids = devices.select("raw", F.substring_index("raw", ":", 1).alias("bus")).distinct()
     cuts = F.filter(F.array(*[F.lit(n) for n in HEAD_LENGTHS]), lambda n: n <= F.length("raw"))
     keyed = ids.select("raw", "bus", F.explode(cuts).alias("cut")).withColumn("key", F.expr("substr(raw, 1, cut)"))
-    hits = keyed.join(patterns, ["bus", "cut", "key"]).where(F.expr("endswith(raw, tail) AND raw RLIKE regex")).select("raw", "pattern")
+    hits = keyed.join(patterns, ["bus", "cut", "key"]).where(F.expr("endswith(raw, tail) AND contains(raw, piece) AND raw RLIKE regex")).select("raw", "pattern")
     return hits.join(aliases.select("pattern", "module").distinct(), "pattern").select("raw", "module").distinct()
 
 

@@ -172,22 +172,28 @@ def built_counts(configs: DataFrame, objects: DataFrame, changed: DataFrame, sto
     """Number of objects built per configuration (and ``group`` column of objects),
     from per-guard object counts: the pairs themselves are never made."""
     keys = ["tree"] + ([group] if group else [])
-    weight = objects.groupBy(*keys, "guard_id").agg(F.count(F.lit(1)).alias("n"))
+    weight = objects.groupBy(*keys, "guard_id").agg(F.count(F.lit(1)).alias("built"))
+    return weighted_counts(configs, weight, keys, ["built"], changed, store)
+
+
+def weighted_counts(configs: DataFrame, weight: DataFrame, keys: list[str], measures: list[str], changed: DataFrame, store: GuardStore) -> DataFrame:
+    """Sums of per-guard ``measures`` over the guards each configuration satisfies: the
+    default sum of its tree, shifted by the guards whose verdict it changes."""
     base = (
         weight.join(store.roots, ["tree", "guard_id"])
         .groupBy(*keys)
-        .agg(F.sum(F.when(F.col("default"), F.col("n")).otherwise(0)).alias("n"))
+        .agg(*[F.sum(F.when(F.col("default"), F.col(m)).otherwise(0)).alias(m) for m in measures])
     )
-    shift = changed.join(weight, ["tree", "guard_id"]).select(
-        *keys, "config_id", F.when(F.col("built"), F.col("n")).otherwise(-F.col("n")).alias("n")
+    shift = changed.join(weight.withColumnsRenamed({m: f"w_{m}" for m in measures}), ["tree", "guard_id"]).select(
+        *keys, "config_id", *[F.when(F.col("built"), F.col(f"w_{m}")).otherwise(-F.col(f"w_{m}")).alias(m) for m in measures]
     )
     return (
         configs.select("tree", "config_id")
         .join(base, "tree")
-        .select(*keys, "config_id", "n")
+        .select(*keys, "config_id", *measures)
         .unionByName(shift)
         .groupBy(*keys, "config_id")
-        .agg(F.sum("n").alias("built"))
+        .agg(*[F.sum(m).alias(m) for m in measures])
     )
 
 

@@ -81,7 +81,10 @@ def pattern_matches(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     keyed = paths.select("path").distinct().withColumn("key", F.explode(_prefixes(F.col("path")))).withColumn(
         "salt", F.when(F.col("key") == "", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).otherwise(0))
     slashes = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
-    fits = F.expr("path RLIKE regex") & (F.col("is_dir") | anywhere | (slashes == F.col("slash_count")))
+    # the longest plain piece is looked for before the expression is run
+    longest = F.aggregate(F.split("pattern", "[*?]"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    sides = sides.withColumn("piece", F.when(anywhere, "").otherwise(longest))
+    fits = F.expr("contains(path, piece) AND path RLIKE regex") & (F.col("is_dir") | anywhere | (slashes == F.col("slash_count")))
     return keyed.join(sides, ["key", "salt"]).where(fits).groupBy("path", "entry_id", "field").agg(F.max(F.when(anywhere, 0).otherwise(F.col("depth"))).alias("depth"))
 
 

@@ -196,19 +196,19 @@ def log_tail(lines: DataFrame, keys: list[str], n: int) -> DataFrame:
     return lines.where(~F.col("line").rlike(noise)).withColumn("back", back).where(F.col("back") <= n).drop("back")
 
 
-def serial_verdict(text: Column, method: Column) -> Column:
+def serial_verdict(text: Column, method: Column, sentinel: str) -> Column:
     """Struct ``ok, reason`` of a boot log, by the order of its markers."""
     # fixed values: log markers
     at = lambda s: F.instr(text, F.lit(s))
     panic, vfs, root = at("Kernel panic"), at("VFS: Unable to mount root fs"), at("Cannot open root device")
     v = lambda ok, why: F.struct(F.lit(ok).alias("ok"), F.lit(why).alias("reason"))
-    guest = F.when(at("AUTOKERNEL_BOOT_TEST_OK") > 0, v(True, "sentinel reached")).when(panic > 0, v(False, "kernel panic")).otherwise(v(False, "no sentinel"))
+    guest = F.when(at(sentinel) > 0, v(True, "sentinel reached")).when(panic > 0, v(False, "kernel panic")).otherwise(v(False, "no sentinel"))
     bare = (
         F.when(at("Linux version") == 0, v(False, "no kernel banner")).when(panic == 0, v(True, "no panic"))
         .when((vfs > 0) & (vfs < panic), v(True, "reached root mount")).when((root > 0) & (root < panic), v(True, "reached root lookup"))
         .otherwise(v(False, "panic before root"))
     )
-    return F.when(method == "virtme", guest).otherwise(bare)
+    return F.when(method == "guest", guest).otherwise(bare)
 
 
 def world_verdict(text: Column, sentinel: str) -> Column:

@@ -114,6 +114,11 @@ def load_bearing(sources: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, ranked).groupBy("host", "symbol").agg(F.min_by("reason", F.struct("rank", "reason")).alias("reason"))
 
 
+def first_evidence(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """The first value recorded for each key; later ones do not replace it."""
+    return rows.groupBy(*keys).agg(F.min_by(value, order).alias(value), F.min(order).alias(order))
+
+
 def apply_policy(proposals: DataFrame, autonomy: str, bearing: DataFrame) -> DataFrame:
     """Outcome of every proposal: blocked, annotation, auto_applied or needs_review."""
     sure = F.col("source").isin("deterministic", "microarch") & (F.col("confidence") >= 0.95)

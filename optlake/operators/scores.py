@@ -37,26 +37,22 @@ def agreement(configs: DataFrame, objects: DataFrame, physical: DataFrame, faile
     rows = rows.groupBy(*PAIR, "path").agg(F.bool_or("left").alias("left"), F.bool_or(~F.col("left")).alias("tried"))
     judged = g.verdicts_for(rows.join(known, ["tree", "path"], "left"), changed, store)
     known_here, hit, left = F.col("guard_id").isNotNull(), F.coalesce("built", F.lit(False)), F.col("left")
-    parts = []
-    for view, member in (("members", F.lit(True)), ("targets", F.coalesce(F.col("kind") == "target", F.lit(False)))):
-        universe = known_here & member
-        parts.append(
-            judged.groupBy(*PAIR).agg(
-                F.count_if(left).alias("physical"), F.count_if(left & universe & hit).alias("tp"),
-                F.count_if(left & universe & ~hit).alias("fn"), F.count_if(left & ~universe).alias("outside"),
-                F.count_if(~left & F.col("tried") & universe & hit).alias("fp_build_failed"),
-            ).withColumn("view", F.lit(view))
-        )
-        mine = objects if view == "members" else objects.where("kind = 'target'")
-        parts[-1] = (
-            configs.select(*PAIR)
-            .join(mine.groupBy("tree").agg(F.count(F.lit(1)).alias("universe")), "tree", "left")
-            .join(g.built_counts(configs, mine, changed, store).withColumnRenamed("built", "predicted"), PAIR, "left")
-            .join(parts[-1].drop("view"), PAIR, "left")
-            .na.fill(0)
-            .withColumn("view", F.lit(view))
-        )
-    both = parts[0].unionByName(parts[1]).withColumn("fp", F.col("predicted") - F.col("tp"))
+    views = {"members": known_here, "targets": known_here & (F.col("kind") == "target")}
+    sums = [
+        F.count_if(left & ok & hit if n == "tp" else left & ok & ~hit if n == "fn" else left & ~F.coalesce(ok, F.lit(False)) if n == "outside" else ~left & F.col("tried") & ok & hit).alias(f"{view}_{n}")
+        for view, ok in views.items() for n in ("tp", "fn", "outside", "fp_build_failed")
+    ]
+    rows = judged.groupBy(*PAIR).agg(F.count_if(left).alias("physical"), *sums)
+    # per-guard totals give the predicted counts of both views at once
+    n, targets = F.count(F.lit(1)), F.count_if(F.col("kind") == "target")
+    weight = objects.groupBy("tree", "guard_id").agg(n.alias("members_predicted"), targets.alias("targets_predicted"))
+    predicted = g.weighted_counts(configs, weight, ["tree"], ["members_predicted", "targets_predicted"], changed, store)
+    universe = objects.groupBy("tree").agg(n.alias("members_universe"), targets.alias("targets_universe"))
+    wide = configs.select(*PAIR).join(universe, "tree", "left").join(predicted, PAIR, "left").join(rows, PAIR, "left").na.fill(0)
+    fields = ("universe", "predicted", "tp", "fn", "outside", "fp_build_failed")
+    stacked = ", ".join(f"'{view}', " + ", ".join(f"{view}_{f}" for f in fields) for view in views)
+    tall = wide.select(*PAIR, "physical", F.expr(f"stack(2, {stacked}) AS (view, {', '.join(fields)})"))
+    both = tall.withColumn("fp", F.col("predicted") - F.col("tp"))
     return both.select(
         *PAIR, "view", "universe", "predicted", "physical", "tp", "fp", "fn", "outside", "fp_build_failed",
         percent(F.col("tp"), F.col("predicted")).alias("precision_pct"),
@@ -187,8 +183,8 @@ def run_statistics(runs: DataFrame) -> DataFrame:
 
 def ab_verdict(stats: DataFrame, base: str) -> DataFrame:
     """Every other arm against the base arm: percent saved, PASS from 10% on."""
-    ref = stats.where(F.col("arm") == base).select(F.col("median").alias("base"))
-    return stats.where(F.col("arm") != base).join(ref).select(
+    ref = stats.where(F.col("arm") == base).select(F.col("arm").alias("against"), F.col("median").alias("base"))
+    return stats.where(F.col("arm") != base).withColumn("against", F.lit(base)).join(ref, "against").select(
         "arm", F.round((F.col("base") - F.col("median")) / F.col("base") * 100, 1).alias("saved_pct"),
         F.when(F.col("median") <= 0.9 * F.col("base"), "PASS").otherwise("short of -10%").alias("verdict"),
     )
@@ -198,9 +194,9 @@ def campaign(arms: DataFrame, runs: DataFrame, base: str) -> DataFrame:
     """Each arm's saving against the baseline median, judged by the noise floor: half
     the baseline's range, at least 12 ms. Arms without runs failed to boot."""
     stats = run_statistics(runs).select("arm", "median", "min", "max")
-    ref = stats.where(F.col("arm") == base).select(F.col("median").alias("base"), F.greatest(F.lit(12.0), (F.col("max") - F.col("min")) / 2).alias("floor"))
+    ref = stats.where(F.col("arm") == base).select(F.col("arm").alias("against"), F.col("median").alias("base"), F.greatest(F.lit(12.0), (F.col("max") - F.col("min")) / 2).alias("floor"))
     saved = F.col("base") - F.col("median")
-    return arms.where(F.col("arm") != base).join(stats, "arm", "left").join(ref).select(
+    return arms.where(F.col("arm") != base).join(stats, "arm", "left").withColumn("against", F.lit(base)).join(ref, "against").select(
         "arm", F.round(saved, 6).alias("saved"),
         F.when(F.col("median").isNull(), "BOOT-FAIL").when(saved >= F.col("floor"), "WIN").when(saved <= -F.col("floor"), "regress").otherwise("~noise").alias("verdict"),
     )
