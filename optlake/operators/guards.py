@@ -94,18 +94,14 @@ def build_store(nodes: DataFrame, edges: DataFrame, guards: DataFrame, depth: in
     steps = []
     for lvl in range(1, depth + 1):
         kids = lifted.where(F.col("level") == lvl).select("tree", "parent", F.col("child").alias("node"))
-        counts = (
-            kids.join(below, ["tree", "node"])
-            .groupBy("tree", "parent")
-            .agg(F.count(F.lit(1)).alias("kids"), F.count_if("default").alias("true_kids"))
+        # a formula's fan-in bounds each window
+        mine = Window.partitionBy("tree", "parent")
+        counted = kids.join(below, ["tree", "node"]).select(
+            "tree", "node", "parent", F.count(F.lit(1)).over(mine).alias("kids"), F.count_if("default").over(mine).alias("true_kids")
         )
-        here = (
-            inner.where(F.col("level") == lvl)
-            .select("tree", F.col("node_id").alias("parent"), "op")
-            .join(counts, ["tree", "parent"])
-            .withColumn("default", _verdict(F.col("op"), F.col("kids"), F.col("true_kids")))
-        )
-        steps.append(cut_lineage(kids.join(here, ["tree", "parent"])))
+        ops = inner.where(F.col("level") == lvl).select("tree", F.col("node_id").alias("parent"), "op")
+        step = counted.join(ops, ["tree", "parent"]).withColumn("default", _verdict(F.col("op"), F.col("kids"), F.col("true_kids")))
+        steps.append(cut_lineage(step))
         below = steps[-1].select("tree", F.col("parent").alias("node"), "default").distinct()
     named = guards.join(level.withColumnRenamed("child", "guard_id"), ["tree", "guard_id"]).withColumn(
         "node", F.when(F.col("child_level") == depth, F.col("guard_id")).otherwise(F.concat_ws("@", "guard_id", F.lit(depth)))

@@ -155,3 +155,23 @@ def test_directory_conjunction(spark):
     c = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "tree long, config_id long")
     built = {(r.config_id, r.path) for r in g.built_objects(c, o, g.changed_verdicts(v, store), store).collect()}
     assert built == {(1, "top.o"), (2, "top.o"), (2, "fs/ext2/x.o")}
+
+
+def test_negative_cover(spark):
+    rng = random.Random(21)
+    holds = {(t, c): {f"g{i}" for i in range(8) if rng.random() < 0.8} for t in range(4) for c in range(5)}
+    weight = {(t, f"g{i}"): rng.randint(1, 3) for t in range(4) for i in range(8)}
+    h = spark.createDataFrame([(t, c, x) for (t, c), gs in holds.items() for x in gs], "tree long, config_id long, guard_id string")
+    w = spark.createDataFrame([(t, x, n) for (t, x), n in weight.items()], "tree long, guard_id string, n long")
+    configs = spark.createDataFrame(list(holds), "tree long, config_id long")
+    picks = covers.greedy_cover(h, w)
+    chosen = {}
+    for r in picks.collect():
+        chosen.setdefault(r.tree, set()).add(r.config_id)
+    want = set()
+    for t in range(4):
+        present = set.intersection(*[holds[t, c] for c in chosen[t]])
+        want |= {(t, c, x) for c in range(5) for x in present - holds[t, c]}
+    off = covers.negative_holds(picks, h, w, configs)
+    assert {(r.tree, r.config_id, r.guard_id) for r in off.collect()} == want
+    assert all(r.gain > 0 for r in covers.greedy_cover(off, w).collect())

@@ -135,3 +135,19 @@ def test_override_merge_reasons(spark):
     df = spark.createDataFrame(rows, "source string, position long, strip_flags array<string>, add_flags array<string>, compiler string, use_stock boolean, reason string")
     r = pk.merge_overrides(df).first()
     assert (r.strip_flags, r.add_flags, r.compiler, r.use_stock, r.reason) == (["-a", "-b"], ["-x"], "gcc", True, "one + two + two")
+
+
+def test_world_plan(spark):
+    from optlake.plans.world import plan_world
+
+    sources = spark.createDataFrame([
+        ("gcc-14", "14", ["gcc", "libgcc"], ["libc"]), ("glibc", "2.40", ["libc"], ["gcc"]), ("zlib", "1.3", ["zlib1g"], ["libc", "nothere"]), ("app", "1", ["app", "app-x"], ["zlib1g", "app-x"]), ("alone", "1", ["al"], []),
+    ], "source string, version string, binaries array<string>, build_depends array<string>")
+    installed = spark.createDataFrame([("h", "gcc", "old-gcc", 900), ("h", "libc", "glibc", 900), ("h", "zlib1g", "zlib", 100), ("h", "app", "app", 500), ("h", "app-x", "app", 500), ("h", "stray", "gone", 5)], "host string, binary string, source string, installed_kb long")
+    stock = spark.createDataFrame([("glibc", True)], "source string, use_stock boolean")
+    got = {r.source: r for r in plan_world(installed, sources, stock).collect()}
+    assert set(got) == {"gcc-14", "glibc", "zlib", "app"}
+    waves, cycle = waves_by_hand({"gcc-14": {"glibc"}, "glibc": {"gcc-14"}, "zlib": {"glibc"}, "app": {"zlib"}})
+    assert {s: r.wave for s, r in got.items()} == waves and {s for s, r in got.items() if r.in_cycle} == cycle
+    assert {s: r.cost for s, r in got.items()} == {"gcc-14": "monster", "glibc": "heavy", "zlib": "tiny", "app": "normal"}
+    assert [got["glibc"].use_stock, got["app"].use_stock, got["app"].binaries, got["app"].deps] == [True, False, 2, 1]
