@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from optlake.llm.common import stored
 
@@ -70,8 +71,7 @@ def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
                 at[same] = first + np.searchsorted(ties[first : high[same][0]], tie[same], "right")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=[*batch.schema.names, "range"])
 
-    kind = rows.schema.add("range", "integer")
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("range", T.IntegerType())]))
 
 
 def splitters(rows: DataFrame, ranges: int, picks: int, seed: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
