@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optlake.llm import mixing, sharding
+from optlake.llm import mixing, sharding, simhash
 from optlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, folder, "documents"))
 
 
+@query("op3_simhash_near_duplicates")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document; fingerprints link at 4 bits or fewer."""
+    return simhash.near_duplicates(table(spark, folder, "documents"), radius=4, width=4)
+
+
 @query("op5_shard_by_splitters")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard and slot in 8 shards of near equal bytes."""
