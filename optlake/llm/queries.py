@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optlake.llm import mixing, sharding, simhash
+from optlake.llm import decontaminate, mixing, sharding, simhash
 from optlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,38 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), radius=4, width=4)
 
 
+LEAK_SQL = r"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS n, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+patterns AS (
+  SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, least(len(w), 10) AS m, array_to_string(w[i : i + 9], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT m FROM patterns),
+spots AS (
+  SELECT n, i, m, array_to_string(w[i : i + m - 1], ' ') AS p
+  FROM (SELECT n, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc_words, lengths WHERE len(w) >= m)),
+hits AS (SELECT n, i, s.m, item FROM spots s JOIN patterns p ON s.m = p.m AND s.p = p.p),
+covered AS (
+  SELECT n, count(DISTINCT x)::BIGINT AS n_hit FROM (SELECT n, unnest(range(i, i + m)) AS x FROM (SELECT DISTINCT n, i, m FROM hits)) GROUP BY n),
+named AS (
+  SELECT n, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT n, item FROM hits) GROUP BY n)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc_words LEFT JOIN covered USING (n) LEFT JOIN named USING (n)
+"""
+
+
+@query("op4_benchmark_contamination", LEAK_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside windows of ten benchmark words, and their items."""
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), width=10)
+
+
 @query("op5_shard_by_splitters")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard and slot in 8 shards of near equal bytes."""
