@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optlake.llm import decontaminate, mixing, sharding, simhash
+from optlake.llm import decontaminate, mixing, sharding, simhash, tokens, urls
 from optlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,45 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard and slot in 8 shards of near equal bytes."""
     return sharding.shard_sizes(table(spark, folder, "documents"), shards=8)
+
+
+#: (host, path, verdict), as the query's rules are given.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+URL_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parsed),
+rules(host, path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+  SELECT s.page_id, s.host, s.path, max_by(r.host || r.path, length(r.host) * 1000 + length(r.path)) AS rule,
+         max_by(r.verdict, length(r.host) * 1000 + length(r.path)) AS verdict
+  FROM (SELECT DISTINCT * FROM split) s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+  GROUP BY ALL)
+SELECT s.page_id, s.host, s.path, rule, coalesce(verdict, 'allow') AS verdict
+FROM split s LEFT JOIN fits f ON s.page_id IS NOT DISTINCT FROM f.page_id AND s.host = f.host AND s.path = f.path
+"""
+
+
+@query("op7_url_filter", URL_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, winning rule and verdict of every page's url."""
+    return urls.judge_urls(table(spark, folder, "pages"), URL_RULES, default="allow")
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document under the public 50k byte-level vocabulary."""
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
