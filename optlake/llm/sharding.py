@@ -94,7 +94,7 @@ def splitters(rows: DataFrame, ranges: int, picks: int, seed: int) -> tuple[list
         extent = [f(c).alias(f"{f.__name__}_{c}") for c in ("key", "tie") for f in (F.min, F.max)]
         counted = sorted(map(tuple, ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *extent).collect()))
         over = {r[0]: r[1] for r in counted if r[1] > 1.5 * fair and (r[3] != r[4] or r[5] != r[6])}
-        rate *= 4
+        rate *= 16
         found: dict[int, list] = {}
         for r in sample(ranged.where(F.col("range").isin(list(over))), rate, "range") if over else []:
             found.setdefault(r["range"], []).append(r)
