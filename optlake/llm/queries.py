@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optlake.llm import decontaminate, mixing, sharding, simhash, tokens, urls
+from optlake.llm import decontaminate, mixing, rules, sharding, simhash, tokens, urls
 from optlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain counts of every document, its log-likelihood ratio, and whether it is kept."""
+    return rules.judge_quality(table(spark, folder, "documents"))
