@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optlake.llm import decontaminate, mixing, rules, sharding, simhash, tokens, urls
+from optlake.llm import decontaminate, mixing, quality, rules, sharding, simhash, tokens, urls
 from optlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, folder, "documents"))
 
 
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document for quality, learnt from labels outside the held-out third."""
+    return quality.classify_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op3_simhash_near_duplicates")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document; fingerprints link at 4 bits or fewer."""
