@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optlake.llm import decontaminate, mixing, quality, rules, sharding, simhash, tokens, urls
+from optlake.llm import decontaminate, mixing, quality, rules, sharding, simhash, tokens, toxicity, urls
 from optlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Plain counts of every document, its log-likelihood ratio, and whether it is kept."""
     return rules.judge_quality(table(spark, folder, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document for toxicity, learnt from labels outside the held-out fifth."""
+    return toxicity.classify_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
