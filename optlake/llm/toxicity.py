@@ -2,14 +2,15 @@
 
 Voters. Five word lists, three patterns and eight lists of word stems look at a text and
 fire or don't. The stems are mined from labelled rows outside the held-out fold: prefixes
-that stand in toxic and hardly in clean texts, taken greedily while they cover toxic texts
-not covered yet. Mining uses at most ``sample`` labelled texts of each class, a documented
+that begin one or several words of toxic and hardly of clean texts, taken greedily while
+they cover toxic texts not covered yet. Mining uses at most ``sample`` labelled texts of each class, a documented
 bound; everything after it covers all documents.
 
 Label model. One pass over the texts writes each document's votes and features. Documents
 are counted by vote pattern (at most 2^16 of them) and training label. Expectation
 maximisation over these counts, with the labelled ones held at their class, gives each
-voter's rate of firing in each class; the correlations of the voters within the classes
+voter's rate of firing in each class. A voter that doesn't fire abstains; that none fires
+is a vote of its own. The correlations of the voters within the classes
 then damp votes that say the same thing twice, and the prior is set so that the expected
 number of toxic documents stays.
 
@@ -24,6 +25,7 @@ alone; repeated rows give repeated rows; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from optlake.llm.quality import mean_labels
 WORDS = (
     "dumb fool foolish idiot idiotic imbecile moron moronic stupid stupidity",
     "failure loser nobody pathetic useless worthless",
-    "disgusting filth filthy garbage scum trash vermin vile",
+    "disgusting filth filthy garbage scum trash vermin",
     "clown coward creep freak jerk joke pig",
     "abschaum depp dumm idioten trottel widerlich crétin dégoûtant imbécile ordure basura estúpido estúpida idiota imbécil asqueroso",
 )
@@ -48,15 +50,17 @@ PATTERNS = (
 )
 LISTS = 8
 VOTERS = len(WORDS) + len(PATTERNS) + LISTS
-SHORTEST, LONGEST = 3, 10
+SHORTEST, LONGEST, TIMES = 3, 10, 4
 
 
 def words_in(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower())
 
 
-def mined_stems(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, most: int = 64) -> list[str]:
-    """Word stems of toxic texts, the most covering first, from (label_id, label) rows."""
+def mined_stems(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, most: int = 64, cost: float = 2.0) -> list[tuple[str, int]]:
+    """(stem, k) signs of toxic texts, the most covering first, from (label_id, label)
+    rows: a sign is seen in a text where k words begin with the stem. Signs are taken while
+    they add toxic texts that outweigh ``cost`` times the clean texts they add."""
     order = F.xxhash64("label_id")
     chosen = labels.where("label = 1").orderBy(order, "label_id").limit(sample).unionAll(labels.where("label = 0").orderBy(order, "label_id").limit(sample))
     # bounded: two samples of ids
@@ -64,68 +68,79 @@ def mined_stems(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, te
 
     def prefixes(batches):
         for batch in batches:
-            ids, labels_, found = [], [], []
+            stems, times, labels_, ids = [], [], [], []
             for text, label, i in zip(*(c.to_pylist() for c in batch.columns)):
-                stems = {w[:n] for w in set(words_in(text or "")) for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
-                ids += [i] * len(stems)
-                labels_ += [label] * len(stems)
-                found += stems
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(labels_, pa.int32()), pa.array(ids, batch.column(2).type)], names=["stem", "label", "id"])
-
-    seen = texts.mapInArrow(prefixes, f"stem string, label int, id {dict(texts.dtypes)['id']}")
-    counts = seen.groupBy("stem").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-    telling = counts.where("toxic >= 5 and n - toxic <= 0.02 * toxic").orderBy(F.desc("toxic"), "stem").limit(2000).select("stem")
-    # bounded: at most 2,000 stems
-    rows = seen.where("label = 1").join(F.broadcast(stored(telling)), "stem").groupBy("stem").agg(F.collect_set("id").alias("ids")).collect()
-    covers = {r["stem"]: set(r["ids"]) for r in rows}
-    left, picked = set().union(*covers.values()) if covers else set(), []
-    while left and len(picked) < most:
-        best = max(covers, key=lambda s: (len(covers[s] & left), len(s), s))
-        gain = covers[best] & left
-        if len(gain) < 5:
+                tally = Counter(w[:n] for w in words_in(text or "") for n in range(SHORTEST, min(len(w), LONGEST) + 1))
+                stems += tally.keys()
+                times += [min(n, TIMES) for n in tally.values()]
+                labels_ += [label] * len(tally)
+                ids += [i] * len(tally)
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(times, pa.int32()), pa.array(labels_, pa.int32()), pa.array(ids, batch.column(2).type)], names=["stem", "times", "label", "id"])
+
+    seen = texts.mapInArrow(prefixes, f"stem string, times int, label int, id {dict(texts.dtypes)['id']}")
+    toxic, n = F.sum("label").alias("toxic"), F.count("*").alias("n")
+    counts = seen.groupBy("stem", "times").agg(toxic, n)
+    each = counts.select("stem", "toxic", "n", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).groupBy("stem", "k").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    gain = F.col("toxic") - cost * (F.col("n") - F.col("toxic"))
+    telling = each.where((F.col("toxic") >= 5) & (gain > 0)).orderBy(gain.desc(), "stem", "k").limit(4000).collect()
+    alike: dict = {}
+    for r in telling:
+        key = (r["k"], r["toxic"], r["n"])
+        longer = [t for t in alike.get(key, ()) if not r["stem"].startswith(t) and not t.startswith(r["stem"])]
+        alike[key] = longer + [max([r["stem"], *(t for t in alike.get(key, ()) if t not in longer)], key=len)]
+    signs = [(r["stem"], r["k"]) for r in telling if r["stem"] in alike[(r["k"], r["toxic"], r["n"])]][:400]
+    # bounded: at most 400 signs of the sampled texts
+    wanted = docs.sparkSession.createDataFrame(signs, "stem string, k int")
+    rows = seen.join(F.broadcast(wanted), "stem").where("times >= k").groupBy("stem", "k").agg(F.collect_set(F.when(F.col("label") == 1, F.col("id"))).alias("toxic"), F.collect_set(F.when(F.col("label") == 0, F.col("id"))).alias("clean")).collect()
+    covers = {(r["stem"], r["k"]): (set(r["toxic"]), set(r["clean"])) for r in rows}
+    got, spoilt, picked = set(), set(), []
+
+    def worth(sign):
+        return len(covers[sign][0] - got) - cost * len(covers[sign][1] - spoilt)
+
+    while covers and len(picked) < most:
+        best = max(covers, key=lambda s: (worth(s), -s[1], len(s[0]), s[0]))
+        if worth(best) < 3:
             break
-        # of stems that cover the same, the longest is the most specific
         picked.append(best)
-        left -= gain
+        got |= covers[best][0]
+        spoilt |= covers[best][1]
     return picked
 
 
-def voter_tables(stems: list[str]) -> tuple[dict[str, int], dict[str, int]]:
-    """Voters of whole words and of stems."""
-    words = {w: k for k, line in enumerate(WORDS) for w in line.split()}
-    return words, {s: len(WORDS) + len(PATTERNS) + i % LISTS for i, s in enumerate(stems)}
-
-
 class Features:
     """Votes and features of a text."""
 
-    def __init__(self, stems: list[str]):
-        self.words, self.stems = voter_tables(stems)
-        self.lengths = sorted({len(s) for s in self.stems})
+    def __init__(self, signs: list[tuple[str, int]]):
+        self.words = {w: k for k, line in enumerate(WORDS) for w in line.split()}
+        self.signs: dict[str, list[tuple[int, int]]] = {}
+        for i, (stem, k) in enumerate(signs):
+            self.signs.setdefault(stem, []).append((k, len(WORDS) + len(PATTERNS) + i % LISTS))
+        self.lengths = sorted({len(s) for s in self.signs})
         self.patterns = [re.compile(p) for p in PATTERNS]
 
     def __call__(self, text: str) -> tuple[int, list[float]]:
-        counts, words = [0] * VOTERS, words_in(text)
-        hits = distinct = 0
-        tally: dict[str, int] = {}
-        for w in words:
-            tally[w] = tally.get(w, 0) + 1
-        for w, n in tally.items():
-            told = {self.words[w]} if w in self.words else set()
-            told.update(self.stems[w[:k]] for k in self.lengths if w[:k] in self.stems)
-            if told:
-                hits, distinct = hits + n, distinct + 1
-                for v in told:
-                    counts[v] += n
         low = text.lower()
+        tally = Counter(re.findall(r"\w+", low))
+        counts, stems = [0] * VOTERS, Counter()
+        for w, n in tally.items():
+            if w in self.words:
+                counts[self.words[w]] += n
+            for k in self.lengths:
+                if w[:k] in self.signs and len(w) >= k:
+                    stems[w[:k]] += n
+        for stem, n in stems.items():
+            for k, voter in self.signs[stem]:
+                if n >= k:
+                    counts[voter] += n
         for k, pattern in enumerate(self.patterns):
             counts[len(WORDS) + k] = sum(1 for _ in pattern.finditer(low))
         mask = sum(1 << v for v, n in enumerate(counts) if n)
-        n = len(words)
-        return mask, [float(n > 0) for n in counts] + [np.log1p(hits), np.log1p(distinct), float(hits > 0), 10 * hits / (n + 20), np.log1p(n) / 5]
+        words, hits, fired = tally.total(), sum(counts), bin(mask).count("1")
+        return mask, [float(n > 0) for n in counts] + [np.log1p(hits), np.log1p(fired), float(hits > 0), 10 * hits / (words + 20), np.log1p(words) / 5]
 
 
-def scored_rows(docs: DataFrame, stems: list[str], id_col: str, text_col: str) -> DataFrame:
+def scored_rows(docs: DataFrame, stems: list[tuple[str, int]], id_col: str, text_col: str) -> DataFrame:
     """(doc_id, mask, x) of every document."""
 
     def run(batches):
@@ -148,23 +163,24 @@ class LabelModel:
         for m, label, k in counted:
             n[at[m], 2 if label is None else label] += k
         votes = (np.array(masks, np.int64)[:, None] >> np.arange(VOTERS) & 1).astype(float).reshape(len(masks), VOTERS)
+        votes = np.hstack([votes, ~votes.any(1, keepdims=True)])
         told = n[:, :2].sum(0)
-        p = np.where(votes.any(1), 0.9, 0.02) if told.min(initial=0) == 0 else (n[:, 1] + 0.5 * told[1] / told.sum()) / (n[:, :2].sum(1) + 0.5)
+        p = np.where(votes[:, -1] == 0, 0.9, 0.02) if told.min(initial=0) == 0 else (n[:, 1] + 0.5 * told[1] / told.sum()) / (n[:, :2].sum(1) + 0.5)
         for _ in range(steps):
             one, zero = n[:, 1] + n[:, 2] * p, n[:, 0] + n[:, 2] * (1 - p)
             self.prior = (one.sum() + 1) / (one.sum() + zero.sum() + 2)
             self.rates = np.array([(zero @ votes + 0.05) / (zero.sum() + 1), (one @ votes + 0.05) / (one.sum() + 1)]).clip(1e-6, 1 - 1e-6)
-            evidence = votes * np.log(self.rates[1] / self.rates[0]) + (1 - votes) * np.log((1 - self.rates[1]) / (1 - self.rates[0]))
+            evidence = votes * np.log(self.rates[1] / self.rates[0])
             p = 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + evidence.sum(1), -40, 40)))
         one, zero = n[:, 1] + n[:, 2] * p, n[:, 0] + n[:, 2] * (1 - p)
-        together = np.zeros((VOTERS, VOTERS))
+        together = np.zeros((VOTERS + 1, VOTERS + 1))
         for rate, weight in zip(self.rates, (zero, one)):
             apart = votes - rate
             cov = (apart * weight[:, None]).T @ apart / max(weight.sum(), 1)
             spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             together += cov / np.outer(spread, spread) / 2
         self.correlations = together
-        self.damping = 1 / (1 + np.abs(together - np.diag(np.diag(together))).sum(1))
+        self.damping = 1 / (1 + np.maximum(together - np.diag(np.diag(together)), 0).sum(1))
         logit, expected = evidence @ self.damping, one.sum()
         low, high = -60.0, 60.0
         for _ in range(80):
@@ -206,14 +222,14 @@ def logistic(rows: DataFrame, posterior: dict[int, float], width: int, steps: in
 
 
 class ToxicityModel:
-    def __init__(self, stems: list[str], weights: np.ndarray):
+    def __init__(self, stems: list[tuple[str, int]], weights: np.ndarray):
         self.stems, self.weights = stems, weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 10_000, id_col="doc_id", text_col="text", label_col="toxic") -> tuple[ToxicityModel, DataFrame]:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 4_000, id_col="doc_id", text_col="text", label_col="toxic") -> tuple[ToxicityModel, DataFrame]:
     """The model, and the (doc_id, held_out, mask, x) rows it was made from."""
     known = mean_labels(labels.where(bucket_of(F.col("doc_id"), folds) != held), label_col)
     stems = mined_stems(docs, known, sample, id_col, text_col)
