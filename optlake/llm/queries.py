@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optlake.llm import decontaminate, mixing, quality, rules, sharding, simhash, tokens, toxicity, urls
+from optlake.llm import decontaminate, lines, mixing, quality, rules, sharding, simhash, tokens, toxicity, urls
 from optlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_sizes(table(spark, folder, "documents"), shards=8)
 
 
+@query("op6_line_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every line of every document, and whether it is the one that stays."""
+    return lines.mark_lines(table(spark, folder, "documents"))
+
+
 #: (host, path, verdict), as the query's rules are given.
 URL_RULES = [
     ("org", "/", "allow"),
