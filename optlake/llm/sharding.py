@@ -44,13 +44,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, extra=()) -> DataFrame:
 
 
 def _boundaries(rows: list, ranges: int) -> list[tuple[int, int]]:
-    """Quantile boundaries of (key, tie, weight) rows; between two texts where possible."""
+    """Quantile boundaries of (key, tie, weight) rows; between two texts where possible,
+    and on both sides of a row that fills half a range by itself."""
     rows = sorted((r["key"], r["tie"], r["weight"]) for r in rows)
-    total, upto, cuts = sum(r[2] for r in rows), 0.0, []
+    total, upto, cuts, heavy = sum(r[2] for r in rows), 0.0, [], False
     for key, tie, weight in rows:
-        if int(upto * ranges / total) != int((upto + weight) * ranges / total) or not cuts:
+        crosses = int(upto * ranges / total) != int((upto + weight) * ranges / total)
+        if crosses or heavy or not cuts:
             cuts.append((key, tie))
-        upto += weight
+        upto, heavy = upto + weight, 2 * weight * ranges >= total
     texts = {}
     for key, tie in cuts:
         texts.setdefault(key, []).append(tie)
