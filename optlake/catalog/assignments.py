@@ -286,7 +286,7 @@ req AS (SELECT config_id, tree, guard_id, CASE WHEN gnum = 0 THEN TRUE WHEN gnum
 
 
 def requirements_met(v):
-    store = v.once("requirement store", lambda: g.build_store(v("req_nodes"), v("req_edges"), v("guards").select("tree", "guard_id"), 3, a.requirement_leaf))
+    store = v.once("requirement store", lambda: g.build_store(v("req_nodes"), v("req_edges"), v("guards").select("tree", "guard_id"), a.requirement_leaf))
     return g.guard_verdicts_on(v("configs"), g.changed_verdicts(v("config_values"), store), store)
 
 

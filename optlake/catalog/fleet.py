@@ -92,7 +92,7 @@ view("v_link_text", "SELECT host, '[' || text || ']' AS text FROM v_link_inner")
 SELECT host, 'd' || dev AS name, NULL AS fstype, 'disk' AS type FROM v_devices UNION ALL SELECT host, 'p' || dev, 'ext4', 'part' FROM v_devices UNION ALL SELECT host, 'md0', NULL, 'raid' FROM v_devices WHERE st = 'F'
 """)
 def _(v):
-    return h.block_devices(v("disk_text"), 4)
+    return h.block_devices(v("disk_text"))
 
 
 @query("s21_network_links", "SELECT host, CASE WHEN st = 'P' THEN CAST(dev AS VARCHAR) ELSE 'eth' || dev END AS name, CASE WHEN st = 'O' THEN 'tun' END AS driver, CASE WHEN st = 'F' THEN 'UP' ELSE 'DOWN' END AS operstate, st = 'F' AS is_active FROM v_devices")

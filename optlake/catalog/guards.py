@@ -6,13 +6,10 @@ from optlake.catalog import views  # noqa: F401
 from optlake.catalog.registry import query, view
 from optlake.operators import guards as g
 
-DEPTH = 3
-
-
 def store_of(v):
     def make():
         guards = v("guards").select("tree", "guard_id")
-        return g.build_store(v("guard_nodes"), v("guard_edges"), guards, DEPTH)
+        return g.build_store(v("guard_nodes"), v("guard_edges"), guards)
 
     return v.once("guard store", make)
 
@@ -39,7 +36,7 @@ def _(v):
     nodes = leaves.selectExpr("tree", "concat_ws('=', symbol, want) AS node_id", "'eq' AS op", "symbol", "want", "0 AS level")
     edges = v.spark.createDataFrame([], "tree long, parent string, child string")
     guards = nodes.selectExpr("tree", "node_id AS guard_id")
-    store = g.build_store(nodes, edges, guards, 0, g.literal)
+    store = g.build_store(nodes, edges, guards, g.literal)
     on = g.changed_verdicts(v("config_values"), store).where("built")
     return on.selectExpr("tree", "config_id", "split(guard_id, '=')[0] AS symbol", "CASE WHEN guard_id LIKE '%=%' THEN split(guard_id, '=')[1] END AS want")
 
@@ -56,16 +53,17 @@ JOIN v_objects o ON o.tree = l.tree AND o.part = l.l_partkey
 
 
 @query("g02_directory_conjunction", """
+WITH vd AS MATERIALIZED (SELECT config_id, guard_id, built FROM v_verdicts WHERE config_id IN (SELECT config_id FROM v_asks))
 SELECT a.tree, a.config_id, a.path, d.built AND coalesce(d1.built, TRUE) AND coalesce(d2.built, TRUE) AS built
-FROM v_asks a JOIN v_verdicts d ON d.config_id = a.config_id AND d.guard_id = a.guard_id
+FROM v_asks a JOIN vd d ON d.config_id = a.config_id AND d.guard_id = a.guard_id
 LEFT JOIN v_dirs x ON x.tree = a.tree AND x.dir = regexp_extract(a.path, '^[^/]*/', 0)
-LEFT JOIN v_verdicts d1 ON d1.config_id = a.config_id AND d1.guard_id = x.guard_id
+LEFT JOIN vd d1 ON d1.config_id = a.config_id AND d1.guard_id = x.guard_id
 LEFT JOIN v_dirs y ON y.tree = a.tree AND y.dir = regexp_extract(a.path, '^[^/]*/[^/]*/', 0)
-LEFT JOIN v_verdicts d2 ON d2.config_id = a.config_id AND d2.guard_id = y.guard_id
+LEFT JOIN vd d2 ON d2.config_id = a.config_id AND d2.guard_id = y.guard_id
 """)
 def _(v):
-    objects, nodes, edges, depth = g.conjoin_directories(v("objects").select("tree", "path", "guard_id"), v("dirs"), v("guard_nodes"), v("guard_edges"), DEPTH)
-    store = g.build_store(nodes, edges, objects.select("tree", "guard_id").distinct(), depth)
+    objects, nodes, edges = g.conjoin_directories(v("objects").select("tree", "path", "guard_id"), v("dirs"), v("guard_nodes"), v("guard_edges"))
+    store = g.build_store(nodes, edges, objects.select("tree", "guard_id").distinct())
     asks = v("asks").select("tree", "config_id", "path").join(objects, ["tree", "path"])
     return g.verdicts_for(asks, changed_of(v, store), store).select("tree", "config_id", "path", "built")
 
@@ -80,7 +78,7 @@ LEFT JOIN v_config_values c ON c.config_id = a.config_id AND c.symbol = s.symbol
 def _(v):
     from optlake.plans.explain import object_query
     store = store_of(v)
-    closure = g.guard_leaves(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"), DEPTH)
+    closure = g.guard_leaves(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"))
     return object_query(v("asks"), v("config_values"), g.guard_symbols(closure), changed_of(v, store), store)
 
 
@@ -117,7 +115,7 @@ def _(v):
     store = store_of(v)
     pairs = v("asks").select("tree", "config_id", "guard_id").distinct()
     off = g.verdicts_for(pairs, changed_of(v, store), store).where("NOT built")
-    return g.pivotal_options(off, v("config_values"), v("guard_nodes"), v("guard_edges"), DEPTH)
+    return g.pivotal_options(off, v("config_values"), v("guard_nodes"), v("guard_edges"))
 
 
 SHAPES = """
@@ -139,14 +137,14 @@ FROM v_guards g LEFT JOIN (SELECT tree, guard_id, symbol, want, negated, CASE WH
   ON l.tree = g.tree AND l.guard_id = g.guard_id GROUP BY g.tree, g.guard_id, g.gnum
 """)
 def _(v):
-    return g.guard_metrics(v("guard_nodes"), v("guard_edges").distinct(), v("guards").select("tree", "guard_id"), DEPTH)
+    return g.guard_metrics(v("guard_nodes"), v("guard_edges").distinct(), v("guards").select("tree", "guard_id"))
 
 
 @query("g07_symbol_references", """
 SELECT l.symbol, count(DISTINCT (o.tree, o.path)) AS objects FROM v_objects o JOIN v_literals l ON l.tree = o.tree AND l.guard_id = o.guard_id GROUP BY 1
 """)
 def _(v):
-    closure = g.guard_leaves(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"), DEPTH)
+    closure = g.guard_leaves(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"))
     return g.symbol_references(v("objects"), g.guard_symbols(closure))
 
 
@@ -162,7 +160,7 @@ form AS (SELECT g.tree, g.guard_id, coalesce(CASE WHEN g.gnum % 3 = 2 THEN 'ao'
 WITH {FORM} SELECT o.tree, count(*) AS size, min(o.path) AS first_member FROM v_objects o JOIN form f ON f.tree = o.tree AND f.guard_id = o.guard_id GROUP BY o.tree, f.form
 """)
 def _(v):
-    hashes = g.condition_hashes(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"), DEPTH)
+    hashes = g.condition_hashes(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"))
     return g.co_compilation(v("objects"), hashes).select("tree", "size", "first_member")
 
 
@@ -184,7 +182,7 @@ WITH {TABLE}, st AS (SELECT gnum, CASE WHEN NOT bool_or(ok) THEN 'dead' WHEN boo
 SELECT g.tree, g.guard_id, coalesce(st.status, 'always') AS status FROM v_guards g LEFT JOIN st ON st.gnum = g.gnum
 """)
 def _(v):
-    return g.satisfiability(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"), DEPTH).select("tree", "guard_id", "status")
+    return g.satisfiability(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id")).select("tree", "guard_id", "status")
 
 
 # version 1 drops an object that version 2 keeps and the other way round; common objects
@@ -218,7 +216,7 @@ def _(v):
     versions = v("versions")
     old = versions.where("old IS NOT NULL").selectExpr("tree", "path", "old AS guard_id")
     new = versions.where("new IS NOT NULL").selectExpr("tree", "path", "new AS guard_id")
-    return evolution(old, new, v("guard_nodes"), v("guard_edges"), DEPTH)
+    return evolution(old, new, v("guard_nodes"), v("guard_edges"))
 
 
 @query("g11_same_names", """

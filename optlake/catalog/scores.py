@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from optlake.catalog import views  # noqa: F401
-from optlake.catalog.guards import DEPTH, changed_of, store_of
+from optlake.catalog.guards import changed_of, store_of
 from optlake.catalog.registry import query, view
 from optlake.operators import covers
 from optlake.operators import guards as g
@@ -281,7 +281,7 @@ def _(v):
 SELECT symbol, count(DISTINCT (o.tree, o.path)) AS objects FROM v_objects o JOIN v_literals l ON l.tree = o.tree AND l.guard_id = o.guard_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10
 """)
 def _(v):
-    closure = g.guard_leaves(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"), DEPTH)
+    closure = g.guard_leaves(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"))
     return g.symbol_references(v("objects"), g.guard_symbols(closure)).orderBy(F.desc("objects"), "symbol").limit(10)
 
 

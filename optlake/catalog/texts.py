@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from optlake.catalog import views  # noqa: F401
-from optlake.catalog.guards import DEPTH, TABLE, changed_of, store_of
+from optlake.catalog.guards import TABLE, changed_of, store_of
 from optlake.catalog.registry import query, view
 from optlake.catalog.scores import agree, agreement_of, picks_of, PRED
 from optlake.functions import paths as pt
@@ -272,7 +272,7 @@ def _(v):
     from optlake.plans.explain import blind_reasons
     store = store_of(v)
     ever = g.built_anywhere(v("configs"), changed_of(v, store), store)
-    return blind_reasons(v("objects"), ever, v("configs"), v("first_config"), v("config_values"), v("guard_nodes"), v("guard_edges"), DEPTH, ["CONFIG_S7"]).select("tree", "path", "reason")
+    return blind_reasons(v("objects"), ever, v("configs"), v("first_config"), v("config_values"), v("guard_nodes"), v("guard_edges"), ["CONFIG_S7"]).select("tree", "path", "reason")
 
 
 @query("j33_option_explanation", """
@@ -469,7 +469,7 @@ def _(v):
 
 @query("a23_distinct_conditions", "SELECT count(DISTINCT gnum) AS conditions FROM v_guards")
 def _(v):
-    hashes = g.condition_hashes(v("guard_nodes"), v("guard_edges").distinct(), v("guards").select("tree", "guard_id"), DEPTH)
+    hashes = g.condition_hashes(v("guard_nodes"), v("guard_edges").distinct(), v("guards").select("tree", "guard_id"))
     return hashes.agg(F.countDistinct("hash").alias("conditions"))
 
 
@@ -497,7 +497,7 @@ def dead_guards(v):
     def make():
         from optlake.plans.explain import dead_findings
         types = v("option_types").selectExpr("symbol", "k BETWEEN 20 AND 22 AS absent", "CASE WHEN k % 2 = 0 THEN 'bool' ELSE 'tristate' END AS type")
-        return cut_lineage(dead_findings(v("guards").select("tree", "guard_id"), v("guard_nodes"), v("guard_edges"), DEPTH, types))
+        return cut_lineage(dead_findings(v("guards").select("tree", "guard_id"), v("guard_nodes"), v("guard_edges"), types))
 
     return v.once("dead guards", make)
 
@@ -520,7 +520,7 @@ def _(v):
         rows = v("option_types").where(F.col("k").between(low, high))
         return rows.select("symbol", F.explode(F.array(F.lit("y"), F.lit("m"))).alias("banned"))
 
-    return reports.first_reviving(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"), DEPTH, {"arm": domain(0, 24), "mips": domain(10, 39)})
+    return reports.first_reviving(v("guard_nodes"), v("guard_edges"), v("guards").select("tree", "guard_id"), {"arm": domain(0, 24), "mips": domain(10, 39)})
 
 
 @query("i07_whole_lint", f"""
@@ -549,6 +549,6 @@ WITH {TABLE.strip()}, dd AS (SELECT gnum FROM truth GROUP BY 1 HAVING NOT bool_o
 """)
 def _(v):
     guards = v("guards").select("tree", "guard_id")
-    status = g.satisfiability(v("guard_nodes"), v("guard_edges"), guards, DEPTH)
+    status = g.satisfiability(v("guard_nodes"), v("guard_edges"), guards)
     symbols = v("literals").select("tree", "symbol")
     return reports.corpus_summary(v("objects"), v("make_text"), symbols, status, picks_of(v)).drop("suite", "covered_pct")

@@ -195,13 +195,17 @@ def audio(facts: DataFrame) -> DataFrame:
 def nvidia_branch(packages: DataFrame, dkms: DataFrame) -> DataFrame:
     """Driver branch and flavor per host: from package names in order of kind and name,
     else from the DKMS version."""
-    form = r"^(?:nvidia-(?:driver|dkms|utils|kernel-source)|libnvidia-[\w-]+|linux-(?:modules|objects)-nvidia)-(\d+)(?:$|-)"
+    # fixed values: package names that carry a branch
+    kinds = ("nvidia-driver-", "nvidia-dkms-", "nvidia-utils-", "nvidia-kernel-source-", "linux-modules-nvidia-", "linux-objects-nvidia-", "libnvidia-")
     name = F.col("name")
+    # the branch is the first part that is a number, after the known name
+    number = F.filter(F.split("name", "-"), lambda x: x.try_cast("int").isNotNull())
     rank = first_match([(name.startswith("nvidia-driver-"), 0), (name.startswith("nvidia-dkms-"), 1), (name.startswith("nvidia-utils-"), 2)], 3)
-    rows = packages.withColumn("branch", F.nullif(F.regexp_extract("name", form, 1), F.lit("")))
+    known = reduce(lambda x, y: x | y, [name.startswith(k) for k in kinds])
+    rows = packages.withColumn("branch", F.when(known, F.get(number, F.lit(0))))
     best = rows.where("branch IS NOT NULL").groupBy("host").agg(F.min_by("branch", F.struct(rank.alias("r"), "name")).alias("branch"))
     opened = rows.groupBy("host").agg(F.collect_set("name").alias("names"))
-    built = dkms.where("name = 'nvidia'").groupBy("host").agg(F.nullif(F.regexp_extract(F.min("version"), r"^(\d+)(?:\.|$)", 1), F.lit("")).alias("dkms_branch"))
+    built = dkms.where("name = 'nvidia'").groupBy("host").agg(F.substring_index(F.min("version"), ".", 1).try_cast("int").cast("string").alias("dkms_branch"))
     has = lambda *parts: F.array_contains("names", F.concat(*[F.lit(p) if p != "branch" else F.col("branch") for p in parts]))
     is_open = lambda n: (n.startswith("nvidia-driver-") & n.endswith("-open")) | (n.startswith("nvidia-dkms-") & n.endswith("-open")) | (n.startswith("linux-modules-nvidia-") & n.contains("-open-"))
     flavor = (

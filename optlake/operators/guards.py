@@ -53,14 +53,20 @@ def _verdict(op: Column, kids: Column, true_kids: Column) -> Column:
     )
 
 
-def build_store(nodes: DataFrame, edges: DataFrame, guards: DataFrame, depth: int, rule=tri_state) -> GuardStore:
+def depth_of(nodes: DataFrame) -> int:
+    """Level of the highest node; one aggregate."""
+    return nodes.agg(F.max("level")).first()[0] or 0
+
+
+def build_store(nodes: DataFrame, edges: DataFrame, guards: DataFrame, rule=tri_state) -> GuardStore:
     """Prepare nodes ``(tree, node_id, op, symbol, want, level)`` and edges ``(tree,
     parent, child)`` for evaluation; ``guards`` are ``(tree, guard_id)`` root nodes.
 
     ``op`` is eq, true, false, and, or, not. Children that are more than one level below
-    their parent, and roots below ``depth``, are lifted by one-child ``and`` nodes, so
+    their parent, and roots below the highest level, are lifted by one-child ``and`` nodes, so
     each level depends on the one under it alone. The store is written as tables.
     """
+    depth = depth_of(nodes)
     level = nodes.select("tree", F.col("node_id").alias("child"), F.col("level").alias("child_level"))
     up = nodes.select("tree", F.col("node_id").alias("parent"), F.col("level").alias("parent_level"))
     links = cut_lineage(edges.join(level, ["tree", "child"]).join(up, ["tree", "parent"]))
@@ -214,11 +220,11 @@ def built_anywhere(configs: DataFrame, changed: DataFrame, store: GuardStore) ->
 # ------------------------------------------------------------------ structure
 
 
-def guard_leaves(nodes: DataFrame, edges: DataFrame, guards: DataFrame, depth: int) -> DataFrame:
+def guard_leaves(nodes: DataFrame, edges: DataFrame, guards: DataFrame) -> DataFrame:
     """Distinct ``(tree, guard_id, node_id)`` reachable from each guard, every level."""
     front = guards.select("tree", "guard_id", F.col("guard_id").alias("node_id"))
     seen = front
-    for _ in range(depth):
+    for _ in range(depth_of(nodes)):
         front = (
             front.join(edges.select("tree", F.col("parent").alias("node_id"), "child"), ["tree", "node_id"])
             .select("tree", "guard_id", F.col("child").alias("node_id"))
@@ -233,10 +239,10 @@ def guard_symbols(closure: DataFrame) -> DataFrame:
     return closure.where("op = 'eq'").select("tree", "guard_id", "symbol").distinct()
 
 
-def conjoin_directories(objects: DataFrame, dir_guards: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int):
+def conjoin_directories(objects: DataFrame, dir_guards: DataFrame, nodes: DataFrame, edges: DataFrame):
     """Object guard AND the guard of every ancestor directory.
 
-    Returns ``(objects, nodes, edges, depth + 1)``: objects get a guard per distinct
+    Returns ``(objects, nodes, edges)``: objects get a guard per distinct
     (directory, guard), which keeps conditions shared. ``dir_guards`` are ``(tree, dir,
     guard_id)`` with ``dir`` ending in a slash.
     """
@@ -258,19 +264,18 @@ def conjoin_directories(objects: DataFrame, dir_guards: DataFrame, nodes: DataFr
     )
     tops = pairs.select("tree", F.col("both").alias("node_id"), F.lit("and").alias("op"),
                         F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("want"),
-                        F.lit(depth + 1).alias("level"))
+                        F.lit(depth_of(nodes) + 1).alias("level"))
     return (
         named.drop("guard_id", "dir").withColumnRenamed("both", "guard_id"),
         nodes.unionByName(tops),
         edges.unionByName(links),
-        depth + 1,
     )
 
 
-def guard_metrics(nodes: DataFrame, edges: DataFrame, guards: DataFrame, depth: int) -> DataFrame:
+def guard_metrics(nodes: DataFrame, edges: DataFrame, guards: DataFrame) -> DataFrame:
     """Per guard: options named, height and unfolded node count of the formula."""
     size = nodes.where("level = 0").select("tree", "node_id", F.lit(1).cast("long").alias("n"), F.lit(1).alias("height"))
-    for lvl in range(1, depth + 1):
+    for lvl in range(1, depth_of(nodes) + 1):
         here = (
             nodes.where(F.col("level") == lvl)
             .select("tree", F.col("node_id").alias("parent"))
@@ -280,7 +285,7 @@ def guard_metrics(nodes: DataFrame, edges: DataFrame, guards: DataFrame, depth:
             .agg((F.sum("n") + 1).alias("n"), (F.max("height") + 1).alias("height"))
         )
         size = size.unionByName(here)
-    degree = guard_symbols(guard_leaves(nodes, edges, guards, depth)).groupBy("tree", "guard_id").agg(
+    degree = guard_symbols(guard_leaves(nodes, edges, guards)).groupBy("tree", "guard_id").agg(
         F.count(F.lit(1)).alias("degree")
     )
     return (
@@ -290,12 +295,12 @@ def guard_metrics(nodes: DataFrame, edges: DataFrame, guards: DataFrame, depth:
     )
 
 
-def condition_hashes(nodes: DataFrame, edges: DataFrame, guards: DataFrame, depth: int) -> DataFrame:
+def condition_hashes(nodes: DataFrame, edges: DataFrame, guards: DataFrame) -> DataFrame:
     """Structural hash of each guard, equal for equal formulas in any tree. A node's hash
     covers its operator and the sorted hashes of its children, so text never unfolds."""
     text = F.concat_ws("=", "op", "symbol", "want")
     known = nodes.where("level = 0").select("tree", "node_id", F.sha2(text, 256).alias("hash"))
-    for lvl in range(1, depth + 1):
+    for lvl in range(1, depth_of(nodes) + 1):
         here = (
             nodes.where(F.col("level") == lvl)
             .select("tree", F.col("node_id").alias("parent"), "op")
@@ -327,7 +332,7 @@ def co_compilation(objects: DataFrame, hashes: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ truth tables
 
 
-def scoped_store(key: str, closure: DataFrame, edges: DataFrame, guards: DataFrame, depth: int, rule=tri_state) -> GuardStore:
+def scoped_store(key: str, closure: DataFrame, edges: DataFrame, guards: DataFrame, rule=tri_state) -> GuardStore:
     """A store in which each guard (or pair of guards) named by ``key`` is a tree of its
     own, so hypothetical assignments touch only the guard they are about."""
     inside = cut_lineage(closure.select(F.col(key).alias("tree"), "node_id", "op", "symbol", "want", "level").distinct())
@@ -337,7 +342,7 @@ def scoped_store(key: str, closure: DataFrame, edges: DataFrame, guards: DataFra
         .select(F.col("scope").alias("tree"), "parent", "child")
         .distinct()
     )
-    return build_store(inside, links, guards.select(F.col(key).alias("tree"), "guard_id").distinct(), depth, rule)
+    return build_store(inside, links, guards.select(F.col(key).alias("tree"), "guard_id").distinct(), rule)
 
 
 def truth_table(symbols: DataFrame, limit: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -378,16 +383,16 @@ def one_guard_per_hash(guards: DataFrame, hashes: DataFrame) -> DataFrame:
     return guards.join(hashes, ["tree", "guard_id"]).groupBy("hash").agg(pick).select("hash", "pick.tree", "pick.guard_id")
 
 
-def satisfiability(nodes: DataFrame, edges: DataFrame, guards: DataFrame, depth: int, limit: int = 8, domain: DataFrame | None = None) -> DataFrame:
+def satisfiability(nodes: DataFrame, edges: DataFrame, guards: DataFrame, limit: int = 8, domain: DataFrame | None = None) -> DataFrame:
     """``(tree, guard_id, hash, status)``: dead (never true), always, mixed, or unknown
     above ``limit`` options. Each distinct formula is tabulated once.
 
     ``domain`` optionally restricts values: ``(symbol, banned)`` rows forbid a value.
     """
-    hashes = cut_lineage(condition_hashes(nodes, edges, guards, depth))
+    hashes = cut_lineage(condition_hashes(nodes, edges, guards))
     reps = cut_lineage(one_guard_per_hash(guards, hashes))
-    closure = guard_leaves(nodes, edges, reps.select("tree", "guard_id"), depth).join(reps, ["tree", "guard_id"])
-    store = scoped_store("hash", closure, edges, reps, depth)
+    closure = guard_leaves(nodes, edges, reps.select("tree", "guard_id")).join(reps, ["tree", "guard_id"])
+    store = scoped_store("hash", closure, edges, reps)
     symbols = closure.where("op = 'eq'").select(F.col("hash").alias("tree"), "symbol").distinct()
     scopes, cells = truth_table(symbols, limit)
     changed = changed_verdicts(cells, store)
@@ -417,7 +422,7 @@ def satisfiability(nodes: DataFrame, edges: DataFrame, guards: DataFrame, depth:
     return hashes.join(status, "hash", "left")
 
 
-def condition_changes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth: int, limit: int = 8) -> DataFrame:
+def condition_changes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, limit: int = 8) -> DataFrame:
     """Compare two guards over every assignment of their options.
 
     ``pairs`` are ``(tree, old, new)``, the two guards of an object that has different
@@ -429,8 +434,8 @@ def condition_changes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, dept
     both = keyed.select("tree", "scope", F.col("old").alias("guard_id")).unionByName(
         keyed.select("tree", "scope", F.col("new").alias("guard_id"))
     ).distinct()
-    closure = guard_leaves(nodes, edges, both.select("tree", "guard_id").distinct(), depth).join(both, ["tree", "guard_id"])
-    store = scoped_store("scope", closure, edges, both, depth)
+    closure = guard_leaves(nodes, edges, both.select("tree", "guard_id").distinct()).join(both, ["tree", "guard_id"])
+    store = scoped_store("scope", closure, edges, both)
     symbols = closure.where("op = 'eq'").select(F.col("scope").alias("tree"), "symbol").distinct()
     scopes, cells = truth_table(symbols, limit)
     scopes, cells = cut_lineage(scopes), cut_lineage(cells)
@@ -472,16 +477,16 @@ def condition_changes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, dept
     )
 
 
-def pivotal_options(asks: DataFrame, values: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+def pivotal_options(asks: DataFrame, values: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """For guards that are off, the options whose change alone turns them on.
 
     ``asks`` are ``(tree, config_id, guard_id)`` that do not hold. Each option of the
     guard is tried with y, m, n (not its current value); the first that works is kept.
     """
     guards = asks.select("tree", "guard_id").distinct()
-    closure = guard_leaves(nodes, edges, guards, depth).withColumn("scope", F.concat_ws(" : ", "tree", "guard_id"))
+    closure = guard_leaves(nodes, edges, guards).withColumn("scope", F.concat_ws(" : ", "tree", "guard_id"))
     keyed = guards.withColumn("scope", F.concat_ws(" : ", "tree", "guard_id"))
-    store = scoped_store("scope", closure, edges, keyed, depth)
+    store = scoped_store("scope", closure, edges, keyed)
     symbols = guard_symbols(closure)
     current = cut_lineage(
         asks.select("tree", "config_id", "guard_id").distinct()

@@ -18,12 +18,43 @@ from optlake.functions.globs import shell_rlike
 CONFIDENCE_FLOOR = {"conservative": 0.85, "balanced": 0.65, "aggressive": 0.40}
 
 # fixed values: options that are never trimmed
-CORE_OPTIONS = """
-PRINTK TTY VT VT_CONSOLE UNIX98_PTYS DEVTMPFS DEVTMPFS_MOUNT TMPFS PROC_FS SYSFS FUTEX EPOLL
-SIGNALFD TIMERFD EVENTFD BLOCK MULTIUSER PRINTK_SAFE_LOG_BUF_SHIFT BLK_DEV_INITRD RD_GZIP
-RD_LZ4 RD_ZSTD MMU SWAP SHMEM CGROUPS CGROUP_SCHED CGROUP_CPUACCT CGROUP_MEMORY CGROUP_PIDS
-CGROUP_FREEZER CGROUP_DEVICE MODULES MODULE_UNLOAD HW_RANDOM
-""".split()
+CORE_OPTIONS = [
+    "CONFIG_PRINTK",
+    "CONFIG_TTY",
+    "CONFIG_VT",
+    "CONFIG_VT_CONSOLE",
+    "CONFIG_UNIX98_PTYS",
+    "CONFIG_DEVTMPFS",
+    "CONFIG_DEVTMPFS_MOUNT",
+    "CONFIG_TMPFS",
+    "CONFIG_PROC_FS",
+    "CONFIG_SYSFS",
+    "CONFIG_FUTEX",
+    "CONFIG_EPOLL",
+    "CONFIG_SIGNALFD",
+    "CONFIG_TIMERFD",
+    "CONFIG_EVENTFD",
+    "CONFIG_BLOCK",
+    "CONFIG_MULTIUSER",
+    "CONFIG_PRINTK_SAFE_LOG_BUF_SHIFT",
+    "CONFIG_BLK_DEV_INITRD",
+    "CONFIG_RD_GZIP",
+    "CONFIG_RD_LZ4",
+    "CONFIG_RD_ZSTD",
+    "CONFIG_MMU",
+    "CONFIG_SWAP",
+    "CONFIG_SHMEM",
+    "CONFIG_CGROUPS",
+    "CONFIG_CGROUP_SCHED",
+    "CONFIG_CGROUP_CPUACCT",
+    "CONFIG_CGROUP_MEMORY",
+    "CONFIG_CGROUP_PIDS",
+    "CONFIG_CGROUP_FREEZER",
+    "CONFIG_CGROUP_DEVICE",
+    "CONFIG_MODULES",
+    "CONFIG_MODULE_UNLOAD",
+    "CONFIG_HW_RANDOM",
+]
 
 # fixed values: options an architecture cannot run without
 ARCH_OPTIONS = {

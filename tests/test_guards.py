@@ -57,7 +57,7 @@ def test_every_assignment(spark, formulas, tables):
         assigned = {f"CONFIG_S{j}": v for j, v in enumerate(combo) if v is not None}
         configs.append((1, i, assigned))
         values += [(1, i, s, v) for s, v in assigned.items()]
-    store = g.build_store(*tables, 4)
+    store = g.build_store(*tables)
     v = spark.createDataFrame(values, "tree long, config_id long, symbol string, value string")
     c = spark.createDataFrame([(t, i) for t, i, _ in configs], "tree long, config_id long")
     changed = g.changed_verdicts(v, store)
@@ -72,7 +72,7 @@ def test_every_assignment(spark, formulas, tables):
 
 
 def test_two_state_and_empty(spark, tables):
-    store = g.build_store(*tables, 4)
+    store = g.build_store(*tables)
     v = spark.createDataFrame([(1, 1, "CONFIG_S0", "m")], "tree long, config_id long, symbol string, value string")
     on = lambda two: {r.guard_id for r in g.guard_verdicts_on(spark.createDataFrame([(1, 1)], "tree long, config_id long"), g.changed_verdicts(v, store, two), store).collect()}
     assert "S0=m" in on(False) and "S0=m" not in on(True) and "S0=undef" in on(True)
@@ -82,13 +82,13 @@ def test_two_state_and_empty(spark, tables):
 def test_satisfiability_and_changes(spark, formulas, tables):
     nodes, _, truth = formulas
     every = [dict(zip([f"CONFIG_S{i}" for i in range(4)], c)) for c in itertools.product(["undef", "y", "m"], repeat=4)]
-    got = {r.guard_id: r.status for r in g.satisfiability(*tables, 4).collect()}
+    got = {r.guard_id: r.status for r in g.satisfiability(*tables).collect()}
     for n in nodes:
         seen = {truth(n, a) for a in every}
         assert got[n] == ("mixed" if len(seen) == 2 else "always" if seen == {True} else "dead"), n
     names = [n for n, v in nodes.items() if v[3] >= 3]
     pairs = spark.createDataFrame([(1, a, b) for a, b in itertools.permutations(names[:6], 2)], "tree long, old string, new string")
-    for r in g.condition_changes(tables[0], tables[1], pairs, 4).collect():
+    for r in g.condition_changes(tables[0], tables[1], pairs).collect():
         both = [(truth(r.old, a), truth(r.new, a)) for a in every]
         wider, tighter = all(b or not a for a, b in both), all(a or not b for a, b in both)
         want = "unchanged" if wider and tighter else "generalized" if wider else "restricted" if tighter else "diverged"
@@ -96,7 +96,7 @@ def test_satisfiability_and_changes(spark, formulas, tables):
         if want != "unchanged":
             a = dict(kv.split("=") for kv in r.witness.split())
             assert truth(r.old, a) != truth(r.new, a)
-    limited = {r.status for r in g.satisfiability(*tables, 4, limit=1).where("guard_id LIKE 'n4%'").collect()}
+    limited = {r.status for r in g.satisfiability(*tables, limit=1).where("guard_id LIKE 'n4%'").collect()}
     assert "unknown" in limited
 
 
@@ -107,9 +107,9 @@ def test_pivotal(spark, formulas, tables):
     asks = [(1, i, n) for i, a in values.items() for n in nodes if nodes[n][3] >= 2 and not truth(n, a)]
     rows = [(1, i, s, v) for i, a in values.items() for s, v in a.items()]
     got = {(r.config_id, r.guard_id, r.symbol): r.suggested_value for r in g.pivotal_options(
-        spark.createDataFrame(asks, "tree long, config_id long, guard_id string"), spark.createDataFrame(rows, "tree long, config_id long, symbol string, value string"), tables[0], tables[1], 4).collect()}
+        spark.createDataFrame(asks, "tree long, config_id long, guard_id string"), spark.createDataFrame(rows, "tree long, config_id long, symbol string, value string"), tables[0], tables[1]).collect()}
     symbols = {r.guard_id: set() for r in tables[2].collect()}
-    for r in g.guard_symbols(g.guard_leaves(*tables, 4)).collect():
+    for r in g.guard_symbols(g.guard_leaves(*tables)).collect():
         symbols[r.guard_id].add(r.symbol)
     want = {}
     for _, i, n in asks:
@@ -149,8 +149,8 @@ def test_directory_conjunction(spark):
     edges = spark.createDataFrame([], EDGES)
     objects = spark.createDataFrame([(1, "fs/ext2/x.o", "a"), (1, "top.o", "a")], "tree long, path string, guard_id string")
     dirs = spark.createDataFrame([(1, "fs/", "d"), (1, "fs/ext2/", "e"), (1, "fs/ext20/", "a")], "tree long, dir string, guard_id string")
-    o, n, e, depth = g.conjoin_directories(objects, dirs, nodes, edges, 0)
-    store = g.build_store(n, e, o.select("tree", "guard_id").distinct(), depth)
+    o, n, e = g.conjoin_directories(objects, dirs, nodes, edges)
+    store = g.build_store(n, e, o.select("tree", "guard_id").distinct())
     v = spark.createDataFrame([(1, 1, "CONFIG_A", "y"), (1, 1, "CONFIG_D", "y"), (1, 2, "CONFIG_A", "y"), (1, 2, "CONFIG_D", "y"), (1, 2, "CONFIG_E", "y")], "tree long, config_id long, symbol string, value string")
     c = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "tree long, config_id long")
     built = {(r.config_id, r.path) for r in g.built_objects(c, o, g.changed_verdicts(v, store), store).collect()}
