@@ -33,7 +33,7 @@ def _(v):
 
 @query("i03_neighbourhood", CONE.format(step="step + 1", cond="step < 2"))
 def _(v):
-    return g.reach(v("seeds"), v("relations"), rounds=2, cap=10_000_000)
+    return g.reach(v("seeds"), v("relations"), rounds=2)
 
 
 view("v_members", """
@@ -58,7 +58,26 @@ def waves_of(v):
     return g.build_waves(nodes, edges)
 
 
-@query("i01_build_waves")
+# one row for each wave; the state is the list of names placed so far
+WAVES = """
+n AS (SELECT src AS name FROM e UNION SELECT dst FROM e),
+st(wave, placed, fresh, forced) AS (
+  SELECT -1, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), FALSE
+  UNION ALL
+  SELECT wave + 1, list_concat(placed, ready.names), ready.names, ready.k > 0 FROM (
+    SELECT s.wave, s.placed, (
+      SELECT arg_min(struct_pack(names := names, k := k), k) FROM (
+        SELECT k, list(name) AS names FROM (
+          SELECT n.name, count(e.dst) FILTER (NOT list_contains(s.placed, e.dst)) AS k FROM n LEFT JOIN e ON e.src = n.name
+          WHERE NOT list_contains(s.placed, n.name) GROUP BY n.name) GROUP BY k)) AS ready
+    FROM st s) WHERE ready IS NOT NULL)
+"""
+
+
+@query("i01_build_waves", f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM v_relations WHERE NOT (rel = 'choice' AND dst NOT IN ('n0', 'n1'))), {WAVES}
+SELECT unnest(fresh) AS name, wave, forced AS in_cycle FROM st
+""")
 def _(v):
     return waves_of(v)
 

@@ -304,30 +304,47 @@ def picks_of(v):
     return v.once("greedy picks", lambda: covers.greedy_cover(holds_of(v), weights_of(v)))
 
 
-# one pick per step in SQL, tree by tree: the state is the list of covered guards
+# greedy picks as a recursion with one row for each tree and step; the state is the list
+# of guards still uncovered
 COVER = """
 w AS (SELECT tree, guard_id, count(*) AS n FROM v_objects GROUP BY 1, 2),
-h AS (SELECT d.tree, d.config_id, d.guard_id, w.n FROM v_verdicts d JOIN w ON w.tree = d.tree AND w.guard_id = d.guard_id WHERE d.built)
+h AS MATERIALIZED (SELECT d.tree, d.config_id, d.guard_id, w.n FROM v_verdicts d JOIN w ON w.tree = d.tree AND w.guard_id = d.guard_id WHERE d.built),
 """
+STEPS = """
+{name}(tree, round, config_id, gain, open) AS (
+  SELECT tree, 0, CAST(NULL AS BIGINT), CAST(1 AS BIGINT), list(DISTINCT guard_id) FROM {holds} GROUP BY tree
+  UNION ALL
+  SELECT tree, round, pick.config_id, pick.gain, list_filter(open, lambda x: NOT list_contains(pick.mine, x)) FROM (
+    SELECT s.tree, s.round + 1 AS round, s.open,
+           (SELECT arg_min(struct_pack(config_id := f.config_id, gain := f.gain, mine := f.mine), (-f.gain, f.config_id)) FROM (
+              SELECT x.config_id, CAST(sum(x.n) AS BIGINT) AS gain, list(x.guard_id) AS mine FROM {holds} x
+              WHERE x.tree = s.tree AND list_contains(s.open, x.guard_id) GROUP BY x.config_id) f) AS pick
+    FROM {name} s WHERE len(s.open) > 0) WHERE pick.gain > 0)
+"""
+GREEDY = "WITH RECURSIVE" + COVER + STEPS.format(name="step", holds="h")
 
 
-@query("g15_greedy_cover", f"""
-WITH {COVER}, f AS (SELECT tree, config_id, CAST(sum(n) AS BIGINT) AS gain FROM h GROUP BY 1, 2)
-SELECT tree, arg_min(config_id, (-gain, config_id)) AS config_id, max(gain) AS gain, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT DISTINCT tree, guard_id, n FROM h) x WHERE x.tree = f.tree) AS covered FROM f GROUP BY 1
-""")
+@query("g15_greedy_cover", GREEDY + "SELECT tree, round, config_id, gain FROM step WHERE round > 0")
 def _(v):
-    # the first pick of each tree and the total covered by its suite
-    picks = picks_of(v)
-    total = picks.groupBy("tree").agg(F.sum("gain").alias("covered"))
-    return picks.where("round = 1").select("tree", "config_id", "gain").join(total, "tree")
+    return picks_of(v)
 
 
-@query("w08_coverage_progression")
+@query("w08_coverage_progression", GREEDY + """
+SELECT tree, round, config_id, gain, CAST(covered AS BIGINT) AS covered, round(covered::DOUBLE / total * 100, 2) AS covered_pct FROM (
+  SELECT s.tree, round, config_id, gain, sum(gain) OVER (PARTITION BY s.tree ORDER BY round) AS covered, t.total
+  FROM step s JOIN (SELECT tree, sum(n) AS total FROM w GROUP BY 1) t ON t.tree = s.tree WHERE round > 0)
+""")
 def _(v):
     return covers.progression(picks_of(v), weights_of(v))
 
 
-@query("g16_negative_cover")
+@query("g16_negative_cover", GREEDY + """,
+picked AS (SELECT tree, config_id FROM step WHERE round > 0),
+sure AS (SELECT h.tree, h.guard_id, any_value(h.n) AS n FROM h JOIN picked p ON p.tree = h.tree AND p.config_id = h.config_id GROUP BY 1, 2
+         HAVING count(*) = (SELECT count(*) FROM picked q WHERE q.tree = h.tree)),
+off AS MATERIALIZED (SELECT c.tree, c.config_id, u.guard_id, u.n FROM v_configs c JOIN sure u ON u.tree = c.tree
+        WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.tree = c.tree AND h.config_id = c.config_id AND h.guard_id = u.guard_id)),
+""" + STEPS.format(name="down", holds="off") + "SELECT tree, round, config_id, gain FROM down WHERE round > 0")
 def _(v):
     negative = covers.negative_holds(picks_of(v), holds_of(v), weights_of(v), v("configs"))
     return covers.greedy_cover(negative, weights_of(v))

@@ -7,50 +7,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optlake.session import cut_lineage
+from optlake.session import Rounds, cut_lineage
 
 
 def build_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Wave of each node, dependencies ``(src, dst)`` before dependents.
 
     A round takes every node with the fewest open dependencies: none in the ordinary case;
-    when all wait on each other, those are forced and marked ``in_cycle``.
+    when all wait on each other, those are forced and marked ``in_cycle``. Each round is
+    appended to one table, which is read once at the end.
     """
     left = cut_lineage(nodes.select(F.col("name").alias("src")).distinct())
     open_edges = cut_lineage(edges.select("src", "dst").distinct())
-    done, wave = None, 0
+    rounds, wave = Rounds(left.sparkSession, f"name {dict(left.dtypes)['src']}, in_cycle boolean"), 0
     while True:
         counts = open_edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
         state = cut_lineage(left.join(counts, "src", "left").select("src", F.coalesce("n", F.lit(0)).alias("n")))
         fewest = state.agg(F.min("n")).first()[0]
         if fewest is None:
-            return done.select(F.col("src").alias("name"), "wave", "in_cycle") if done is not None else state.select(F.col("src").alias("name"), F.lit(0).alias("wave"), F.lit(False).alias("in_cycle"))
+            return rounds.read("wave")
         ready = state.where(F.col("n") == fewest).select("src")
-        taken = ready.select("src", F.lit(wave).alias("wave"), F.lit(fewest > 0).alias("in_cycle"))
-        done = taken if done is None else done.unionByName(taken)
+        rounds.add(wave, ready.select(F.col("src").alias("name"), F.lit(fewest > 0).alias("in_cycle")))
         left = state.where(F.col("n") > fewest).select("src")
         open_edges = cut_lineage(
             open_edges.join(left, "src", "left_semi").join(ready.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
         wave += 1
 
 
-def reach(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, cap: int | None = None) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Everything reachable from ``seeds (name)`` along ``edges (src, dst)``.
 
-    ``rounds`` bounds the number of steps and ``cap`` stops expanding once that many
-    names are known (a step is never cut short); without them the closure is complete.
+    ``rounds`` bounds the number of steps; without it the closure is complete. Each round
+    writes only what it found; what is known is read from the rounds together.
     """
-    known = cut_lineage(seeds.select("name").distinct())
-    front, step = known, 0
+    front, step = cut_lineage(seeds.select("name").distinct()), 0
+    found = Rounds(front.sparkSession, f"name {dict(front.dtypes)['name']}")
+    found.add(0, front)
     while rounds is None or step < rounds:
-        if cap is not None and known.count() >= cap:
+        step += 1
+        found.add(step, edges.join(front.withColumnRenamed("name", "src"), "src", "left_semi").select(F.col("dst").alias("name")).distinct().join(found.read("step"), "name", "left_anti"))
+        front = found.read("step").where(F.col("step") == step).select("name")
+        if front.isEmpty():
             break
-        fresh = cut_lineage(
-            edges.join(front.withColumnRenamed("name", "src"), "src", "left_semi").select(F.col("dst").alias("name")).distinct().join(known, "name", "left_anti"))
-        if fresh.isEmpty():
-            break
-        known, front, step = cut_lineage(known.unionByName(fresh)), fresh, step + 1
-    return known
+    return found.read("step").select("name")
 
 
 def dependency_cone(seeds: DataFrame, relations: DataFrame, follow_selects: bool = False) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,22 +31,55 @@ def get_spark(app: str = "optlake", cpus: str | None = None) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``. A temporary folder is
-    used only in local mode, where driver and executors share one machine."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only in local mode, where
+    driver and executors are one process, a session without it (as in tests) gets a
+    temporary folder, which is removed when the process ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     if spark.sparkContext.applicationId not in _FOLDERS:
-        _FOLDERS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="optlake-")
+        _FOLDERS[spark.sparkContext.applicationId] = folder = tempfile.mkdtemp(prefix="optlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return _FOLDERS[spark.sparkContext.applicationId]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """What this application writes; ``release`` removes it."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application from the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: a loop's
     plan stays short, the result outlives any executor, and later plans see its size."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """A table that a loop appends to, one partition for each round, so that its plan has
+    the same size after any number of rounds."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema = spark, schema
+        self.path, self.last = f"{run_folder(spark)}/{uuid.uuid4().hex}", -1
+
+    def add(self, number: int, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.path}/round={number}")
+        self.last = number
+
+    def read(self, name: str) -> DataFrame:
+        """All rounds, with the number of each as column ``name``."""
+        if self.last < 0:
+            return self.spark.createDataFrame([], f"{self.schema}, {name} int")
+        rows = self.spark.read.schema(f"{self.schema}, round int").option("basePath", self.path).parquet(self.path)
+        return rows.withColumnRenamed("round", name)
