@@ -295,6 +295,21 @@ def _(v):
     return requirements_met(v)
 
 
+view("v_targets", "SELECT tree, guard_id, gnum % 3 AS kind FROM v_guards")
+
+
+@query("p12_requirements_for_target", f"""
+WITH {REQ} SELECT r.tree, r.config_id, r.guard_id, r.met FROM req r JOIN v_targets t ON t.tree = r.tree AND t.guard_id = r.guard_id WHERE t.kind <> 2
+""")
+def _(v):
+    # requirements of kind 0 have no target, of kind 1 name two architectures, of kind 2 another
+    targets = v("targets").withColumn("target", F.when(F.col("kind") == 1, F.array(F.lit("arm64"), F.lit("x86_64"))).when(F.col("kind") == 2, F.array(F.lit("arm64"))))
+    mine = targets.where(a.applies(F.col("target"), "x86_64")).select("tree", "guard_id")
+    met = requirements_met(v).withColumn("met", F.lit(True))
+    asked = v("configs").select("tree", "config_id").join(mine, "tree")
+    return asked.join(met, ["tree", "config_id", "guard_id"], "left").na.fill(False, ["met"]).select("tree", "config_id", "guard_id", "met")
+
+
 view("v_recipes", """
 SELECT event_id AS recipe_id, '{"all": [{"symbol": "' || event_type || '", "note": "say ' || chr(92) || '"exec' || chr(92) || '": no"}, {"'
    || CASE WHEN value > 40 THEN 'shell' WHEN value > 30 THEN 'shells' ELSE 'equals' END || '": 1}]}' AS body FROM events

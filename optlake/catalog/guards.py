@@ -128,18 +128,35 @@ shape AS (SELECT tree, guard_id, gnum, count(DISTINCT symbol) AS degree, count(*
 """
 
 
-@query("g06_guard_metrics", """
-SELECT g.tree, g.guard_id, coalesce(count(DISTINCT l.symbol), 0) AS degree,
+METRICS = """SELECT g.tree, g.guard_id, coalesce(count(DISTINCT l.symbol), 0) AS degree,
   CASE WHEN g.gnum = 0 THEN 1 WHEN g.gnum % 3 = 2 THEN greatest(3 + max(CASE WHEN negated AND j < 2 THEN 1 ELSE 0 END), 2 + max(CASE WHEN negated AND j = 2 THEN 1 ELSE 0 END))
        ELSE 2 + max(CASE WHEN negated THEN 1 ELSE 0 END) END AS height,
   CASE WHEN g.gnum = 0 THEN 1 ELSE 1 + CASE WHEN g.gnum % 3 = 2 THEN 1 ELSE 0 END + count(*) + count(*) FILTER (negated) END AS nodes
 FROM v_guards g LEFT JOIN (SELECT tree, guard_id, symbol, want, negated, CASE WHEN gnum % 3 = 2 AND j < 2 THEN 0 ELSE 2 END AS j FROM v_literals GROUP BY ALL) l
   ON l.tree = g.tree AND l.guard_id = g.guard_id GROUP BY g.tree, g.guard_id, g.gnum
-""")
-def _(v):
+"""
+
+
+def metrics(v):
     return g.guard_metrics(v("guard_nodes"), v("guard_edges").distinct(), v("guards").select("tree", "guard_id"))
 
 
+@query("g06_guard_metrics", METRICS)
+def _(v):
+    return metrics(v)
+
+
+@query("g06_guard_distribution", f"SELECT degree, height, count(*) AS guards, min(nodes) AS least_nodes, max(nodes) AS most_nodes FROM ({METRICS}) m GROUP BY 1, 2")
+def _(v):
+    n = F.count(F.lit(1))
+    return metrics(v).groupBy("degree", "height").agg(n.alias("guards"), F.min("nodes").alias("least_nodes"), F.max("nodes").alias("most_nodes"))
+
+
+@query("g06_top_guards", f"SELECT * FROM ({METRICS}) m ORDER BY degree DESC, nodes DESC, height DESC, tree, guard_id LIMIT 10")
+def _(v):
+    return metrics(v).orderBy(F.desc("degree"), F.desc("nodes"), F.desc("height"), "tree", "guard_id").limit(10)
+
+
 @query("g07_symbol_references", """
 SELECT l.symbol, count(DISTINCT (o.tree, o.path)) AS objects FROM v_objects o JOIN v_literals l ON l.tree = o.tree AND l.guard_id = o.guard_id GROUP BY 1
 """)
@@ -220,9 +237,9 @@ def _(v):
 
 
 @query("g11_same_names", """
-WITH t AS (SELECT d.tree, d.config_id, regexp_extract(o.path, '[^/]*$', 0) AS name, count(*) AS together FROM v_verdicts d
-  JOIN v_objects o ON o.tree = d.tree AND o.guard_id = d.guard_id WHERE d.built GROUP BY 1, 2, 3 HAVING count(*) > 1)
-SELECT tree, name, max(together) AS together, count(*) AS configs, min(config_id) AS witness FROM t GROUP BY 1, 2
+WITH b AS MATERIALIZED (SELECT d.tree, d.config_id, regexp_extract(o.path, '[^/]*$', 0) AS name, o.path FROM v_verdicts d JOIN v_objects o ON o.tree = d.tree AND o.guard_id = d.guard_id WHERE d.built),
+t AS (SELECT tree, config_id, name, count(*) AS together FROM b GROUP BY 1, 2, 3 HAVING count(*) > 1)
+SELECT b.tree, b.name, b.path, count(*) AS configs, min(b.config_id) AS witness, max(t.together) AS together FROM b JOIN t ON t.tree = b.tree AND t.config_id = b.config_id AND t.name = b.name GROUP BY 1, 2, 3
 """)
 def _(v):
     store = store_of(v)
@@ -250,10 +267,12 @@ def _(v):
 
 
 @query("g19_subsystem_activity", """
-SELECT d.tree, d.config_id, regexp_extract(o.path, '^[^/]*', 0) AS top, count(*) FILTER (d.built) AS built FROM v_verdicts d
+SELECT d.tree, d.config_id, regexp_extract(o.path, '^[^/]*', 0) AS top, count(*) FILTER (d.built) AS built, count(*) AS total, count(*) FILTER (d.built)::DOUBLE / count(*) AS share FROM v_verdicts d
 JOIN v_objects o ON o.tree = d.tree AND o.guard_id = d.guard_id GROUP BY 1, 2, 3
 """)
 def _(v):
     store = store_of(v)
     objects = v("objects").withColumn("top", F.split("path", "/")[0])
-    return g.built_counts(v("configs"), objects, changed_of(v, store), store, "top")
+    counts = g.built_counts(v("configs"), objects, changed_of(v, store), store, "top")
+    total = objects.groupBy("tree", "top").agg(F.count(F.lit(1)).alias("total"))
+    return counts.join(total, ["tree", "top"]).withColumn("share", F.col("built") / F.col("total"))

@@ -278,6 +278,41 @@ def _(v):
     return ledger(v).drop("at")
 
 
+def round_trip(v, rows, schema):
+    """Rows written as JSON lines, each file with a broken line in it, and read again."""
+    path = f"{shared_folder(v.spark)}/lines-{uuid.uuid4().hex}"
+    text = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    text.unionByName(text.limit(1).select(F.substring("value", 1, 9).alias("value"))).write.text(path)
+    return src.read_json_lines(v.spark, path, schema)
+
+
+@query("s32_build_records", "SELECT source, version, flags_hash, outcome, CAST(duration_s AS DOUBLE) AS duration_s, CAST(finished_at AS DATE) AS finished_on FROM v_records")
+def _(v):
+    rows = v("records").select("source", "version", "flags_hash", "outcome", F.col("duration_s").cast("double").alias("duration_s"), F.col("finished_at").cast("timestamp").alias("finished_at"))
+    return round_trip(v, rows, src.RECORD_SCHEMA).select("source", "version", "flags_hash", "outcome", "duration_s", F.to_date("finished_at").alias("finished_on"))
+
+
+@query("s32_iteration_records", """
+SELECT o_custkey AS host, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS iteration, 2 AS proposals,
+  CAST(o_totalprice AS DOUBLE) AS size_bytes, o_orderstatus = 'F' AS regressed FROM orders
+""")
+def _(v):
+    rows = v.sql("""SELECT o_custkey AS host, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS iteration, array(o_orderstatus, o_clerk) AS proposals,
+                    named_struct('size_bytes', CAST(o_totalprice AS DOUBLE)) AS measurements, o_orderstatus = 'F' AS regressed FROM orders""".replace("o_clerk", "o_orderpriority"))
+    return round_trip(v, rows, src.ITERATION_SCHEMA).select("host", "iteration", F.size("proposals").alias("proposals"), "measurements.size_bytes", "regressed")
+
+
+@query("s35_artifact_files", """
+SELECT s_nationkey AS nation, CAST(octet_length(encode(string_agg(s_name, chr(10) ORDER BY s_suppkey))) + 1 AS BIGINT) AS bytes, sha256(string_agg(s_name, chr(10) ORDER BY s_suppkey) || chr(10)) AS sha256 FROM supplier GROUP BY 1
+""")
+def _(v):
+    # one file for each nation, as a build leaves one artifact for each target
+    path = f"{shared_folder(v.spark)}/artifacts-{uuid.uuid4().hex}"
+    rows = v.table("supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.col("s_name").alias("value"))
+    rows.repartition("nation").sortWithinPartitions("nation", "s_suppkey").select("nation", "value").write.partitionBy("nation").text(path)
+    return src.read_artifacts(v.spark, path).select(F.regexp_extract("path", "/nation=([0-9]+)/", 1).cast("int").alias("nation"), "bytes", "sha256")
+
+
 @query("a09_cost_ledger", """
 SELECT agent, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 4) AS cost_usd,
   CASE WHEN grouping(agent) = 1 THEN (SELECT count(*) FROM v_records) END AS builds, CASE WHEN grouping(agent) = 1 THEN (SELECT round(sum(duration_s) / 3600, 3) FROM v_records) END AS cpu_hours FROM v_ledger GROUP BY GROUPING SETS ((agent), ())

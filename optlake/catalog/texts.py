@@ -338,6 +338,20 @@ def _(v):
     return bindings(v).select("tree", "path", "line_no", "symbol", F.array_join(lint.module_names(F.col("objects")), " ").alias("modules"))
 
 
+view("v_expressions", """
+SELECT l_orderkey, l_linenumber, l_partkey, 'S' || CAST(l_partkey % 12 AS STRING) || ' && (NET || !S' || CAST(l_suppkey % 12 AS STRING) || ' = "m") && s7' AS expression FROM lineitem
+""")
+
+
+@query("p17_expression_symbols", """
+SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(list_sort(list_distinct(list_filter(['NET', 'S' || l_partkey % 12, 'S' || l_suppkey % 12], lambda x: x <> 'S5'))), ' ') AS symbols FROM lineitem
+""")
+def _(v):
+    # option S5 is not declared
+    known = F.array(*[F.lit(x) for x in ["NET", *(f"S{i}" for i in range(12) if i != 5)]])
+    return v("expressions").select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(lint.expression_symbols(F.col("expression"), known), " ").alias("symbols"))
+
+
 @query("p15_option_search", f"WITH {RECORDS} SELECT symbol FROM rec WHERE symbol LIKE 'CONFIG_S1%' AND ' ' || subsystems || ' ' LIKE '% net %' ORDER BY 1 LIMIT 8")
 def _(v):
     rows = records(v).withColumn("prompt", F.lit("Prompt")).withColumn("help", F.lit(None).cast("string")).withColumn("type", F.lit("bool"))

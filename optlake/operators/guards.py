@@ -529,17 +529,14 @@ def pivotal_options(asks: DataFrame, values: DataFrame, nodes: DataFrame, edges:
 
 
 def same_name_groups(built: DataFrame) -> DataFrame:
-    """Objects of one base name in different directories that one configuration builds
-    together: group size per (configuration, name) rather than pairs."""
+    """Objects that a configuration builds together with others of their base name:
+    ``(tree, name, path, configs, witness)`` with the number of such configurations and the
+    first. One row for each object; pairs are never listed."""
     name = F.element_at(F.split("path", "/"), -1)
-    return (
-        built.withColumn("name", name)
-        .groupBy("tree", "config_id", "name")
-        .agg(F.count(F.lit(1)).alias("together"))
-        .where("together > 1")
-        .groupBy("tree", "name")
-        .agg(F.max("together").alias("together"), F.count(F.lit(1)).alias("configs"), F.min("config_id").alias("witness"))
-    )
+    named = built.withColumn("name", name)
+    shared = named.groupBy("tree", "config_id", "name").agg(F.count(F.lit(1)).alias("together")).where("together > 1")
+    rows = named.join(shared, ["tree", "config_id", "name"])
+    return rows.groupBy("tree", "name", "path").agg(F.count(F.lit(1)).alias("configs"), F.min("config_id").alias("witness"), F.max("together").alias("together"))
 
 
 def nearest_building_config(configs: DataFrame, values: DataFrame, wanted: DataFrame, base: DataFrame) -> DataFrame:

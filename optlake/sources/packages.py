@@ -12,6 +12,8 @@ from optlake.sources.configs import text_lines
 LEDGER_SCHEMA = "at timestamp, agent string, input_tokens long, output_tokens long, cost_usd double, bad string"
 RECORD_SCHEMA = "source string, version string, flags_hash string, outcome string, duration_s double, finished_at timestamp, bad string"
 
+ITERATION_SCHEMA = "host long, iteration int, proposals array<string>, measurements struct<size_bytes: double>, regressed boolean, bad string"
+
 
 def source_stanzas(texts: DataFrame) -> DataFrame:
     """Stanzas of a source index: ``(…, stanza_no, source, version, binaries,
