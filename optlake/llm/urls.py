@@ -67,14 +67,20 @@ def longest_match(trie: dict, host: str, path: str) -> tuple | None:
     return best
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; null without one."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
+
+
 def host_of(url: Column) -> Column:
     """From after the first ``://`` to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
-    return F.coalesce(fold(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://([^/?#]*)", 1)), F.lit(""))
+    return F.coalesce(fold(F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """From after the host to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 BEST = "labels int, length int, blocks boolean, rule string, verdict string"

@@ -112,6 +112,9 @@ def test_urls(spark):
     for block in (100, 1):
         assert sorted(map(tuple, urls.judge_urls(pages, rules_, block=block).collect()), key=str) == sorted(want, key=str)
     assert {r["verdict"] for r in urls.judge_urls(pages, [], default="block").collect()} == {"block"}
+    long = spark.createDataFrame([(1, "s" * 200_000 + "://a.b/x" + "/y\n" * 200_000 + "?z")], "page_id long, url string")
+    got = urls.judge_urls(long, rules_).first()
+    assert (got["host"], len(got["path"]), got["verdict"]) == ("a.b", 600_002, "block")
     assert urls.judge_urls(pages.where("false"), rules_).collect() == []
 
 
