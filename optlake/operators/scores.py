@@ -234,10 +234,13 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` built and ``n`` unbuilt paths per configuration, the same for the same seed."""
+    """``n`` built and ``n`` unbuilt paths per configuration, the same for the same seed.
+    Rows are cut to ``n`` in each of many hashed parts before the parts meet."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), "path"))
-    rank = F.row_number().over(Window.partitionBy(*PAIR, "built").orderBy(order, "path"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= n)
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*PAIR, "built", *keys).orderBy(order, "path"))
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(256)))
+    few = parts.withColumn("rank", first("part")).where(F.col("rank") <= n).drop("rank", "part")
+    return few.withColumn("rank", first()).where(F.col("rank") <= n)
 
 
 def discrepancies(false_positive: DataFrame, outside: DataFrame, special: tuple[str, ...]) -> DataFrame:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def windowed_cost(calls: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -22,33 +19,56 @@ def windowed_cost(calls: DataFrame, window: str = "1 hour", late: str = "10 minu
 
 
 def run_available(stream: DataFrame, folder: str) -> DataFrame:
-    """Process what has arrived, append closed windows to Parquet, return the table."""
-    path = f"{folder}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state").option("path", path).trigger(availableNow=True).start()
+    """Process what has arrived since the last call with this folder, append the windows
+    that closed, return the table of all closed windows."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/windows").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/windows")
 
 
 def latest_status(records: DataFrame) -> DataFrame:
-    """Latest record per source and version, with failures so far."""
-    pick = F.struct("outcome", "record_id")
-    return records.groupBy("source", "version").agg(
-        F.max(F.struct("finished_at", pick.alias("r"))).alias("m"), F.count_if(F.col("outcome") != "ok").alias("failures")
-    ).select("source", "version", F.col("m.finished_at").alias("finished_at"), F.col("m.r.outcome").alias("outcome"), "failures")
-
+    """Latest record per source and version, with failures so far: ``(source, version,
+    finished_at, outcome, record_id, failures)``."""
+    rows = records.withColumn("failures", (F.col("outcome") != "ok").cast("long")) if "failures" not in records.columns else records
+    latest = F.max(F.struct("finished_at", "outcome", "record_id")).alias("m")
+    return rows.groupBy("source", "version").agg(latest, F.sum("failures").alias("failures")).select("source", "version", "m.*", "failures")
 
-def keep_status(records: DataFrame, folder: str) -> tuple[StreamingQuery, str]:
-    """Write each batch's changed statuses under its batch number. A batch replayed after
-    a failure overwrites its own folder."""
-    path = f"{folder}/status-{uuid.uuid4().hex}"
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:09d}/rows")
-
-    query = latest_status(records).writeStream.outputMode("update").option("checkpointLocation", f"{path}-state").foreachBatch(save).trigger(availableNow=True).start()
-    return query, path
+class StatusTable:
+    """Latest statuses in a folder, kept up to date from a stream of records.
 
+    A batch is aggregated by itself and appended, so the stream holds no state; every
+    ``compact`` batches what has been written is merged into one part. A batch that is
+    replayed after a failure overwrites its own part.
+    """
 
-def current_status(spark, path: str) -> DataFrame:
-    rows = spark.read.parquet(f"{path}/*/rows")
-    return rows.groupBy("source", "version").agg(F.max_by(F.struct("finished_at", "outcome", "failures"), "batch").alias("s")).select("source", "version", "s.*")
+    def __init__(self, spark: SparkSession, folder: str, compact: int = 16):
+        self.spark, self.folder, self.compact = spark, folder, compact
+
+    def update(self, records: DataFrame) -> None:
+        """Take in what has arrived since the last call with this folder."""
+        query = records.writeStream.option("checkpointLocation", f"{self.folder}/state").foreachBatch(self._save).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    def read(self) -> DataFrame:
+        return latest_status(self.spark.read.parquet(*[f"{self.folder}/{p}" for p in self._parts()]))
+
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _parts(self) -> list[str]:
+        """The newest merged part and the batches after it."""
+        fs, path = self._fs()
+        names = sorted(f.getPath().getName() for f in fs.listStatus(path))
+        upto = max((n for n in names if n.startswith("upto=")), default="upto=")
+        return [n for n in names if n == upto or n.startswith("batch=") and n[6:] > upto[5:]]
+
+    def _save(self, batch: DataFrame, number: int) -> None:
+        latest_status(batch).write.mode("overwrite").parquet(f"{self.folder}/batch={number:012d}")
+        parts = self._parts()
+        if len(parts) > self.compact:
+            self.read().write.mode("overwrite").parquet(f"{self.folder}/upto={number:012d}")
+            fs, path = self._fs()
+            for name in parts:
+                fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name), True)
