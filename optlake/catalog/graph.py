@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from optlake.catalog.packages import installed, overrides, sources
+from optlake.catalog.packages import COST, EDGES, installed, overrides, sources
 from optlake.catalog.registry import query, view
 from optlake.operators import graph as g
 from optlake.operators import packages as p
@@ -60,7 +60,6 @@ def waves_of(v):
 
 # one row for each wave; the state is the list of names placed so far
 WAVES = """
-n AS (SELECT src AS name FROM e UNION SELECT dst FROM e),
 st(wave, placed, fresh, forced) AS (
   SELECT -1, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), FALSE
   UNION ALL
@@ -75,14 +74,25 @@ st(wave, placed, fresh, forced) AS (
 
 
 @query("i01_build_waves", f"""
-WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM v_relations WHERE NOT (rel = 'choice' AND dst NOT IN ('n0', 'n1'))), {WAVES}
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM v_relations WHERE NOT (rel = 'choice' AND dst NOT IN ('n0', 'n1'))),
+n AS (SELECT src AS name FROM e UNION SELECT dst FROM e), {WAVES}
 SELECT unnest(fresh) AS name, wave, forced AS in_cycle FROM st
 """)
 def _(v):
     return waves_of(v)
 
 
-@query("i05_world_plan")
+@query("i05_world_plan", f"""
+WITH RECURSIVE {EDGES}, e AS MATERIALIZED (SELECT * FROM edges),
+sz AS MATERIALIZED (SELECT source, count(DISTINCT bname) AS binaries, CAST(sum(installed_kb) AS BIGINT) AS kb FROM mapped WHERE source IN (SELECT source FROM v_names) GROUP BY 1),
+n AS (SELECT source AS name FROM sz), {WAVES},
+placed AS (SELECT unnest(fresh) AS source, wave, forced AS in_cycle FROM st),
+ver AS (SELECT source, CASE WHEN p_partkey % 4 IN (1, 2) THEN second_version ELSE first_version END AS version FROM v_versions_ab),
+o AS (SELECT source, CASE WHEN tier = 'R' THEN 0 ELSE 1 END AS tier, position, use_stock FROM v_overrides UNION ALL SELECT source, 2, 0, TRUE FROM v_names WHERE source LIKE 'gcc-%'),
+f AS (SELECT source, arg_min(use_stock, (tier, position)) AS use_stock FROM o GROUP BY 1)
+SELECT sz.source, ver.version, sz.binaries, (SELECT count(*) FROM e WHERE e.src = sz.source) AS deps, p.wave, p.in_cycle, {COST.replace("source", "sz.source")} AS cost, coalesce(f.use_stock, FALSE) AS use_stock
+FROM sz JOIN ver ON ver.source = sz.source JOIN placed p ON p.source = sz.source LEFT JOIN f ON f.source = sz.source
+""")
 def _(v):
     return plan_world(installed(v), sources(v), overrides(v))
 

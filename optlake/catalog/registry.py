@@ -57,6 +57,15 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._version = None
+
+    def version(self) -> tuple:
+        """Names, times and sizes of what lies in the folder; one listing."""
+        if self._version is None:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+            files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+            self._version = tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files))
+        return self._version
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -79,9 +88,10 @@ class Inputs:
         return self.once(name, lambda: cut_lineage(self.sql(VIEWS[name][0])))
 
     def once(self, name: str, make: Callable[[], object]):
-        """``make()`` once per session and folder: inputs that a deployment keeps as
-        stored tables are written once and read by every query."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        """``make()`` once per session and state of the folder: inputs that a deployment
+        keeps as stored tables are written once and read by every query; when the folder
+        has changed, they are made anew."""
+        key = (self.spark.sparkContext.applicationId, self.folder, self.version(), name)
         if key not in _STORED:
             _STORED[key] = make()
         return _STORED[key]
