@@ -238,8 +238,7 @@ def _(v):
     store = store_of(v)
     a = g.built_objects(v("configs"), v("objects"), changed_of(v, store), store).select("config_id", "path")
     b = v("inventory").select("config_id", "path")
-    size = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
-    return size("both", a.intersect(b)).union(size("predicted only", a.subtract(b))).union(size("either", a.union(b).distinct()))
+    return s.set_sizes(a, b)
 
 
 @query("e02_build_difference", f"""
@@ -269,12 +268,25 @@ def _(v):
     return s.misses_by_kind(missed, v("objects"), "arch/")
 
 
+def alarms_of(v):
+    return v.sql("SELECT n_name AS arch, o_orderstatus AS analysis_result, c_mktsegment AS selectee, o_orderpriority AS selector FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey")
+
+
 @query("a20_alarm_funnel", """
 SELECT n_name AS arch, o_orderstatus AS analysis_result, count(*) AS constructs, count(DISTINCT (c_mktsegment, o_orderpriority)) AS pairs FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2
 """)
 def _(v):
-    alarms = v.sql("SELECT n_name AS arch, o_orderstatus AS analysis_result, c_mktsegment AS selectee, o_orderpriority AS selector FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey")
-    return s.alarm_funnel(alarms)
+    return s.alarm_funnel(alarms_of(v))
+
+
+@query("a20_funnel_percentiles", """
+WITH a AS (SELECT n_name AS arch, o_orderstatus AS analysis_result, c_mktsegment AS selectee, o_orderpriority AS selector FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey),
+per AS (SELECT arch, analysis_result, count(*) AS constructs FROM a GROUP BY 1, 2), u AS (SELECT analysis_result, count(DISTINCT (selectee, selector)) AS unique_pairs FROM a GROUP BY 1)
+SELECT per.analysis_result, count(*) AS architectures, min(constructs)::DOUBLE AS least, quantile_cont(constructs, 0.25) AS p25, quantile_cont(constructs, 0.5) AS median, quantile_cont(constructs, 0.75) AS p75, max(constructs)::DOUBLE AS most,
+  CAST(sum(constructs) AS BIGINT) AS total, any_value(unique_pairs) AS unique_pairs FROM per JOIN u ON u.analysis_result = per.analysis_result GROUP BY 1
+""")
+def _(v):
+    return s.funnel_percentiles(alarms_of(v))
 
 
 @query("o01_top_symbols", """

@@ -233,6 +233,15 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return middle_values(df, keys, value).select(*keys, F.col("upper").alias("upper_median"))
 
 
+def set_sizes(predicted: DataFrame, known: DataFrame) -> DataFrame:
+    """Sizes of the intersection, of what is only predicted and of the union, from one
+    grouping of both sides."""
+    rows = predicted.withColumn("p", F.lit(True)).withColumn("k", F.lit(False)).unionByName(known.withColumn("p", F.lit(False)).withColumn("k", F.lit(True)))
+    each = rows.groupBy(*predicted.columns).agg(F.bool_or("p").alias("p"), F.bool_or("k").alias("k"))
+    counts = each.agg(F.count_if(F.col("p") & F.col("k")).alias("both"), F.count_if(F.col("p") & ~F.col("k")).alias("only"), F.count(F.lit(1)).alias("either"))
+    return counts.select(F.expr("stack(3, 'both', both, 'predicted only', only, 'either', either) AS (part, n)"))
+
+
 def stratified_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` built and ``n`` unbuilt paths per configuration, the same for the same seed.
     Rows are cut to ``n`` in each of many hashed parts before the parts meet."""
@@ -255,3 +264,15 @@ def discrepancies(false_positive: DataFrame, outside: DataFrame, special: tuple[
 
 def alarm_funnel(alarms: DataFrame) -> DataFrame:
     return alarms.groupBy("arch", "analysis_result").agg(F.count(F.lit(1)).alias("constructs"), F.countDistinct("selectee", "selector").alias("pairs"))
+
+
+def funnel_percentiles(alarms: DataFrame) -> DataFrame:
+    """Per analysis result: spread of the constructs of an architecture, their total, and
+    the selectee and selector pairs that are left without repeats between architectures.
+    One row for each architecture stands behind a percentile."""
+    per = alarm_funnel(alarms)
+    at = F.percentile("constructs", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    spread = per.groupBy("analysis_result").agg(at.alias("p"), F.count(F.lit(1)).alias("architectures"), F.sum("constructs").alias("total"))
+    unique = alarms.groupBy("analysis_result").agg(F.countDistinct("selectee", "selector").alias("unique_pairs"))
+    named = [F.col("p")[i].alias(n) for i, n in enumerate(("least", "p25", "median", "p75", "most"))]
+    return spread.join(unique, "analysis_result").select("analysis_result", "architectures", *named, "total", "unique_pairs")
