@@ -419,8 +419,12 @@ def _(v):
 
 
 @query("p10_close_names", """
-WITH u AS (SELECT n.tree, n.name, regexp_extract(n.name, '[^/]*$') AS base FROM v_asked_names n WHERE NOT EXISTS (SELECT 1 FROM v_objects o WHERE o.tree = n.tree AND o.path = replace(n.name, '.c', '.o')))
-SELECT tree, name, suggestion, rank FROM (SELECT u.tree, u.name, o.path AS suggestion, row_number() OVER (PARTITION BY u.tree, u.name ORDER BY levenshtein(u.name, o.path), o.path) AS rank FROM u JOIN v_objects o ON o.tree = u.tree AND regexp_extract(o.path, '[^/]*$') = u.base) WHERE rank <= 5
+WITH u AS (SELECT n.tree, n.name, replace(n.name, '.c', '.o') AS path FROM v_asked_names n WHERE NOT EXISTS (SELECT 1 FROM v_objects o WHERE o.tree = n.tree AND o.path = replace(n.name, '.c', '.o'))),
+w AS (SELECT *, regexp_extract(path, '[^/]*$') AS base FROM u), k AS (SELECT tree, path, regexp_extract(path, '[^/]*$') AS base FROM v_objects),
+pw AS (SELECT *, list_transform(range(1, greatest(length(split_part(base, '.', 1)) - 2, 1) + 1), lambda i: substr(split_part(base, '.', 1), i, 3)) AS pieces FROM w),
+pk AS (SELECT *, list_transform(range(1, greatest(length(split_part(base, '.', 1)) - 2, 1) + 1), lambda i: substr(split_part(base, '.', 1), i, 3)) AS pieces FROM k)
+SELECT tree, name, suggestion, rank FROM (SELECT pw.tree, pw.name, pk.path AS suggestion, row_number() OVER (PARTITION BY pw.tree, pw.name ORDER BY levenshtein(pw.path, pk.path), pk.path) AS rank
+  FROM pw JOIN pk ON pk.tree = pw.tree AND list_has_any(pw.pieces, pk.pieces) AND levenshtein(pw.base, pk.base) <= 2) WHERE rank <= 5
 """)
 def _(v):
     unknown = lint.object_of(v("asked_names"), v("objects")).where("NOT known")

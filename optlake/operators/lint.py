@@ -116,13 +116,26 @@ def object_of(names: DataFrame, objects: DataFrame) -> DataFrame:
     return asked.join(objects.select("tree", "path", F.lit(True).alias("known")), ["tree", "path"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def close_names(unknown: DataFrame, objects: DataFrame, n: int = 5) -> DataFrame:
-    """Up to ``n`` objects with the same base name elsewhere in the tree, nearest path
-    first: suggestions for names that are not known."""
-    base = objects.select("tree", F.col("path").alias("suggestion"), pt.base_name(F.col("path")).alias("base"))
-    rows = unknown.withColumn("base", pt.base_name(F.col("path"))).join(base, ["tree", "base"]).withColumn("distance", F.levenshtein("path", "suggestion"))
-    rank = F.row_number().over(Window.partitionBy("tree", "name").orderBy("distance", "suggestion"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= n).select("tree", "name", "suggestion", "rank")
+def _pieces(base: Column) -> Column:
+    """Three-letter pieces of a name without its extension; a short name is one piece."""
+    stem = F.substring_index(base, ".", 1)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(stem) - 2, F.lit(1))), lambda i: F.substring(stem, i, F.lit(3))))
+
+
+def close_names(unknown: DataFrame, objects: DataFrame, n: int = 5, far: int = 2) -> DataFrame:
+    """Up to ``n`` objects of the tree for each name that is not known, nearest path first:
+    those whose base name shares a three-letter piece and differs by ``far`` edits at most.
+    Distinct base names meet first, paths after that; paths are cut to ``n`` in hashed parts
+    before the parts meet."""
+    known = objects.select("tree", F.col("path").alias("suggestion"), pt.base_name(F.col("path")).alias("base"))
+    asked = unknown.select("tree", "name", "path", pt.base_name(F.col("path")).alias("wanted"))
+    left = asked.select("tree", "wanted").distinct().select("tree", "wanted", F.explode(_pieces(F.col("wanted"))).alias("piece"))
+    right = known.select("tree", "base").distinct().select("tree", "base", F.explode(_pieces(F.col("base"))).alias("piece"))
+    alike = left.join(right, ["tree", "piece"]).where(F.levenshtein("wanted", "base") <= far).select("tree", "wanted", "base").distinct()
+    rows = asked.join(alike, ["tree", "wanted"]).join(known, ["tree", "base"]).withColumn("distance", F.levenshtein("path", "suggestion"))
+    first = lambda *keys: F.row_number().over(Window.partitionBy("tree", "name", *keys).orderBy("distance", "suggestion"))
+    few = rows.withColumn("part", F.pmod(F.xxhash64("suggestion"), F.lit(64))).withColumn("rank", first("part")).where(F.col("rank") <= n)
+    return few.withColumn("rank", first()).where(F.col("rank") <= n).select("tree", "name", "suggestion", "rank")
 
 
 def blind_spots(objects: DataFrame, ever: DataFrame, sources: DataFrame, fields: DataFrame) -> DataFrame:
