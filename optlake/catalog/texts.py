@@ -333,6 +333,15 @@ def _(v):
     return records(v).select("symbol", "selected_by", "bindings", "usages", "modules", "subsystems", "risks", "listed_usages")
 
 
+@query("j36_record_places", f"""
+WITH {RECORDS}, places AS (SELECT symbol, string_agg(path || ':' || line_no, ' ' ORDER BY path, line_no) AS usage_list FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY path, line_no) AS rn FROM uses) WHERE rn <= 100 GROUP BY 1)
+SELECT r.symbol, coalesce(usage_list, '') AS usage_list, sha256(concat_ws('|', r.symbol, selected_by, bindings, usages, modules, subsystems, risks, coalesce(usage_list, ''))) AS fact_hash
+FROM rec r LEFT JOIN places p ON p.symbol = r.symbol
+""")
+def _(v):
+    return records(v).select("symbol", "usage_list", "fact_hash")
+
+
 @query("p17_module_names", f"WITH {NAMED} SELECT tree, path, line_no, symbol, CASE ln WHEN 1 THEN 'f' || pk || ' g_x' WHEN 4 THEN 'a' || pk || ' b' || pk || ' c' ELSE '' END AS modules FROM named")
 def _(v):
     return bindings(v).select("tree", "path", "line_no", "symbol", F.array_join(lint.module_names(F.col("objects")), " ").alias("modules"))

@@ -241,16 +241,20 @@ def expression_symbols(expression: Column, known: Column) -> Column:
 
 def symbol_records(options: DataFrame, relations: DataFrame, bindings: DataFrame, usages: DataFrame, tags: DataFrame) -> DataFrame:
     """One record per declared option: relations, bindings and usages counted, modules, the
-    first hundred usages, tags. Everything is reduced per option before it is joined."""
+    first hundred usages with their places, tags, and a digest of it all. Everything is
+    reduced per option before it is joined."""
     mods = bindings.select("symbol", F.explode(module_names(F.col("objects"))).alias("m")).distinct().groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_list("m")), " ").alias("modules"))
     bound = bindings.groupBy("symbol").agg(F.count(F.lit(1)).alias("bindings"))
     used = usages.groupBy("symbol").agg(F.count(F.lit(1)).alias("usages"))
     kept = first_per_group(usages.select("symbol", "path", "line_no"), "symbol", ["path", "line_no"], 100)
-    listed = kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("listed_usages"))
+    places = F.transform(F.array_sort(F.collect_list(F.struct("path", "line_no"))), lambda x: F.concat_ws(":", x["path"], x["line_no"].cast("string")))
+    listed = kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("listed_usages"), F.array_join(places, " ").alias("usage_list"))
     out = options.select("symbol").distinct()
     for df in (relations, bound, used, listed, mods, tags):
         out = out.join(df, "symbol", "left")
-    return out.na.fill(0, ["bindings", "usages", "listed_usages"]).na.fill("", ["modules", "subsystems", "risks", "selected_by", "implied_by"])
+    out = out.na.fill(0, ["bindings", "usages", "listed_usages"]).na.fill("", ["modules", "subsystems", "risks", "selected_by", "implied_by", "usage_list"])
+    facts = ("symbol", "selected_by", "bindings", "usages", "modules", "subsystems", "risks", "usage_list")
+    return out.withColumn("fact_hash", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in facts]), 256))
 
 
 def guidance(records: DataFrame) -> DataFrame:
