@@ -333,6 +333,11 @@ FROM v_hosts h JOIN v_gpu_flags g ON g.host = h.host
 """)
 
 
+def workloads(v):
+    flags = F.when(F.col("cores") == 7, F.array(F.lit("hypervisor"))).otherwise(F.array(F.lit("fpu")))
+    return f.workload(v("workload_facts").withColumn("flags", flags))
+
+
 @query("p19_workload", """
 WITH n AS (SELECT host, (sys_vendor = 'QEMU')::INT + has_hypervisor::INT + (cores = 7)::INT AS g, has_devicetree::INT + (arch = 'aarch64')::INT AS e, (chassis_type IN (8, 9, 10, 11, 14, 30, 31, 32))::INT + has_battery::INT AS l,
   (chassis_type IN (17, 23, 28, 29))::INT + (product_family LIKE 'PowerEdge%')::INT + (NOT has_gpu AND NOT has_battery AND cores >= 16)::INT AS s, chassis_type IN (3, 4, 5, 6, 7, 35) AS d FROM v_workload_facts)
@@ -340,8 +345,19 @@ SELECT host, CASE WHEN g > 0 THEN 'vm-guest' WHEN e > 0 THEN 'embedded' WHEN l >
   CAST(CASE WHEN g > 0 THEN CASE WHEN g >= 2 THEN 0.95 ELSE 0.75 END WHEN e > 0 THEN CASE WHEN e >= 2 THEN 0.75 ELSE 0.55 END WHEN l > 0 THEN CASE WHEN l >= 2 THEN 0.95 ELSE 0.8 END WHEN s > 0 THEN CASE WHEN s >= 2 THEN 0.9 ELSE 0.7 END WHEN d THEN 0.85 ELSE 0.55 END AS DOUBLE) AS confidence FROM n
 """)
 def _(v):
-    flags = F.when(F.col("cores") == 7, F.array(F.lit("hypervisor"))).otherwise(F.array(F.lit("fpu")))
-    return f.workload(v("workload_facts").withColumn("flags", flags))
+    return workloads(v).drop("reasons")
+
+
+@query("p19_workload_reasons", """
+SELECT host, coalesce(CASE WHEN g <> '' THEN g WHEN e <> '' THEN e WHEN l <> '' THEN l WHEN s <> '' THEN s ELSE d END, '') AS reasons FROM (SELECT host,
+  concat_ws(', ', CASE WHEN cores = 7 THEN 'hypervisor flag' END, CASE WHEN sys_vendor = 'QEMU' THEN 'cloud vendor' END, CASE WHEN has_hypervisor THEN 'hypervisor platform' END) AS g,
+  concat_ws(', ', CASE WHEN has_devicetree THEN 'device tree' END, CASE WHEN arch = 'aarch64' THEN 'architecture' END) AS e,
+  concat_ws(', ', CASE WHEN chassis_type IN (8, 9, 10, 11, 14, 30, 31, 32) THEN 'laptop chassis' END, CASE WHEN has_battery THEN 'battery' END) AS l,
+  concat_ws(', ', CASE WHEN chassis_type IN (17, 23, 28, 29) THEN 'server chassis' END, CASE WHEN product_family LIKE 'PowerEdge%' THEN 'product line' END, CASE WHEN NOT has_gpu AND NOT has_battery AND cores >= 16 THEN 'many cores without screen' END) AS s,
+  CASE WHEN chassis_type IN (3, 4, 5, 6, 7, 35) THEN 'desktop chassis' END AS d FROM v_workload_facts)
+""")
+def _(v):
+    return workloads(v).select("host", F.array_join("reasons", ", ").alias("reasons"))
 
 
 view("v_audio_facts", """

@@ -157,25 +157,31 @@ def microarch_proposals(recommended: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def workload(hosts: DataFrame) -> DataFrame:
-    """Profile of each host, first of VM guest, embedded, laptop, server, desktop."""
+    """Profile of each host, first of VM guest, embedded, laptop, server, desktop, with
+    the signs that speak for it: the more of them, the surer."""
     chassis = F.col("chassis_type")
     # fixed values: vendor words, chassis classes and server lines
     cloud = r"qemu|amazon ec2|google|microsoft corporation|innotek gmbh|vmware, inc\.|xen|openstack foundation|bochs|red hat"
     laptops, servers, desktops = (8, 9, 10, 11, 14, 30, 31, 32), (17, 23, 28, 29), (3, 4, 5, 6, 7, 35)
     lines = "poweredge|proliant|ucs|thinksystem|primergy|primepower"
     yes = lambda c: F.coalesce(c, F.lit(False))
-    n = lambda *cs: reduce(lambda a, b: a + b, [yes(c).cast("int") for c in cs])
-    guest = n(F.array_contains("flags", "hypervisor"), F.lower("sys_vendor").rlike(cloud), F.col("has_hypervisor"))
-    embedded = n(F.col("has_devicetree"), F.lower("arch").rlike("^(arm|aarch|risc|mips)"))
-    laptop = n(chassis.isin(*laptops), F.col("has_battery"))
-    server = n(chassis.isin(*servers), F.lower("product_family").rlike(lines), ~F.col("has_gpu") & ~F.col("has_battery") & (F.col("cores") >= 16))
+    signs = lambda **named: F.array_compact(F.array(*[F.when(yes(c), k.replace("_", " ")) for k, c in named.items()]))
+    guest_signs = signs(hypervisor_flag=F.array_contains("flags", "hypervisor"), cloud_vendor=F.lower("sys_vendor").rlike(cloud), hypervisor_platform=F.col("has_hypervisor"))
+    embedded_signs = signs(device_tree=F.col("has_devicetree"), architecture=F.lower("arch").rlike("^(arm|aarch|risc|mips)"))
+    laptop_signs = signs(laptop_chassis=chassis.isin(*laptops), battery=F.col("has_battery"))
+    server_signs = signs(server_chassis=chassis.isin(*servers), product_line=F.lower("product_family").rlike(lines), many_cores_without_screen=~F.col("has_gpu") & ~F.col("has_battery") & (F.col("cores") >= 16))
+    guest, embedded, laptop, server = (F.size(x) for x in (guest_signs, embedded_signs, laptop_signs, server_signs))
     profile = first_match([(guest > 0, "vm-guest"), (embedded > 0, "embedded"), (laptop > 0, "laptop"), (server > 0, "server")], "desktop")
     confidence = (
         F.when(guest > 0, F.when(guest >= 2, 0.95).otherwise(0.75)).when(embedded > 0, F.when(embedded >= 2, 0.75).otherwise(0.55))
         .when(laptop > 0, F.when(laptop >= 2, 0.95).otherwise(0.80)).when(server > 0, F.when(server >= 2, 0.90).otherwise(0.70))
         .otherwise(F.when(yes(chassis.isin(*desktops)), 0.85).otherwise(0.55))
     )
-    return hosts.select("host", profile.alias("profile"), confidence.alias("confidence"))
+    reasons = (
+        F.when(guest > 0, guest_signs).when(embedded > 0, embedded_signs).when(laptop > 0, laptop_signs).when(server > 0, server_signs)
+        .otherwise(signs(desktop_chassis=chassis.isin(*desktops)))
+    )
+    return hosts.select("host", profile.alias("profile"), confidence.alias("confidence"), reasons.alias("reasons"))
 
 
 def audio(facts: DataFrame) -> DataFrame:
