@@ -210,7 +210,8 @@ def nvidia_branch(packages: DataFrame, dkms: DataFrame) -> DataFrame:
     known = reduce(lambda x, y: x | y, [name.startswith(k) for k in kinds])
     rows = packages.withColumn("branch", F.when(known, F.get(number, F.lit(0))))
     best = rows.where("branch IS NOT NULL").groupBy("host").agg(F.min_by("branch", F.struct(rank.alias("r"), "name")).alias("branch"))
-    opened = rows.groupBy("host").agg(F.collect_set("name").alias("names"))
+    # only the few driver packages of a host
+    opened = rows.where(known).groupBy("host").agg(F.collect_set("name").alias("names"))
     built = dkms.where("name = 'nvidia'").groupBy("host").agg(F.substring_index(F.min("version"), ".", 1).try_cast("int").cast("string").alias("dkms_branch"))
     has = lambda *parts: F.array_contains("names", F.concat(*[F.lit(p) if p != "branch" else F.col("branch") for p in parts]))
     is_open = lambda n: (n.startswith("nvidia-driver-") & n.endswith("-open")) | (n.startswith("nvidia-dkms-") & n.endswith("-open")) | (n.startswith("linux-modules-nvidia-") & n.contains("-open-"))
