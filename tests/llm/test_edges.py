@@ -1,5 +1,7 @@
 """Odd inputs: every operator gives one row for each row, and a defined result."""
 
+import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -7,6 +9,7 @@ from collections import Counter
 import pytest
 
 from optlake.llm import decontaminate, lines, mixing, quality, rules, sharding, simhash, toxicity, urls
+from optlake.llm.components import components
 
 BLANK = "[^\x20\x09-\x0d]+"
 
@@ -99,6 +102,43 @@ def test_lines(odd_docs, no_docs):
     assert texts[7] == "un été à la plage, l'après-midi; 日本語 テキスト 🙂 fin\nsecond line\n\n" and texts[5] is None
 
 
+def test_lines_of_crowded_buckets(spark):
+    """Every two lines that share a bucket and are alike end up in one component, as in a
+    chain in which the middle line has matched already and in a family of one template."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(60):
+        words = [word() for _ in range(14)]
+        for k in range(3):
+            texts.append(" ".join(words[:10] + ["tail%d" % (i < k) for i in range(2)] + words[10:]))
+            words[12 - k] = word()
+    head = "connection to the server of the northern region was closed after "
+    texts += [head + f"{rng.choice(['idle', 'busy', 'open'])} {word()} seconds {rng.choice('xyz') * 3}{i % 7}" for i in range(400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line_id long, line string")
+    buckets = {r["line_id"]: set(r["buckets"]) for r in lines.signatures(rows, 5, 6, 4).collect()}
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if buckets[i] & buckets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    want = {i: top(i) for i in range(len(texts))}
+    got = dict(map(tuple, components(lines.similar_lines(rows, bands=6, rows=4)).collect()))
+    assert {i: got.get(i, i) for i in want} == want
+    tiled, lines.TILE = lines.TILE, 16
+    try:
+        got = dict(map(tuple, components(lines.similar_lines(rows, bands=6, rows=4)).collect()))
+    finally:
+        lines.TILE = tiled
+    assert {i: got.get(i, i) for i in want} == want
+
+
 def test_urls(spark):
     rules_ = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("a.b", "/x", "allow"), ("a.b", "/x", "block")]
     pages = spark.createDataFrame(
