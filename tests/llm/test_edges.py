@@ -1,5 +1,6 @@
 """Odd inputs: every operator gives one row for each row, and a defined result."""
 
+import inspect
 import itertools
 import random
 import re
@@ -139,6 +140,13 @@ def test_lines_of_crowded_buckets(spark):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_line_bands():
+    """A pair at the wanted similarity shares a bucket with a chance of at least 99.5%."""
+    for f in (lines.similar_lines, lines.mark_lines):
+        given = {k: p.default for k, p in inspect.signature(f).parameters.items()}
+        assert 1 - (1 - given["similarity"] ** given["rows"]) ** given["bands"] > 0.995
+
+
 def test_urls(spark):
     rules_ = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("a.b", "/x", "allow"), ("a.b", "/x", "block")]
     pages = spark.createDataFrame(
