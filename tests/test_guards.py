@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from optlake.operators import covers
 from optlake.operators import guards as g
+from optlake.plans import reports
 
 NODES = "tree long, node_id string, op string, symbol string, want string, level int"
 EDGES = "tree long, parent string, child string"
@@ -100,6 +101,16 @@ def test_satisfiability_and_changes(spark, formulas, tables):
     assert "unknown" in limited
 
 
+def test_undecided_guards_are_not_dead(spark, formulas, tables):
+    nodes = formulas[0]
+    none = spark.createDataFrame([], "symbol string, banned string")
+    guards = tables[2].select("tree", "guard_id")
+    got = {r.guard_id: r.alive_on for r in reports.first_reviving(tables[0], tables[1], guards, {"arm": none, "mips": none}, limit=1).collect()}
+    status = {r.guard_id: r.status for r in g.satisfiability(*tables, limit=1).collect()}
+    assert "unknown" in status.values() and set(got) == set(nodes)
+    assert got == {n: {"dead": None, "unknown": "unknown"}.get(s, "arm") for n, s in status.items()}
+
+
 def test_pivotal(spark, formulas, tables):
     nodes, _, truth = formulas
     rng = random.Random(2)
