@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optlake.llm import decontaminate, lines, mixing, quality, rules, sharding, simhash, tokens, toxicity, urls
+from optlake.llm import bpe, conversations, decontaminate, lines, mixing, quality, rules, sharding, simhash, tokens, toxicity, urls
 from optlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,98 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document for toxicity, learnt from labels outside the held-out fifth."""
     return toxicity.classify_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+#: CRC-32 of an ASCII text, for the checks: a table of 256 steps, then one step a letter.
+CRC_SQL = r"""
+bits AS (
+  SELECT i AS n, 0 AS k, i AS c FROM range(256) r(i)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS steps FROM bits WHERE k = 8),
+"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL of the CRC-32 of an ASCII text beside ``crc_table``."""
+    letters = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {letters}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+REPAIR_SQL = (
+    "WITH RECURSIVE" + CRC_SQL + r"""
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, """
+    + crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    + r""" % 20 AS kind
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed WHERE kind <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS said,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS cut
+  FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before,
+         CASE WHEN cut = '' THEN 'b' WHEN said > 1 THEN 'd' WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault
+  FROM ordered),
+counts AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count_if(fault = 'b')::BIGINT AS blank, count_if(fault = 'd')::BIGINT AS duplicate, count_if(fault = 't')::BIGINT AS truncated,
+         count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM marked GROUP BY conv_id),
+step(place, initial, after) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+grow(place, after, cost, audit) AS (
+  VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+best AS (
+  SELECT conv_id, 0::BIGINT AS n, 0 AS place, {'cost': 0, 'audit': ''} AS found FROM counts
+  UNION ALL
+  SELECT conv_id, n, place, min(found) FROM (
+    SELECT m.conv_id, m.n, moves.place, {'cost': b.found.cost + g.cost + moves.cost + CASE WHEN m.fault = 't' AND moves.letter <> 'D' THEN 3 ELSE 0 END, 'audit': b.found.audit || g.audit || moves.letter} AS found
+    FROM best b JOIN grow g ON g.place = b.place
+    JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.n = b.n + 1
+    JOIN (SELECT place AS from_place, '*' AS initial, place, 4 AS cost, 'D' AS letter FROM (VALUES (0), (1), (2), (3)) p(place)
+          UNION ALL SELECT place, initial, after, 0, 'K' FROM step
+          UNION ALL SELECT place, '*', after, 3, 'R' FROM step WHERE initial <> 's') moves ON moves.from_place = g.after AND (moves.initial = '*' OR moves.initial = m.initial) AND (moves.letter = 'D' OR m.fault IN ('t', '-')))
+  GROUP BY conv_id, n, place),
+chosen AS (
+  SELECT b.conv_id, min({'cost': b.found.cost + g.cost, 'audit': b.found.audit || g.audit}) AS found
+  FROM best b JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.rows = b.n
+  JOIN grow g ON g.place = b.place AND g.after IN (0, 3) GROUP BY b.conv_id),
+letters AS (
+  SELECT conv_id, found.audit AS audit, unnest(range(1, length(found.audit) + 1)) AS pos FROM chosen),
+placed AS (
+  SELECT conv_id, pos, audit[pos] AS letter, length(replace(audit[1:pos], 'I', '')) AS n, length(replace(audit[1:pos], 'D', '')) AS spot, length(replace(audit, 'D', '')) AS size
+  FROM letters),
+repaired AS (
+  SELECT p.conv_id, sha256(string_agg(CASE letter WHEN 'K' THEN m.role ELSE CASE WHEN (spot - size % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+         || ':' || CASE letter WHEN 'I' THEN '' ELSE m.text END, chr(10) ORDER BY pos)) AS digest
+  FROM placed p LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.n = p.n
+  WHERE letter <> 'D' GROUP BY p.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(found.cost, 0)::BIGINT AS cost, coalesce(found.audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN chosen s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+""")
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair and the repaired rows' hash."""
+    return conversations.repair_conversations(conversations.damage(table(spark, folder, "conversations")))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document under the public 50k ranks, and what they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode_documents(encoded, path))
