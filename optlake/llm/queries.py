@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optlake.llm import bpe, conversations, decontaminate, lines, mixing, quality, rules, sharding, simhash, tokens, toxicity, urls
+from optlake.llm import bpe, conversations, decontaminate, lines, merkle, mixing, quality, rules, sharding, simhash, tokens, toxicity, urls
 from optlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,6 +190,58 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {letters}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+MANIFEST_SQL = (
+    "WITH RECURSIVE" + CRC_SQL + r"""
+changed AS (
+  SELECT *, CASE WHEN """
+    + crc_sql("doc_id::VARCHAR")
+    + r""" % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS new_text
+  FROM documents, crc_table),
+leaves AS (
+  SELECT doc_id, lang,
+         sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') || coalesce(strlen(new_text) || ':' || new_text, '-')) AS claimed
+  FROM changed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+  FROM leaves),
+levels AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 7) // 8) FROM levels WHERE n > 1 GROUP BY tree, level, pos // 8),
+subroots AS (SELECT tree, digest, count(*) OVER () AS trees FROM levels WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS pos, digest, trees AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 7) // 8) FROM tops WHERE n > 1 GROUP BY level, pos // 8),
+nodes AS (
+  SELECT tree, level, pos, digest, n FROM levels WHERE n > 1 UNION ALL SELECT -1, level, pos, digest, n FROM tops WHERE n > 1),
+sides AS (
+  SELECT a.tree, a.level, a.pos, a.n, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS behind
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 GROUP BY a.tree, a.level, a.pos, a.n),
+climb AS (
+  SELECT tree AS own, pos AS leaf_pos, CASE WHEN n = 1 THEN -1 ELSE tree END AS tree, 0 AS level, CASE WHEN n = 1 THEN tree ELSE pos END AS pos, claimed AS folded, '' AS siblings, 0 AS steps FROM placed
+  UNION ALL
+  SELECT own, leaf_pos, CASE WHEN s.n <= 8 THEN -1 ELSE s.tree END, CASE WHEN s.n <= 8 AND s.tree >= 0 THEN 0 ELSE s.level + 1 END, CASE WHEN s.n <= 8 AND s.tree >= 0 THEN s.tree ELSE s.pos // 8 END,
+         sha256(before || folded || behind), siblings || before || behind, steps + 1
+  FROM climb c JOIN sides s ON c.tree = s.tree AND c.level = s.level AND c.pos = s.pos),
+finished AS (SELECT own, leaf_pos, max_by(folded, steps) AS folded, max_by(siblings, steps) AS siblings FROM climb GROUP BY own, leaf_pos),
+root AS (SELECT digest AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, s.digest AS subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM placed p JOIN finished f ON f.own = p.tree AND f.leaf_pos = p.pos JOIN subroots s ON s.tree = p.tree, root
+""")
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof and roots, and whether it still verifies where tampered."""
+    return merkle.tampered_manifest(table(spark, folder, "documents"))
+
+
 REPAIR_SQL = (
     "WITH RECURSIVE" + CRC_SQL + r"""
 keyed AS (
