@@ -13,8 +13,8 @@ The published pattern never joins what stands on both sides of a space between t
 marks, so words are looked up before they are cut into pieces.
 
 Documents are independent rows: nothing is shuffled, and memory is a batch of texts, its ids and
-two generations of ``REMEMBERED`` pieces and words that a worker has met (they live beside
-the ranks in the worker's copy of the broadcast, so that later tasks find them). The ranks are the only broadcast; their size
+two generations of ``REMEMBERED`` words that a worker has met (they live beside the ranks
+in the worker's copy of the broadcast, so that later tasks find them). The ranks are the only broadcast; their size
 is that of the file, which the driver reads.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; a very long text or
@@ -31,6 +31,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern of the published rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of one generation of a memo.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Characters, and pieces of a part without spaces, that are looked up together.
 GROUP = 1_000_000
 STRIDE = 100_000
@@ -170,39 +171,38 @@ class Memo:
 
 
 class Encoder:
-    """Ids of texts, as int32 bytes. Pieces and whole words that were met are remembered;
-    the memos may be handed on from task to task of a worker."""
+    """Ids of texts, as int32 bytes. Words that were met are remembered; the memo may be
+    handed on from task to task of a worker."""
 
     def __init__(self, ranks: dict[bytes, int], table: tuple, pattern: str, memos: dict | None = None):
         self.ranks, self.table, self.cut = ranks, table, regex.compile(pattern)
         self.letters = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.by_words = pattern == PATTERN
-        memos = {} if memos is None else memos
-        self.pieces, self.words = memos.setdefault("pieces", Memo()), memos.setdefault("words", Memo())
+        self.words = ({} if memos is None else memos).setdefault("words", Memo())
 
-    def _learn(self, pieces: set) -> None:
-        trees: dict[int, list] = {}
-        for piece in self.pieces.missing(pieces):
+    def _ids(self, pieces: set) -> dict[str, bytes]:
+        """Ids of pieces."""
+        found, trees = {}, {}
+        for piece in pieces:
             data = piece.encode()
             whole = self.ranks.get(data)
             if whole is not None:
-                self.pieces.young[piece] = whole.to_bytes(4, "little")
+                found[piece] = whole.to_bytes(4, "little")
             elif len(data) > WIDEST:
-                self.pieces.young[piece] = np.array(merge_piece(self.ranks, data), "<i4").tobytes()
+                found[piece] = np.array(merge_piece(self.ranks, data), "<i4").tobytes()
             else:
                 trees.setdefault(1 << (len(data) - 1).bit_length(), []).append((piece, data))
-        known = self.pieces.young
-        for width, found in trees.items():
-            for k in range(0, len(found), 20_000):
-                part = found[k : k + 20_000]
-                known.update(zip((p for p, _ in part), merge_pieces(self.table, self.letters, [d for _, d in part], width)))
+        for width, some in trees.items():
+            for k in range(0, len(some), 4_000):
+                part = some[k : k + 4_000]
+                found.update(zip((p for p, _ in part), merge_pieces(self.table, self.letters, [d for _, d in part], width)))
+        return found
 
     def _learn_words(self, words: list[str]) -> None:
         """Words without spaces, cut as they are after a space: only the first piece of
         each has one."""
         pieces = self.cut.findall("".join([" " + w for w in words]))
-        self._learn(set(pieces))
-        ids = list(map(self.pieces.young.__getitem__, pieces))
+        ids = list(map(self._ids(set(pieces)).__getitem__, pieces))
         starts = [k for k, p in enumerate(pieces) if p[0] == " "]
         self.words.young.update((w, b"".join(ids[a:b])) for w, a, b in zip(words, starts, [*starts[1:], len(ids)]))
 
@@ -210,8 +210,7 @@ class Encoder:
         """A part cut by the pattern, its pieces met as a stream."""
         found, ids = map(regex.Match.group, self.cut.finditer(part)), []
         while pieces := list(islice(found, STRIDE)):
-            self._learn(set(pieces))
-            ids.append(b"".join(map(self.pieces.young.__getitem__, pieces)))
+            ids.append(b"".join(map(self._ids(set(pieces)).__getitem__, pieces)))
         return b"".join(ids)
 
     def _odd(self, words: list[str]) -> bytes:
@@ -245,8 +244,7 @@ class Encoder:
         """Ids of texts that begin without a space of their own."""
         ends = [boundary(t, 1) for t in texts]
         heads = [self.cut.findall(t[:e]) if e <= GROUP else t[:e] for t, e in zip(texts, ends)]
-        self._learn({p for h in heads if isinstance(h, list) for p in h})
-        known = self.pieces.young
+        known = self._ids({p for h in heads if isinstance(h, list) for p in h})
         first = [b"".join(map(known.__getitem__, h)) if isinstance(h, list) else h for h in heads]
         first = [self._stream(h) if isinstance(h, str) else h for h in first]
         return [a + b for a, b in zip(first, self._spaced([t[e:] for t, e in zip(texts, ends)]))]
@@ -306,15 +304,23 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col="doc_id",
 def decode_documents(encoded: DataFrame, path: str, ids_col="ids") -> DataFrame:
     """``encoded`` with ``decoded``: the bytes its ids stand for, null for null ids. An id
     that the vocabulary lacks is an error."""
-    held = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(path).items()})
-    at, others = encoded.columns.index(ids_col), [c for c in encoded.columns if c != "decoded"]
+    tokens = {rank: token for token, rank in load_ranks(path).items()}
+    held = encoded.sparkSession.sparkContext.broadcast([tokens.get(i) for i in range(max(tokens) + 1)])
+    others = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches):
-        token = held.value.__getitem__
+        tokens = pa.array(held.value, pa.binary())
         for batch in batches:
-            lists = (ids.values for ids in batch.column(at))
-            data = [None if ids is None else b"".join(map(token, ids.to_pylist())) for ids in lists]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(data, pa.binary())], names=[*others, "decoded"])
+            ids = batch.column(ids_col)
+            taken = tokens.take(ids.values.slice(ids.offsets[0].as_py(), ids.offsets[-1].as_py() - ids.offsets[0].as_py()))
+            if taken.null_count:
+                raise ValueError("an id is not in the vocabulary")
+            # the bytes of a row's tokens lie side by side in the taken array
+            ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
+            starts = pa.array(ends[np.asarray(ids.offsets) - ids.offsets[0].as_py()])
+            decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, starts.buffers()[1], taken.buffers()[2]])
+            decoded = pc.if_else(ids.is_valid(), decoded, None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), decoded], names=[*others, "decoded"])
 
     kept = encoded.drop("decoded").schema
     return encoded.mapInArrow(run, kept.add("decoded", "binary"))
