@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from optlake.operators.decide import possible_verdicts, written
 from optlake.session import cut_lineage
 
 VALUES = ("undef", "y", "m")
@@ -329,7 +330,7 @@ def co_compilation(objects: DataFrame, hashes: DataFrame) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ truth tables
+# ------------------------------------------------------------------ decisions
 
 
 def scoped_store(key: str, closure: DataFrame, edges: DataFrame, guards: DataFrame, rule=tri_state) -> GuardStore:
@@ -345,136 +346,75 @@ def scoped_store(key: str, closure: DataFrame, edges: DataFrame, guards: DataFra
     return build_store(inside, links, guards.select(F.col(key).alias("tree"), "guard_id").distinct(), rule)
 
 
-def truth_table(symbols: DataFrame, limit: int = 8) -> tuple[DataFrame, DataFrame]:
-    """All assignments of each scope's options.
-
-    ``symbols`` are ``(tree, symbol)`` with one scope per ``tree``. Returns the scopes
-    ``(tree, names, rows)`` with at most ``limit`` options, and their assignments
-    ``(tree, config_id, symbol, value)``; assignment 0 leaves everything unset. A scope
-    has at most ``3 ** limit`` rows whatever the data; larger ones are left to the caller
-    to report as unknown.
-    """
-    scopes = (
-        symbols.groupBy("tree")
-        .agg(F.array_sort(F.collect_set("symbol")).alias("names"))
-        .where(F.size("names") <= limit)
-        .withColumn("rows", F.pow(F.lit(3), F.size("names")).cast("long"))
-    )
-    cells = (
-        scopes.select("tree", "names", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("config_id"))
-        .select("tree", "config_id", F.posexplode("names").alias("i", "symbol"))
-        .withColumn("digit", F.expr("cast(config_id div cast(pow(3, i) as bigint) as bigint) % 3"))
-        .where("digit > 0")
-        .select("tree", "config_id", "symbol", F.when(F.col("digit") == 1, "y").otherwise("m").alias("value"))
-    )
-    return scopes, cells
-
-
-def decode(names: Column, number: Column) -> Column:
-    """Assignment ``number`` of a truth table as text, unset options left out."""
-    digit = lambda i: F.pmod(F.floor(number / F.pow(F.lit(3), i)).cast("long"), F.lit(3))
-    cells = F.transform(names, lambda s, i: F.when(digit(i) == 1, F.concat(s, F.lit("=y"))).when(digit(i) == 2, F.concat(s, F.lit("=m"))))
-    return F.array_join(F.filter(cells, lambda c: c.isNotNull()), " ")
-
-
 def one_guard_per_hash(guards: DataFrame, hashes: DataFrame) -> DataFrame:
     """One ``(tree, guard_id, hash)`` to stand for all guards with the same formula."""
     pick = F.min_by(F.struct("tree", "guard_id"), F.struct("tree", "guard_id")).alias("pick")
     return guards.join(hashes, ["tree", "guard_id"]).groupBy("hash").agg(pick).select("hash", "pick.tree", "pick.guard_id")
 
 
-def satisfiability(nodes: DataFrame, edges: DataFrame, guards: DataFrame, limit: int = 8, domain: DataFrame | None = None) -> DataFrame:
-    """``(tree, guard_id, hash, status)``: dead (never true), always, mixed, or unknown
-    above ``limit`` options. Each distinct formula is tabulated once.
+def judged(nodes: DataFrame, edges: DataFrame, guards: DataFrame, domains: dict[str, DataFrame | None]) -> DataFrame:
+    """``(tree, guard_id, hash, domain, status)`` of every guard under every domain: dead
+    (never true), always or mixed, whatever the number of options. Each distinct formula is
+    decided once a domain, all of them together.
 
-    ``domain`` optionally restricts values: ``(symbol, banned)`` rows forbid a value.
+    A domain restricts values: its ``(symbol, banned)`` rows forbid a value; None forbids
+    nothing. An option can always be unset.
     """
     hashes = cut_lineage(condition_hashes(nodes, edges, guards))
     reps = cut_lineage(one_guard_per_hash(guards, hashes))
     closure = guard_leaves(nodes, edges, reps.select("tree", "guard_id")).join(reps, ["tree", "guard_id"])
-    store = scoped_store("hash", closure, edges, reps)
-    symbols = closure.where("op = 'eq'").select(F.col("hash").alias("tree"), "symbol").distinct()
-    scopes, cells = truth_table(symbols, limit)
-    changed = changed_verdicts(cells, store)
-    allowed = F.col("rows")
-    if domain is not None:
-        bad = cells.join(domain, (cells.symbol == domain.symbol) & (cells.value == domain.banned), "left_semi").select("tree", "config_id").distinct()
-        changed = changed.join(bad, ["tree", "config_id"], "left_anti")
-        scopes = scopes.join(bad.groupBy("tree").agg(F.count(F.lit(1)).alias("bad")), "tree", "left")
-        allowed = F.col("rows") - F.coalesce("bad", F.lit(0))
-    moved = changed.groupBy("tree").agg(F.count(F.lit(1)).alias("moved"))
-    moved_n = F.coalesce("moved", F.lit(0))
-    sizes = symbols.groupBy("tree").agg(F.count(F.lit(1)).alias("k"))
-    status = (
-        store.roots.join(scopes.withColumn("allowed", allowed).select("tree", "allowed"), "tree", "left")
-        .join(sizes, "tree", "left")
-        .join(moved, "tree", "left")
-        .select(
-            F.col("tree").alias("hash"),
-            F.when(F.coalesce("k", F.lit(0)) > limit, "unknown")
-            .when(F.col("default") & (moved_n == 0), "always")
-            .when(~F.col("default") & (moved_n == 0), "dead")
-            .when(~F.col("default") & (moved_n == F.col("allowed")), "always")
-            .otherwise("mixed")
-            .alias("status"),
-        )
-    )
-    return hashes.join(status, "hash", "left")
-
-
-def condition_changes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, limit: int = 8) -> DataFrame:
-    """Compare two guards over every assignment of their options.
+    each = F.explode(F.array(*[F.lit(name) for name in domains])).alias("domain")
+    scopes = cut_lineage(reps.select("hash", each).withColumn("scope", F.concat_ws(" ", "domain", "hash")))
+    inside = closure.join(scopes, "hash").select("scope", "tree", F.col("node_id").alias("node"), "op", "symbol", "want", "level")
+    links = inside.select("scope", "tree", F.col("node").alias("parent")).join(edges, ["tree", "parent"]).select("scope", "parent", "child")
+    roots = reps.join(scopes, "hash").select("scope", F.col("guard_id").alias("root"))
+    banned = None
+    for name, domain in domains.items():
+        if domain is not None:
+            mine = inside.where(F.col("op") == "eq").join(scopes.where(F.col("domain") == name).select("scope"), "scope").select("scope", "symbol").distinct()
+            rows = mine.join(domain.where("banned <> 'undef'").select("symbol", F.col("banned").alias("value")).distinct(), "symbol").select("scope", "symbol", "value")
+            banned = rows if banned is None else banned.unionByName(rows)
+    found = possible_verdicts(inside.drop("tree"), links, roots, None if banned is None else cut_lineage(banned))
+    both = found.groupBy("scope").agg(F.bool_or("verdict").alias("can"), F.bool_and("verdict").alias("must"))
+    status = F.when(F.col("must"), "always").when(F.col("can"), "mixed").otherwise("dead").alias("status")
+    return hashes.join(both.join(scopes, "scope").select("hash", "domain", status), "hash")
+
+
+def satisfiability(nodes: DataFrame, edges: DataFrame, guards: DataFrame, domain: DataFrame | None = None) -> DataFrame:
+    """``(tree, guard_id, hash, status)``: dead (never true), always or mixed."""
+    return judged(nodes, edges, guards, {"all": domain}).drop("domain")
+
+
+def condition_changes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Compare two guards over every assignment of their options, of any number.
 
     ``pairs`` are ``(tree, old, new)``, the two guards of an object that has different
     conditions in two versions. Returns ``(tree, old, new, change, witness)`` with change
-    unchanged, generalized, restricted, diverged or unknown.
+    unchanged, generalized, restricted or diverged, and the first assignment on which the
+    two differ. Each direction is a formula of its own: one holds and the other doesn't.
     """
-    pairs = pairs.select("tree", "old", "new").distinct()
-    keyed = pairs.withColumn("scope", F.concat_ws(" > ", "tree", "old", "new"))
-    both = keyed.select("tree", "scope", F.col("old").alias("guard_id")).unionByName(
-        keyed.select("tree", "scope", F.col("new").alias("guard_id"))
-    ).distinct()
-    closure = guard_leaves(nodes, edges, both.select("tree", "guard_id").distinct()).join(both, ["tree", "guard_id"])
-    store = scoped_store("scope", closure, edges, both)
-    symbols = closure.where("op = 'eq'").select(F.col("scope").alias("tree"), "symbol").distinct()
-    scopes, cells = truth_table(symbols, limit)
-    scopes, cells = cut_lineage(scopes), cut_lineage(cells)
-    changed = changed_verdicts(cells, store).withColumnRenamed("tree", "scope")
-    roots = store.roots.withColumnRenamed("tree", "scope")
-    side = lambda name: roots.select("scope", F.col("guard_id").alias(name), F.col("default").alias(f"{name}_default"))
-    base = keyed.join(side("old"), ["scope", "old"]).join(side("new"), ["scope", "new"])
-    rows = (
-        base.join(changed.select("scope", "config_id", "guard_id", "built"), "scope", "left")
-        .groupBy("scope", "tree", "old", "new", "old_default", "new_default", "config_id")
-        .agg(
-            F.coalesce(F.bool_or(F.when(F.col("guard_id") == F.col("old"), F.col("built"))), F.first("old_default")).alias("a"),
-            F.coalesce(F.bool_or(F.when(F.col("guard_id") == F.col("new"), F.col("built"))), F.first("new_default")).alias("b"),
-        )
-        .unionByName(
-            base.select("scope", "tree", "old", "new", "old_default", "new_default", F.lit(0).cast("long").alias("config_id"),
-                        F.col("old_default").alias("a"), F.col("new_default").alias("b"))
-        )
-    )
-    seen = rows.groupBy("scope", "tree", "old", "new").agg(
-        F.bool_and(~F.col("a") | F.col("b")).alias("wider"),
-        F.bool_and(~F.col("b") | F.col("a")).alias("tighter"),
-        F.min(F.when(F.col("a") != F.col("b"), F.col("config_id"))).alias("where"),
-    )
-    kind = (
-        F.when(F.col("k") > limit, "unknown")
-        .when(F.col("wider") & F.col("tighter"), "unchanged")
-        .when(F.col("wider"), "generalized")
-        .when(F.col("tighter"), "restricted")
-        .otherwise("diverged")
-    )
-    sizes = symbols.groupBy(F.col("tree").alias("scope")).agg(F.count(F.lit(1)).alias("k"))
-    named = scopes.select(F.col("tree").alias("scope"), "names")
-    return (
-        seen.join(sizes, "scope", "left").join(named, "scope", "left")
-        .withColumn("change", kind)
-        .select("tree", "old", "new", "change",
-                F.when(F.col("change").isin("generalized", "restricted", "diverged"), decode(F.col("names"), F.col("where"))).alias("witness"))
-    )
+    pairs = pairs.select("tree", "old", "new").distinct().withColumn("pair", F.concat_ws(" > ", "tree", "old", "new"))
+    ways = F.array(F.struct(F.lit("lost").alias("way"), F.col("old").alias("on"), F.col("new").alias("off")), F.struct(F.lit("won").alias("way"), F.col("new").alias("on"), F.col("old").alias("off")))
+    keyed = pairs.select("tree", "old", "new", "pair", F.explode(ways).alias("w")).select("tree", "old", "new", "pair", "w.*")
+    keyed = cut_lineage(keyed.withColumn("scope", F.concat_ws(" ", "way", "pair")))
+    asked = keyed.select("tree", F.explode(F.array("on", "off")).alias("guard_id"), "scope")
+    closure = guard_leaves(nodes, edges, asked.select("tree", "guard_id").distinct()).join(asked, ["tree", "guard_id"])
+    inside = closure.select("scope", "tree", F.col("node_id").alias("node"), "op", "symbol", "want", "level").distinct()
+    links = inside.select("scope", "tree", F.col("node").alias("parent")).join(edges, ["tree", "parent"]).select("scope", "parent", "child")
+    depth, none = depth_of(nodes), F.lit(None).cast("string")
+    # "! " and "& " begin no node id of a scope, since ids of nodes are those of its tree
+    top = lambda name, op, level: keyed.select("scope", F.lit(name).alias("node"), F.lit(op).alias("op"), none.alias("symbol"), none.alias("want"), F.lit(level).alias("level"))
+    edge = lambda parent, child: keyed.select("scope", F.lit(parent).alias("parent"), child.alias("child"))
+    all_nodes = inside.drop("tree").unionByName(top("! ", "not", depth + 1)).unionByName(top("& ", "and", depth + 2))
+    all_edges = links.unionByName(edge("! ", F.col("off"))).unionByName(edge("& ", F.col("on"))).unionByName(edge("& ", F.lit("! ")))
+    found = possible_verdicts(all_nodes, all_edges, keyed.select("scope", F.lit("& ").alias("root")))
+    seen = keyed.join(found.where("verdict").select("scope", "witness"), "scope", "left").groupBy("tree", "old", "new").agg(
+        F.bool_or(F.when(F.col("way") == "lost", F.col("witness").isNotNull())).alias("lost"),
+        F.bool_or(F.when(F.col("way") == "won", F.col("witness").isNotNull())).alias("won"),
+        F.min("witness").alias("first"),
+    )
+    change = F.when(F.col("lost") & F.col("won"), "diverged").when(F.col("lost"), "restricted").when(F.col("won"), "generalized").otherwise("unchanged")
+    return seen.select("tree", "old", "new", change.alias("change"), F.when(F.col("first").isNotNull(), written(F.col("first"))).alias("witness"))
 
 
 def pivotal_options(asks: DataFrame, values: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

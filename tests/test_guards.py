@@ -1,8 +1,8 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from optlake.operators import covers
 from optlake.operators import guards as g
@@ -88,7 +88,7 @@ def test_satisfiability_and_changes(spark, formulas, tables):
         seen = {truth(n, a) for a in every}
         assert got[n] == ("mixed" if len(seen) == 2 else "always" if seen == {True} else "dead"), n
     names = [n for n, v in nodes.items() if v[3] >= 3]
-    pairs = spark.createDataFrame([(1, a, b) for a, b in itertools.permutations(names[:6], 2)], "tree long, old string, new string")
+    pairs = spark.createDataFrame([(1, a, b) for a, b in itertools.permutations(names[:4], 2)], "tree long, old string, new string")
     for r in g.condition_changes(tables[0], tables[1], pairs).collect():
         both = [(truth(r.old, a), truth(r.new, a)) for a in every]
         wider, tighter = all(b or not a for a, b in both), all(a or not b for a, b in both)
@@ -97,18 +97,53 @@ def test_satisfiability_and_changes(spark, formulas, tables):
         if want != "unchanged":
             a = dict(kv.split("=") for kv in r.witness.split())
             assert truth(r.old, a) != truth(r.new, a)
-    limited = {r.status for r in g.satisfiability(*tables, limit=1).where("guard_id LIKE 'n4%'").collect()}
-    assert "unknown" in limited
 
 
-def test_undecided_guards_are_not_dead(spark, formulas, tables):
-    nodes = formulas[0]
+def test_formulas_of_many_options(spark):
+    """Six levels over twelve options, with shared parts and forbidden values, against all
+    531,441 assignments; witnesses are the first by number."""
+    rng = random.Random(1)
+    names = [f"CONFIG_S{i:02d}" for i in range(12)]
+    grid = np.array(np.meshgrid(*[range(3)] * 12, indexing="ij")[::-1], dtype=np.int8).reshape(12, -1)
+    nodes, edges, truth = {}, set(), {}
+    for i, s in enumerate(names):
+        for d, want in enumerate(("undef", "y", "m")):
+            nodes[f"{s}={want}"], truth[f"{s}={want}"] = ("eq", s, want, 0), grid[i] == d
+    for level in range(1, 7):
+        for i in range(3):
+            name, op = f"n{level}_{i}", rng.choice(["and", "or", "and", "or", "not"])
+            top = rng.choice([n for n, v in nodes.items() if v[3] == level - 1])
+            kids = {top} if op == "not" else {top, *rng.sample(sorted(k for k, v in nodes.items() if v[3] < level), rng.randint(1, 3))}
+            nodes[name] = (op, None, None, level)
+            edges |= {(name, k) for k in kids}
+            got = np.array([truth[k] for k in kids])
+            truth[name] = got.all(0) if op == "and" else got.any(0) if op == "or" else ~got[0]
+    n = spark.createDataFrame([(1, k, *v) for k, v in nodes.items()], NODES)
+    e = spark.createDataFrame([(1, p, c) for p, c in edges], EDGES)
+    high = [k for k, v in nodes.items() if v[3] >= 5]
+    guards = n.selectExpr("tree", "node_id AS guard_id").where("level >= 5")
+    banned = [(s, v) for s in names[:6] for v in rng.sample(["y", "m"], rng.randint(0, 2))]
+    free = np.ones(grid.shape[1], bool)
+    for s, v in banned:
+        free &= grid[names.index(s)] != ("undef", "y", "m").index(v)
+    got = {(r.guard_id, r.domain): r.status for r in g.judged(n, e, guards, {"all": None, "some": spark.createDataFrame(banned, "symbol string, banned string")}).collect()}
+    word = lambda x: "always" if x.all() else "mixed" if x.any() else "dead"
+    assert got == {(k, d): word(truth[k][where]) for k in high for d, where in (("all", slice(None)), ("some", free))}
+    pairs = spark.createDataFrame([(1, a, b) for a, b in itertools.permutations(high[:3], 2)], "tree long, old string, new string")
+    for r in g.condition_changes(n, e, pairs).collect():
+        a, b = truth[r.old], truth[r.new]
+        lost, won = (a & ~b).any(), (b & ~a).any()
+        assert r.change == {(True, True): "diverged", (True, False): "restricted", (False, True): "generalized", (False, False): "unchanged"}[bool(lost), bool(won)]
+        first = np.flatnonzero(a != b)
+        cells = [] if not len(first) else [f"{s}={('undef', 'y', 'm')[d]}" for s, d in zip(names, grid[:, first[0]]) if d]
+        assert r.witness == (" ".join(cells) if len(first) else None)
+
+
+def test_first_reviving_architecture(spark, tables):
     none = spark.createDataFrame([], "symbol string, banned string")
-    guards = tables[2].select("tree", "guard_id")
-    got = {r.guard_id: r.alive_on for r in reports.first_reviving(tables[0], tables[1], guards, {"arm": none, "mips": none}, limit=1).collect()}
-    status = {r.guard_id: r.status for r in g.satisfiability(*tables, limit=1).collect()}
-    assert "unknown" in status.values() and set(got) == set(nodes)
-    assert got == {n: {"dead": None, "unknown": "unknown"}.get(s, "arm") for n, s in status.items()}
+    no_s0 = spark.createDataFrame([("CONFIG_S0", "y"), ("CONFIG_S0", "m")], "symbol string, banned string")
+    got = {r.guard_id: r.alive_on for r in reports.first_reviving(tables[0], tables[1], tables[2], {"arm": no_s0, "mips": none}).collect()}
+    assert (got["S0=y"], got["S0=undef"], got["S1=m"], got["true"], got["false"]) == ("mips", "arm", "arm", "arm", None)
 
 
 def test_pivotal(spark, formulas, tables):
