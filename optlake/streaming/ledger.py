@@ -37,9 +37,12 @@ def latest_status(records: DataFrame) -> DataFrame:
 class StatusTable:
     """Latest statuses in a folder, kept up to date from a stream of records.
 
-    A batch is aggregated by itself and appended, so the stream holds no state; every
-    ``compact`` batches what has been written is merged into one part. A batch that is
-    replayed after a failure overwrites its own part.
+    A batch is aggregated by itself and written as a part, so the stream holds no state;
+    every ``compact`` batches what has been written is merged into one part. A part counts
+    only once its commit record is there, which is written after its data in one step: a
+    part that a crash left half-written is ignored, what it should have replaced is still
+    read, and the replayed batch writes it again. Parts that a merged part stands for are
+    deleted after its record, and those of a crash in between by the next merge.
     """
 
     def __init__(self, spark: SparkSession, folder: str, compact: int = 16):
@@ -51,24 +54,44 @@ class StatusTable:
         query.awaitTermination()
 
     def read(self) -> DataFrame:
-        return latest_status(self.spark.read.parquet(*[f"{self.folder}/{p}" for p in self._parts()]))
+        """All statuses; none where nothing has been written yet."""
+        parts = [f"{self.folder}/{p}" for p in self._parts()]
+        if not parts:
+            return self.spark.createDataFrame([], "source string, version string, finished_at timestamp, outcome string, record_id long, failures long")
+        return latest_status(self.spark.read.parquet(*parts))
 
     def _fs(self):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def _names(self) -> list[str]:
+        fs, path = self._fs()
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
     def _parts(self) -> list[str]:
-        """The newest merged part and the batches after it."""
+        """The newest committed merged part and the committed batches after it."""
+        names = self._names()
+        done = {n.removesuffix(".done") for n in names if n.endswith(".done")}
+        upto = max((n for n in done if n.startswith("upto=")), default="upto=")
+        return sorted(n for n in done.intersection(names) if n == upto or n.startswith("batch=") and n[6:] > upto[5:])
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        """Data first, then the record that makes it count."""
         fs, path = self._fs()
-        names = sorted(f.getPath().getName() for f in fs.listStatus(path))
-        upto = max((n for n in names if n.startswith("upto=")), default="upto=")
-        return [n for n in names if n == upto or n.startswith("batch=") and n[6:] > upto[5:]]
+        record = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"{name}.done")
+        fs.delete(record, False)
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        fs.create(record, True).close()
 
     def _save(self, batch: DataFrame, number: int) -> None:
-        latest_status(batch).write.mode("overwrite").parquet(f"{self.folder}/batch={number:012d}")
-        parts = self._parts()
-        if len(parts) > self.compact:
-            self.read().write.mode("overwrite").parquet(f"{self.folder}/upto={number:012d}")
+        """A replayed batch that a merged part already stands for is done."""
+        merged = [n.removesuffix(".done")[5:] for n in self._names() if n.startswith("upto=") and n.endswith(".done")]
+        if not any(n >= f"{number:012d}" for n in merged):
+            self._write(latest_status(batch), f"batch={number:012d}")
+        if len(self._parts()) > self.compact:
+            self._write(self.read(), f"upto={number:012d}")
+            kept = set(self._parts())
             fs, path = self._fs()
-            for name in parts:
+            old = [n for n in self._names() if n.startswith(("batch=", "upto=")) and n.removesuffix(".done") not in kept]
+            for name in sorted(old, key=lambda n: not n.endswith(".done")):
                 fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name), True)
