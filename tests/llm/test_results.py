@@ -16,7 +16,7 @@ from optlake.llm import components, simhash
 from optlake.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "labels", "pages")
+TABLES = ("documents", "benchmark", "labels", "pages", "conversations")
 
 
 @pytest.fixture(scope="module")
