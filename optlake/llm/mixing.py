@@ -83,7 +83,9 @@ def mixing_plan(rows: DataFrame, weights: DataFrame | None = None, ratio: float
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     filled = bins.withColumn("middle", F.sum("words").over(upto) - F.col("words") / 2)
     b = filled.withColumnRenamed("source", "_source")
-    cut = F.coalesce(F.max(F.when(F.col("middle") <= F.col("extra"), F.col("bin") + 1)), F.lit(0).cast("long"))
+    # a source at its cap takes no document once more, an empty one takes all once
+    more = (F.col("extra") > 0) | (F.col("source_size") == 0)
+    cut = F.coalesce(F.max(F.when(more & (F.col("middle") <= F.col("extra")), F.col("bin") + 1)), F.lit(0).cast("long"))
     joined = sources.join(b, F.col("source").eqNullSafe(F.col("_source")), "left")
     return stored(joined.groupBy("source", "source_size", "target", "whole").agg(cut.alias("cut")))
 

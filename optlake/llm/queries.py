@@ -50,7 +50,7 @@ filled AS (
   SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bin) - words / 2::DOUBLE AS middle FROM bins),
 cuts AS (
   SELECT p.source, p.source_size, p.target, p.whole,
-         coalesce(max(CASE WHEN middle <= target - whole * source_size THEN bin + 1 END), 0) AS cut
+         coalesce(max(CASE WHEN middle <= target - whole * source_size AND (target - whole * source_size > 0 OR source_size = 0) THEN bin + 1 END), 0) AS cut
   FROM plan p LEFT JOIN filled f ON p.source IS NOT DISTINCT FROM f.source GROUP BY ALL)
 SELECT doc_id, b.source, size, source_size, target, whole + CASE WHEN bin < cut THEN 1 ELSE 0 END AS copies,
        (size * (whole + CASE WHEN bin < cut THEN 1 ELSE 0 END))::BIGINT AS taken

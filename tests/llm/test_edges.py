@@ -38,6 +38,14 @@ def test_mixing(odd_docs, no_docs):
     assert mixing.mix_documents(no_docs).count() == 0
 
 
+def test_no_document_above_the_cap(spark):
+    """Empty documents of a source at its cap are taken as often as all others."""
+    rows = [(i, None if i % 2 else "a b c", "s") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sizes(docs, ratio=5.0).collect()
+    assert {r["copies"] for r in got} == {2} and mixing.mix_documents(docs, ratio=5.0).count() == 400
+
+
 def test_water_level_of_given_weights(spark, odd_docs):
     weights = spark.createDataFrame([("s1", 1.0), ("s2", 0.0)], "source string, weight double")
     got = {r["source"]: r["target"] for r in mixing.mix_sizes(odd_docs, weights).collect()}
