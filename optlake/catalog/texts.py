@@ -275,13 +275,19 @@ def _(v):
     return blind_reasons(v("objects"), ever, v("configs"), v("first_config"), v("config_values"), v("guard_nodes"), v("guard_edges"), ["CONFIG_S7"]).select("tree", "path", "reason")
 
 
+view("v_choices", "SELECT DISTINCT 'choice ' || CAST(p_partkey % 40 % 6 AS STRING) AS choice, 'CONFIG_S' || CAST(p_partkey % 40 AS STRING) AS member, 40 - p_partkey % 40 AS position FROM part WHERE p_partkey % 40 % 6 < 4")
+
+
 @query("j33_option_explanation", """
-SELECT v.config_id, v.symbol, coalesce(string_agg(DISTINCT s.dep, ' ' ORDER BY s.dep) FILTER (coalesce(d.value, 'n') NOT IN ('y', 'm')), '') AS unmet,
+WITH ex AS (SELECT v.config_id, v.symbol, coalesce(string_agg(DISTINCT s.dep, ' ' ORDER BY s.dep) FILTER (coalesce(d.value, 'n') NOT IN ('y', 'm')), '') AS unmet,
   string_agg(DISTINCT s.src || '=' || CASE WHEN c.value IN ('y', 'm') THEN c.value ELSE 'n' END, ' ' ORDER BY s.src || '=' || CASE WHEN c.value IN ('y', 'm') THEN c.value ELSE 'n' END) AS selected_by
-FROM v_config_values v JOIN v_selects s ON s.dst = v.symbol LEFT JOIN v_config_values d ON d.config_id = v.config_id AND d.symbol = s.dep LEFT JOIN v_config_values c ON c.config_id = v.config_id AND c.symbol = s.src GROUP BY 1, 2
+FROM v_config_values v JOIN v_selects s ON s.dst = v.symbol LEFT JOIN v_config_values d ON d.config_id = v.config_id AND d.symbol = s.dep LEFT JOIN v_config_values c ON c.config_id = v.config_id AND c.symbol = s.src GROUP BY 1, 2)
+SELECT ex.*, m.choice, CASE WHEN m.choice IS NOT NULL THEN coalesce((SELECT arg_min(x.member, x.position) FROM v_choices x JOIN v_config_values w ON w.symbol = x.member WHERE x.choice = m.choice AND w.config_id = ex.config_id AND w.value = 'y'),
+  (SELECT arg_min(x.member, x.position) FROM v_choices x WHERE x.choice = m.choice)) END AS selected_member
+FROM ex LEFT JOIN v_choices m ON m.member = ex.symbol
 """)
 def _(v):
-    return lint.explain_options(v("config_values"), v("selects"))
+    return lint.explain_options(v("config_values"), v("selects"), v("choices"))
 
 
 @query("j37_symbol_locations", f"WITH {USES} SELECT symbol, path, line_no FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY path, line_no) AS rn FROM uses) WHERE rn <= 3")

@@ -172,17 +172,35 @@ def patch_coverage(touched: DataFrame, objects: DataFrame) -> DataFrame:
     return mapped.withColumn("class", kind)
 
 
-def explain_options(values: DataFrame, selects: DataFrame) -> DataFrame:
-    """For each option that is set: dependencies that are off, and who selects it with
-    which value. ``selects`` are ``(src, dst, dep)``."""
+def choice_selection(values: DataFrame, choices: DataFrame) -> DataFrame:
+    """``(config_id, choice, selected)`` for each choice group a configuration names a
+    member of: the first member by position that is y, else the group's first.
+
+    ``choices`` are ``(choice, member, position)``. Members that are set are counted where they
+    are; no pair of a configuration and a group it does not touch is made.
+    """
+    named = values.select("config_id", "symbol", "value").join(choices.withColumnRenamed("member", "symbol"), "symbol")
+    first = choices.groupBy("choice").agg(F.min_by("member", "position").alias("default"))
+    on = F.col("value") == "y"
+    chosen = named.groupBy("config_id", "choice").agg(F.min_by(F.when(on, F.col("symbol")), F.when(on, F.col("position"))).alias("chosen"))
+    return chosen.join(first, "choice").select("config_id", "choice", F.coalesce("chosen", "default").alias("selected"))
+
+
+def explain_options(values: DataFrame, selects: DataFrame, choices: DataFrame) -> DataFrame:
+    """For each option that is set: dependencies that are off, who selects it with which
+    value, and of a member of a choice the group and its selected member. ``selects`` are
+    ``(src, dst, dep)``, ``choices`` ``(choice, member, position)``; an option is a member of
+    one group at most."""
     now = values.select("config_id", "symbol", F.when(F.col("value").isin("y", "m"), F.col("value")).otherwise("n").alias("v"))
     asked = now.select("config_id", F.col("symbol").alias("dst")).join(selects, "dst")
     dep = now.select("config_id", F.col("symbol").alias("dep"), F.col("v").alias("dep_v"))
     src = now.select("config_id", F.col("symbol").alias("src"), F.col("v").alias("src_v"))
     rows = asked.join(dep, ["config_id", "dep"], "left").join(src, ["config_id", "src"], "left").na.fill("n", ["dep_v", "src_v"])
     text = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " ")
-    return rows.groupBy("config_id", F.col("dst").alias("symbol")).agg(
+    explained = rows.groupBy("config_id", F.col("dst").alias("symbol")).agg(
         text(F.when(F.col("dep_v") == "n", F.col("dep"))).alias("unmet"), text(F.concat_ws("=", "src", "src_v")).alias("selected_by"))
+    groups = choices.select(F.col("member").alias("symbol"), "choice")
+    return explained.join(groups, "symbol", "left").join(choice_selection(values, choices), ["config_id", "choice"], "left").withColumnRenamed("selected", "selected_member")
 
 
 # ------------------------------------------------------------------ option records
