@@ -195,7 +195,7 @@ def _(v):
     return a.removals(v("merge_base").withColumnRenamed("merge_id", "config_id"), wanted)
 
 
-view("v_load_bearing", "SELECT DISTINCT p.merge_id, l.symbol, 'guards an object' AS reason FROM v_pairs p JOIN v_literals l ON l.tree = p.tree WHERE l.j = 0 AND p.next_id IS NOT NULL")
+view("v_load_bearing", "SELECT DISTINCT p.merge_id, l.symbol, 'guards an object' AS reason FROM v_pairs p JOIN v_literals l ON l.tree = p.tree WHERE p.next_id IS NOT NULL")
 
 
 @query("j18_lost_load_bearing", """

@@ -265,13 +265,13 @@ def _(v):
 
 
 NEEDED = f"""
-{CAND}, need AS (SELECT h.host, arg_min(c.symbol, c.pos) AS symbol FROM v_host_modules h JOIN cand c ON c.module = h.module JOIN v_host_values v ON v.host = h.host AND v.symbol = c.symbol AND v.value IN ('y', 'm') WHERE h.module < 's2' GROUP BY h.host, h.module),
+{CAND}, need AS (SELECT h.host, arg_min(c.symbol, c.pos) AS symbol FROM v_host_modules h JOIN cand c ON c.module = h.module JOIN v_host_values v ON v.host = h.host AND v.symbol = c.symbol AND v.value IN ('y', 'm') GROUP BY h.host, h.module),
 trim AS (SELECT host, symbol, value FROM v_host_values v WHERE value IN ('y', 'm') AND NOT EXISTS (SELECT 1 FROM need n WHERE n.host = v.host AND n.symbol = v.symbol))
 """
 
 
 def trims_of(v):
-    required = f.module_options(v("host_modules").where("module < 's2'"), v("host_values"), TABLE).where("symbol IS NOT NULL")
+    required = f.module_options(v("host_modules"), v("host_values"), TABLE).where("symbol IS NOT NULL")
     return f.candidate_trims(v("host_values"), required)
 
 

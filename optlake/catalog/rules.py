@@ -62,12 +62,12 @@ def _(v):
 
 
 BEARING = """
-bearing AS (SELECT config_id AS host, symbol, CASE WHEN bool_or(value = 'y') THEN 'root filesystem' ELSE 'active device' END AS reason FROM v_config_lines WHERE value IN ('y', 'm') AND line_no <= 2 GROUP BY 1, 2)
+bearing AS (SELECT config_id AS host, symbol, CASE WHEN bool_or(value = 'y') THEN 'root filesystem' ELSE 'active device' END AS reason FROM v_config_lines WHERE value IN ('y', 'm') GROUP BY 1, 2)
 """
 
 
 def bearing_of(v):
-    rows = v("config_lines").where("line_no <= 2").withColumnRenamed("config_id", "host")
+    rows = v("config_lines").withColumnRenamed("config_id", "host")
     one = rows.where("value = 'y'").select("host", "symbol", F.lit("root filesystem").alias("reason"))
     two = rows.where("value = 'm'").select("host", "symbol", F.lit("active device").alias("reason"))
     return r.load_bearing([one, two])

@@ -151,3 +151,14 @@ def test_world_plan(spark):
     assert {s: r.wave for s, r in got.items()} == waves and {s for s, r in got.items() if r.in_cycle} == cycle
     assert {s: r.cost for s, r in got.items()} == {"gcc-14": "monster", "glibc": "heavy", "zlib": "tiny", "app": "normal"}
     assert [got["glibc"].use_stock, got["app"].use_stock, got["app"].binaries, got["app"].deps] == [True, False, 2, 1]
+
+
+def test_choice_selection(spark):
+    """The first member by position that is y, the group's first where none is, and nothing
+    for a group that a configuration does not name."""
+    from optlake.operators import lint
+
+    choices = spark.createDataFrame([("A", "x", 3), ("A", "y", 1), ("A", "z", 2), ("B", "w", 1)], "choice string, member string, position int")
+    values = spark.createDataFrame([(1, "x", "y"), (1, "z", "y"), (1, "y", "n"), (2, "x", "m"), (3, "w", None), (3, "other", "y")], "config_id long, symbol string, value string")
+    got = {(r.config_id, r.choice): r.selected for r in lint.choice_selection(values, choices).collect()}
+    assert got == {(1, "A"): "z", (2, "A"): "y", (3, "B"): "w"}
