@@ -254,7 +254,7 @@ def module_names(objects: Column) -> Column:
 
 def expression_symbols(expression: Column, known: Column) -> Column:
     """Known option names in a dependency expression."""
-    return F.array_sort(F.array_intersect(F.regexp_extract_all(expression, F.lit(r"\b([A-Z][A-Z0-9_]+)\b"), 1), known))
+    return F.array_sort(F.array_intersect(F.split(expression, r"\W+"), known))
 
 
 def symbol_records(options: DataFrame, relations: DataFrame, bindings: DataFrame, usages: DataFrame, tags: DataFrame) -> DataFrame:

@@ -39,12 +39,18 @@ def declared_symbols(texts: DataFrame) -> DataFrame:
     return texts.select(*keys, pt.arch_of(F.col("path")).alias("arch"), F.explode(names).alias("name")).select(*keys, "arch", F.concat(F.lit("CONFIG_"), "name").alias("symbol")).distinct()
 
 
+def _object_words(line: Column) -> Column:
+    """Words of a build file's line that end in ``.o``; other marks than those of paths part
+    words."""
+    return F.filter(F.split(line, "[^A-Za-z0-9_./+-]+"), lambda w: w.endswith(".o") & (F.length(w) > 2))
+
+
 def symbol_lines(texts: DataFrame) -> DataFrame:
     """Lines naming options: one row per (line, option), with the object names on it."""
     lines = text_lines(texts).where(F.col("line").contains("CONFIG_"))
     keys = [c for c in lines.columns if c not in ("line", "line_no")]
     return lines.select(
-        *keys, "line_no", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"), _all(F.col("line"), r"([A-Za-z0-9_./+-]+\.o)(?![A-Za-z0-9_])").alias("objects"),
+        *keys, "line_no", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"), _object_words(F.col("line")).alias("objects"),
         F.explode(F.array_distinct(_all(F.col("line"), SYMBOL))).alias("symbol"),
     )
 
@@ -199,6 +205,9 @@ def tool_conditions(texts: DataFrame) -> DataFrame:
 
 
 def dry_run_objects(texts: DataFrame) -> DataFrame:
-    """Objects a saved dry run would build, scripts left out."""
-    found = _all(F.col("text"), r"(?:-o|\s)\s*([a-zA-Z0-9_\-/.]+\.(?:o|gen\.o|a))")
-    return texts.select(*_keys(texts), F.explode(F.array_distinct(found)).alias("object")).where("NOT startswith(object, 'scripts/')").distinct()
+    """Objects a saved dry run would build, scripts left out: the words of its lines, after
+    an output flag that is written without a blank, that name an object or an archive."""
+    word = lambda w: F.when(w.startswith("-o"), F.substr(w, F.lit(3))).otherwise(w)
+    words = F.transform(F.split("line", r"\s+"), word)
+    objects = F.filter(words, lambda w: w.endswith(".o") | w.endswith(".a"))
+    return text_lines(texts).select(*_keys(texts), F.explode(objects).alias("object")).where("NOT startswith(object, 'scripts/')").distinct()
