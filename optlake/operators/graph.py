@@ -4,34 +4,84 @@ restart the loop."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from optlake.session import Rounds, cut_lineage
+from optlake.session import Rounds, cut_lineage, run_folder
+
+#: Folders of a table that a loop reads and rewrites in part.
+BUCKETS = 64
+
+
+def _buckets(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+
+
+class _Parts:
+    """A table in ``BUCKETS`` folders by a hash of its ``key``. A rewritten bucket gets a new
+    folder, so a step reads and writes only the buckets it names."""
+
+    def __init__(self, rows: DataFrame, key: str):
+        self.spark, self.key, self.schema, self.at = rows.sparkSession, key, rows.schema, {}
+        self.put(rows, range(BUCKETS))
+
+    def put(self, rows: DataFrame, buckets) -> None:
+        path = f"{run_folder(self.spark)}/{uuid.uuid4().hex}"
+        # a hot key is dealt out by its whole row
+        rows = rows.withColumn("bucket", _buckets(self.key))
+        rows.repartition("bucket", F.pmod(F.xxhash64(*self.schema.names), F.lit(8))).write.partitionBy("bucket").parquet(path)
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+        names = {f.getPath().getName() for f in files}
+        self.at |= {b: f"{path}/bucket={b}" if f"bucket={b}" in names else None for b in buckets}
+
+    def get(self, buckets=None) -> DataFrame:
+        paths = [self.at[b] for b in (self.at if buckets is None else buckets) if self.at[b]]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+
+def _named(rows: DataFrame, column: str) -> list[int]:
+    """The buckets of a column's values: at most ``BUCKETS`` numbers."""
+    return [r[0] for r in rows.select(_buckets(column)).distinct().collect()]
 
 
 def build_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Wave of each node, dependencies ``(src, dst)`` before dependents.
 
-    A round takes every node with the fewest open dependencies: none in the ordinary case;
-    when all wait on each other, those are forced and marked ``in_cycle``. Each round is
-    appended to one table, which is read once at the end.
+    A wave takes every node with the fewest open dependencies: none in the ordinary case;
+    when all wait on each other, those are forced and marked ``in_cycle``. Each node has a
+    counter of open dependencies, null once it is placed by force. A wave reads the edges
+    into what the last one placed, lowers the counters at their other ends and takes those
+    that became zero; only the buckets of these edges and counters are read and rewritten.
+    All counters are read at the start and when a wave has to be forced. Repeated rows and
+    null nodes count once; a dependency that is no node stays open.
     """
-    left = cut_lineage(nodes.select(F.col("name").alias("src")).distinct())
-    open_edges = cut_lineage(edges.select("src", "dst").distinct())
-    rounds, wave = Rounds(left.sparkSession, f"name {dict(left.dtypes)['src']}, in_cycle boolean"), 0
+    pairs = edges.select("src", "dst").distinct()
+    counts = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    names = nodes.select("name").distinct()
+    into = _Parts(pairs, "dst")
+    counters = _Parts(names.join(counts, F.col("name").eqNullSafe(F.col("src")), "left").select("name", F.coalesce("n", F.lit(0)).cast("long").alias("open")), "name")
+    found = Rounds(names.sparkSession, f"name {dict(names.dtypes)['name']}, in_cycle boolean")
+    wave, ready, force = 0, counters.get().where("open = 0"), False
     while True:
-        counts = open_edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-        state = cut_lineage(left.join(counts, "src", "left").select("src", F.coalesce("n", F.lit(0)).alias("n")))
-        fewest = state.agg(F.min("n")).first()[0]
-        if fewest is None:
-            return rounds.read("wave")
-        ready = state.where(F.col("n") == fewest).select("src")
-        rounds.add(wave, ready.select(F.col("src").alias("name"), F.lit(fewest > 0).alias("in_cycle")))
-        left = state.where(F.col("n") > fewest).select("src")
-        open_edges = cut_lineage(
-            open_edges.join(left, "src", "left_semi").join(ready.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
-        wave += 1
+        ready = cut_lineage(ready.select("name"))
+        if ready.isEmpty():
+            left = counters.get().where("open > 0")
+            fewest = left.agg(F.min("open")).first()[0]
+            if fewest is None:
+                return found.read("wave")
+            ready, force = cut_lineage(left.where(F.col("open") == fewest).select("name")), True
+            counters.put(counters.get().withColumn("open", F.when(F.col("open") != fewest, F.col("open"))), range(BUCKETS))
+        found.add(wave, ready.withColumn("in_cycle", F.lit(force)))
+        closed = into.get(_named(ready, "name")).join(ready.withColumnRenamed("name", "dst"), "dst", "left_semi")
+        closed = cut_lineage(closed.groupBy("src").agg(F.count(F.lit(1)).alias("n")))
+        touched = _named(closed, "src")
+        now = counters.get(touched).join(closed, F.col("name").eqNullSafe(F.col("src")), "left")
+        now = cut_lineage(now.select("name", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.col("n").isNotNull().alias("fell")))
+        counters.put(now.select("name", "open"), touched)
+        ready, force, wave = now.where("fell AND open = 0"), False, wave + 1
 
 
 def reach(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
