@@ -422,7 +422,7 @@ def _(v):
     return f.late_modules(v("device_modules"), v("boot_flags"), extras, v("device_modules").where("line_no = 1"))
 
 
-view("v_required_packages", "SELECT p_type AS family, p_name AS package, p_partkey AS position FROM part WHERE p_size > 45")
+view("v_required_packages", "SELECT p_type || CASE WHEN p_size > 45 THEN '' ELSE ' optional' END AS family, p_name AS package, p_partkey AS position FROM part")
 view("v_family_hosts", "SELECT c_custkey AS host, CASE WHEN c_nationkey < 12 THEN 'ECONOMY' ELSE 'PROMO' END AS family FROM customer")
 view("v_installed", "SELECT o.o_custkey AS host, p.p_name AS package FROM v_lines l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey")
 

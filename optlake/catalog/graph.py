@@ -12,7 +12,7 @@ view("v_relations", """
 SELECT 's' || CAST(s_suppkey AS STRING) AS src, 'n' || CAST(s_nationkey AS STRING) AS dst, CASE WHEN s_acctbal < 2000 THEN 'selected_by' ELSE 'depends' END AS rel FROM supplier
 UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), 'r' || CAST(n_regionkey AS STRING), 'default' FROM nation
 UNION ALL SELECT 'r' || CAST(n_regionkey AS STRING), 'n' || CAST(n_nationkey AS STRING), 'choice' FROM nation
-UNION ALL SELECT DISTINCT 'p' || CAST(l_partkey AS STRING), 's' || CAST(l_suppkey AS STRING), 'prompt' FROM lineitem WHERE l_quantity > 45
+UNION ALL SELECT DISTINCT 'p' || CAST(l_partkey AS STRING), 's' || CAST(l_suppkey AS STRING), CASE WHEN l_quantity > 45 THEN 'prompt' ELSE 'depends' END FROM lineitem
 """, keep=True)
 view("v_seeds", "SELECT 'p' || CAST(p_partkey AS STRING) AS name FROM part WHERE p_size = 50 UNION ALL SELECT 's' || CAST(s_suppkey AS STRING) FROM supplier WHERE s_acctbal > 9800")
 CONE = """
@@ -53,7 +53,7 @@ def _(v):
 
 
 def waves_of(v):
-    edges = v("relations").where("NOT (rel = 'choice' AND dst NOT IN ('n0', 'n1'))").select("src", "dst")
+    edges = v("relations").select("src", "dst")
     nodes = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
     return g.build_waves(nodes, edges)
 
@@ -74,7 +74,7 @@ st(wave, placed, fresh, forced) AS (
 
 
 @query("i01_build_waves", f"""
-WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM v_relations WHERE NOT (rel = 'choice' AND dst NOT IN ('n0', 'n1'))),
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM v_relations),
 n AS (SELECT src AS name FROM e UNION SELECT dst FROM e), {WAVES}
 SELECT unnest(fresh) AS name, wave, forced AS in_cycle FROM st
 """)

@@ -42,8 +42,8 @@ def _(v):
 
 
 view("v_dirs", """
-SELECT tree, regexp_extract(path, '^[^/]*/') AS dir, min(guard_id) AS guard_id FROM v_objects WHERE path LIKE 'drivers/%' GROUP BY 1, 2
-UNION ALL SELECT tree, regexp_extract(path, '^[^/]*/[^/]*/') AS dir, max(guard_id) AS guard_id FROM v_objects WHERE path LIKE 'drivers/%' GROUP BY 1, 2
+SELECT tree, regexp_extract(path, '^[^/]*/') AS dir, min(guard_id) AS guard_id FROM v_objects WHERE path LIKE '%/%' GROUP BY 1, 2
+UNION ALL SELECT tree, regexp_extract(path, '^[^/]*/[^/]*/') AS dir, max(guard_id) AS guard_id FROM v_objects WHERE path LIKE '%/%/%' GROUP BY 1, 2
 """.replace("'^[^/]*/')", "'^[^/]*/', 0)").replace("'^[^/]*/[^/]*/')", "'^[^/]*/[^/]*/', 0)"))
 # the objects each configuration is asked about: the parts on the order itself
 view("v_asks", """

@@ -13,11 +13,14 @@ from optlake.sources.configs import text_lines
 
 NL, TAB = "chr(10)", "chr(9)"
 view("v_names", "SELECT p_partkey, CASE p_size WHEN 1 THEN 'gcc-' WHEN 2 THEN 'linux-hwe' WHEN 3 THEN 'linux-meta' WHEN 4 THEN 'perl' ELSE 'src' END || CAST(p_partkey AS STRING) AS source, p_size, p_type, p_name FROM part", keep=True)
-view("v_wants", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.05")
+# every row is a dependency: some on a package of the index, the others on a library outside it
+view("v_wants", """
+SELECT DISTINCT l_partkey, CASE WHEN l_quantity = 50 AND l_discount >= 0.05 THEN 'bin' ELSE 'lib' END || CAST(l_suppkey AS STRING) AS dep FROM lineitem
+""", keep=True)
 view("v_want_text", """
-SELECT l_partkey, listagg('bin' || CAST(l_suppkey AS STRING) || ' (>= 1.0) [amd64]', ', ') WITHIN GROUP (ORDER BY l_suppkey) AS deps FROM v_wants GROUP BY l_partkey
+SELECT l_partkey, listagg(dep || ' (>= 1.0) [amd64]', ', ') WITHIN GROUP (ORDER BY dep) AS deps FROM v_wants GROUP BY l_partkey
 """, """
-SELECT l_partkey, string_agg('bin' || CAST(l_suppkey AS STRING) || ' (>= 1.0) [amd64]', ', ' ORDER BY l_suppkey) AS deps FROM v_wants GROUP BY l_partkey
+SELECT l_partkey, string_agg(dep || ' (>= 1.0) [amd64]', ', ' ORDER BY dep) AS deps FROM v_wants GROUP BY l_partkey
 """)
 view("v_versions_ab", """
 SELECT n.*, '1:' || CAST(p_size AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) || '-1' AS first_version,
@@ -29,7 +32,7 @@ SELECT v.p_partkey AS position, 'Package: ' || source || {NL} || 'Binary: bin' |
   || {NL} || {NL} || 'Package: ' || source || {NL} || 'Version: ' || second_version || {NL} || 'Binary: bin' || CAST(v.p_partkey AS STRING) || {NL} || 'Build-Depends-Indep: ' || coalesce(deps, 'make') || {NL} || {NL} || 'Package: broken' AS text
 FROM v_versions_ab v LEFT JOIN v_want_text w ON w.l_partkey = v.p_partkey
 """)
-DEPS = "(SELECT p_partkey, coalesce((SELECT string_agg('bin' || l_suppkey, ' ' ORDER BY 'bin' || l_suppkey) FROM v_wants w WHERE w.l_partkey = p_partkey), 'make') AS d, EXISTS (SELECT 1 FROM v_wants w WHERE w.l_partkey = p_partkey) AS any_dep FROM v_names)"
+DEPS = "(SELECT p_partkey, coalesce((SELECT string_agg(dep, ' ' ORDER BY dep) FROM v_wants w WHERE w.l_partkey = p_partkey), 'make') AS d FROM v_names)"
 
 
 def stanzas(v):
@@ -41,7 +44,7 @@ def sources(v):
 
 
 @query("s29_package_index", f"""
-SELECT v.source, first_version AS version, 2 AS binaries, CASE WHEN any_dep THEN d || ' debhelper-compat gawk' ELSE 'debhelper-compat gawk make' END AS build_depends FROM v_versions_ab v JOIN {DEPS} x ON x.p_partkey = v.p_partkey
+SELECT v.source, first_version AS version, 2 AS binaries, array_to_string(list_sort(list_concat(string_split(d, ' '), ['debhelper-compat', 'gawk'])), ' ') AS build_depends FROM v_versions_ab v JOIN {DEPS} x ON x.p_partkey = v.p_partkey
 UNION ALL SELECT v.source, second_version, 1, d FROM v_versions_ab v JOIN {DEPS} x ON x.p_partkey = v.p_partkey
 """)
 def _(v):
@@ -83,7 +86,7 @@ def _(v):
 
 EDGES = f"""
 {INSTALLED}, closure AS (SELECT DISTINCT source FROM mapped WHERE source IN (SELECT source FROM v_names)),
-edges AS (SELECT DISTINCT a.source AS src, b.source AS dst FROM v_wants w JOIN v_names a ON a.p_partkey = w.l_partkey JOIN v_names b ON b.p_partkey = w.l_suppkey WHERE a.source <> b.source AND a.source IN (SELECT source FROM closure) AND b.source IN (SELECT source FROM closure))
+edges AS (SELECT DISTINCT a.source AS src, b.source AS dst FROM v_wants w JOIN v_names a ON a.p_partkey = w.l_partkey JOIN v_names b ON 'bin' || b.p_partkey = w.dep WHERE a.source <> b.source AND a.source IN (SELECT source FROM closure) AND b.source IN (SELECT source FROM closure))
 """
 
 
@@ -110,7 +113,7 @@ def _(v):
     return p.package_evidence(installed(v)).withColumn("first_six", F.array_join("first_six", " "))
 
 
-view("v_overrides", "SELECT n.source, l_linenumber AS position, l_returnflag = 'A' AS use_stock, 'because ' || l_linestatus AS reason, l_returnflag AS tier FROM (SELECT l_partkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem WHERE l_discount = 0.0 GROUP BY l_partkey, l_linenumber) l JOIN v_names n ON n.p_partkey = l.l_partkey")
+view("v_overrides", "SELECT n.source, l_linenumber AS position, l_returnflag = 'A' AS use_stock, 'because ' || l_linestatus AS reason, l_returnflag AS tier FROM (SELECT l_partkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY l_partkey, l_linenumber) l JOIN v_names n ON n.p_partkey = l.l_partkey")
 
 
 @query("j29_override_lookup", """
@@ -138,17 +141,21 @@ def _(v):
 
 
 view("v_drafts", """
-SELECT n.source, row_number() OVER (PARTITION BY n.source ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS position, l_returnflag AS rf, l_linestatus AS ls, l_linenumber AS ln FROM lineitem l JOIN v_names n ON n.p_partkey = l.l_partkey WHERE l_tax = 0.0 AND l_discount = 0.1
+SELECT n.source, row_number() OVER (PARTITION BY n.source ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS position, l_returnflag AS rf, l_linestatus AS ls, l_linenumber AS ln FROM lineitem l JOIN v_names n ON n.p_partkey = l.l_partkey
 """)
 
 
 @query("a12_override_merge", """
-WITH t AS (SELECT source, 'f' || ln AS tok, min(position) AS pos FROM v_drafts GROUP BY 1, 2), a AS (SELECT source, string_agg(tok, ' ' ORDER BY pos) AS strip_flags FROM t GROUP BY 1)
-SELECT d.source, a.strip_flags, arg_max(CASE WHEN rf = 'R' THEN 'gcc' ELSE 'clang' END, position) FILTER (rf <> 'N') AS compiler, bool_or(ls = 'F' AND rf = 'A') AS use_stock FROM v_drafts d JOIN a ON a.source = d.source GROUP BY 1, 2
+WITH t AS (SELECT source, ln, min(position) AS pos FROM v_drafts GROUP BY 1, 2),
+a AS (SELECT source, string_agg('f' || ln, ' ' ORDER BY pos) AS strip_flags, string_agg('-g' || ln, ' ' ORDER BY pos) AS add_flags FROM t GROUP BY 1),
+-- a reason is left out where all reasons so far are one and the same
+why AS (SELECT source, string_agg('why ' || ln, ' + ' ORDER BY position) FILTER (NOT same OR position = 1) AS reason
+  FROM (SELECT d.*, bool_and(ln = first) OVER (PARTITION BY source ORDER BY position) AS same FROM (SELECT v.*, first_value(ln) OVER (PARTITION BY source ORDER BY position) AS first FROM v_drafts v) d) GROUP BY 1)
+SELECT d.source, a.strip_flags, a.add_flags, any_value(why.reason) AS reason, arg_max(CASE WHEN rf = 'R' THEN 'gcc' ELSE 'clang' END, position) FILTER (rf <> 'N') AS compiler, bool_or(ls = 'F' AND rf = 'A') AS use_stock FROM v_drafts d JOIN a ON a.source = d.source JOIN why ON why.source = d.source GROUP BY 1, 2, 3
 """)
 def _(v):
     rows = v("drafts").selectExpr("source", "position", "array(concat('f', ln)) AS strip_flags", "array(concat('-g', ln)) AS add_flags", "CASE rf WHEN 'R' THEN 'gcc' WHEN 'A' THEN 'clang' END AS compiler", "ls = 'F' AND rf = 'A' AS use_stock", "concat('why ', ln) AS reason")
-    return p.merge_overrides(rows).select("source", F.array_join("strip_flags", " ").alias("strip_flags"), "compiler", "use_stock")
+    return p.merge_overrides(rows).select("source", F.array_join("strip_flags", " ").alias("strip_flags"), F.array_join("add_flags", " ").alias("add_flags"), "reason", "compiler", "use_stock")
 
 
 view("v_flag_cases", """

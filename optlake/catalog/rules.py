@@ -91,8 +91,8 @@ def _(v):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-view("v_workload_recipes", "SELECT DISTINCT o_orderstatus AS workload, 'CONFIG_S' || CAST(o_orderkey % 40 AS STRING) AS symbol, 'y' AS recommended FROM orders WHERE o_totalprice > 440000")
-view("v_threat_recipes", "SELECT DISTINCT o_orderpriority AS threat, 'CONFIG_S' || CAST(o_orderkey % 40 AS STRING) AS symbol, 'n' AS recommended FROM orders WHERE o_totalprice < 60000")
+view("v_workload_recipes", "SELECT o_orderstatus AS workload, 'CONFIG_S' || CAST(o_orderkey % 40 AS STRING) AS symbol, CASE WHEN max(o_totalprice) > 440000 THEN 'y' ELSE 'm' END AS recommended FROM orders GROUP BY 1, 2")
+view("v_threat_recipes", "SELECT o_orderpriority AS threat, 'CONFIG_S' || CAST(o_orderkey % 40 AS STRING) AS symbol, CASE WHEN min(o_totalprice) < 60000 THEN 'n' ELSE 'm' END AS recommended FROM orders GROUP BY 1, 2")
 view("v_contexts", "SELECT c.config_id AS host, c.symbol, o.o_orderstatus AS workload, o.o_orderpriority AS threat FROM v_config_values c JOIN orders o ON o.o_orderkey = c.config_id")
 
 
@@ -105,13 +105,13 @@ def _(v):
 
 
 @query("p26_eligible_knobs", """
-WITH allowed AS (SELECT symbol FROM v_workload_recipes WHERE workload = 'F' UNION SELECT 'CONFIG_S' || CAST(s_suppkey % 40 AS STRING) FROM supplier WHERE s_acctbal < 0)
+WITH allowed AS (SELECT symbol FROM v_workload_recipes WHERE workload = 'F' AND recommended = 'y' UNION SELECT 'CONFIG_S' || CAST(s_suppkey % 40 AS STRING) FROM supplier WHERE s_acctbal < 0)
 SELECT symbol, kind, choice FROM v_surface WHERE kind <> 'choice' AND symbol IN (SELECT symbol FROM allowed)
 UNION ALL SELECT symbol, kind, choice FROM v_surface WHERE kind = 'choice' AND choice IN (SELECT choice FROM v_surface WHERE kind = 'choice' AND symbol IN (SELECT symbol FROM allowed))
 """)
 def _(v):
     allow = v.sql("SELECT DISTINCT 'CONFIG_S' || CAST(s_suppkey % 40 AS STRING) AS symbol FROM supplier WHERE s_acctbal < 0")
-    return r.eligible_knobs(v("surface").select("symbol", "kind", "choice"), allow, v("workload_recipes").where("workload = 'F'"))
+    return r.eligible_knobs(v("surface").select("symbol", "kind", "choice"), allow, v("workload_recipes").where("workload = 'F' AND recommended = 'y'"))
 
 
 @query("j24_capability_mapping", """
@@ -128,12 +128,12 @@ def _(v):
 
 
 @query("p36_package_policy", """
-SELECT s_name AS source, CASE WHEN s_acctbal > 5000 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s_suppkey AND l_quantity = 50 AND l_discount = 0.0) THEN 'keep' WHEN s_acctbal > 5000 THEN 'trim' ELSE 'rebuild' END AS action,
-  s_acctbal > 5000 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s_suppkey AND l_quantity = 50 AND l_discount = 0.0) AS forced FROM supplier
+SELECT s_name AS source, CASE WHEN s_acctbal > 5000 AND s_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 25.5 * count(*)) THEN 'keep' WHEN s_acctbal > 5000 THEN 'trim' ELSE 'rebuild' END AS action,
+  s_acctbal > 5000 AND s_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 25.5 * count(*)) AS forced FROM supplier
 """)
 def _(v):
     decisions = v.sql("SELECT s_name AS source, CASE WHEN s_acctbal > 5000 THEN 'trim' ELSE 'rebuild' END AS action FROM supplier")
-    bearing = v.sql("SELECT s_name AS source FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND l_discount = 0.0")
+    bearing = v.sql("SELECT s_name AS source FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_name HAVING sum(l_quantity) > 25.5 * count(*)")
     return r.keep_needed_sources(decisions, bearing)
 
 

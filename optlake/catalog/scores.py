@@ -362,27 +362,28 @@ def _(v):
     return covers.greedy_cover(negative, weights_of(v))
 
 
+# what each configuration is asked for: all objects of its tree, or the two smallest as one request
 view("v_wanted", """
-SELECT c.tree, c.config_id, o.path, o.guard_id FROM v_configs c
-JOIN (SELECT tree, path, guard_id, row_number() OVER (PARTITION BY tree ORDER BY size, path) AS rn FROM v_objects) o ON o.tree = c.tree WHERE o.rn <= 2
+SELECT c.tree, c.config_id, o.path, o.guard_id, o.rn FROM v_configs c
+JOIN (SELECT tree, path, guard_id, row_number() OVER (PARTITION BY tree ORDER BY size, path) AS rn FROM v_objects) o ON o.tree = c.tree
 """)
 view("v_first_config", "SELECT tree, min(config_id) AS base_id FROM v_configs GROUP BY tree")
 
 
-def wanted_of(v):
+def wanted_of(v, wanted):
     store = store_of(v)
-    return g.verdicts_for(v("wanted"), changed_of(v, store), store).select("tree", "config_id", "path", "built")
+    return g.verdicts_for(wanted, changed_of(v, store), store).select("tree", "config_id", "path", "built")
 
 
 @query("g17_nearest_config", """
-WITH w AS (SELECT w.tree, w.config_id FROM v_wanted w JOIN v_verdicts d ON d.config_id = w.config_id AND d.guard_id = w.guard_id GROUP BY 1, 2 HAVING bool_and(d.built)),
+WITH w AS (SELECT w.tree, w.config_id FROM v_wanted w JOIN v_verdicts d ON d.config_id = w.config_id AND d.guard_id = w.guard_id WHERE w.rn <= 2 GROUP BY 1, 2 HAVING bool_and(d.built)),
 s AS (SELECT w.tree, w.config_id, c.symbol FROM w JOIN v_config_values c ON c.config_id = w.config_id UNION SELECT w.tree, w.config_id, c.symbol FROM w JOIN v_first_config f ON f.tree = w.tree JOIN v_config_values c ON c.config_id = f.base_id),
 d AS (SELECT w.tree, w.config_id, count(s.symbol) FILTER (a.value IS DISTINCT FROM b.value) AS distance FROM w LEFT JOIN s ON s.config_id = w.config_id JOIN v_first_config f ON f.tree = w.tree
   LEFT JOIN v_config_values a ON a.config_id = w.config_id AND a.symbol = s.symbol LEFT JOIN v_config_values b ON b.config_id = f.base_id AND b.symbol = s.symbol GROUP BY 1, 2)
 SELECT tree, arg_min(config_id, (distance, config_id)) AS config_id, min(distance) AS distance FROM d GROUP BY 1
 """)
 def _(v):
-    return g.nearest_building_config(v("configs"), v("config_values"), wanted_of(v), v("first_config"))
+    return g.nearest_building_config(v("configs"), v("config_values"), wanted_of(v, v("wanted").where("rn <= 2")), v("first_config"))
 
 
 @query("g18_largest_subset", """
@@ -392,6 +393,6 @@ SELECT b.tree, b.config_id, b.included, count(w.path) AS excluded FROM b LEFT JO
 ON w.config_id = b.config_id GROUP BY 1, 2, 3
 """)
 def _(v):
-    best, left = g.largest_buildable_subset(wanted_of(v))
+    best, left = g.largest_buildable_subset(wanted_of(v, v("wanted")))
     out = left.groupBy("tree").agg(F.count(F.lit(1)).alias("excluded"))
     return best.join(out, "tree", "left").na.fill(0, ["excluded"])
