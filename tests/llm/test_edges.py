@@ -9,7 +9,7 @@ from collections import Counter
 
 import pytest
 
-from optlake.llm import decontaminate, lines, mixing, quality, rules, sharding, simhash, toxicity, urls
+from optlake.llm import decontaminate, lines, mixing, quality, rules, sharding, similar, simhash, toxicity, urls
 from optlake.llm.components import components
 
 BLANK = "[^\x20\x09-\x0d]+"
@@ -84,6 +84,15 @@ def test_simhash(odd_docs, no_docs):
     assert simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_similar(odd_docs, no_docs):
+    kept = similar.drop_similar(odd_docs).collect()
+    # blanks and no text are one node; the two long texts and the first two texts are copies
+    assert sorted(r["doc_id"] for r in kept) == [0, 2, 3, 6, 7, 8, 9, 10, 11]
+    assert similar.drop_similar(odd_docs).columns == odd_docs.columns
+    nameless = similar.drop_similar(odd_docs.where("doc_id IS NULL")).collect()
+    assert len(nameless) == 2 and similar.drop_similar(no_docs).count() == 0
+
+
 def test_decontamination(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(7, "Fox jumps, over the lazy dog and runs far away!"), (8, "one"), (9, None), (10, ""), (None, "second line"), (8, "one")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.contamination(odd_docs, bench).collect() if r["doc_id"] is not None}
