@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from optlake.llm import decontaminate, mixing, sharding, simhash, toxicity
+from optlake.llm import decontaminate, mixing, sharding, similar, toxicity
 from optlake.llm.common import table
 from optlake.session import shared_folder
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link."""
-    return simhash.drop_near_duplicates(docs, radius=4, width=4)
+    """One document of each group of texts whose five-word shingles are similar to 0.8."""
+    return similar.drop_similar(docs, width=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
