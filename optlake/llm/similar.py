@@ -9,7 +9,8 @@ compared bit-sliced, as in ``simhash``, with a radius (18 bits) that a pair of s
 sets join them, and exact Jaccard similarity decides close pairs, nearest first, leaving
 out those that are joined already. Only the edges of a forest leave the task.
 
-The first two bands come first; the others only where a bucket holds nodes not joined yet.
+The first two bands are decided first; the others only where a bucket holds nodes not
+joined yet.
 Buckets of more than ``TILE`` nodes are counted beforehand and dealt out as pairs of tiles.
 A task holds the shingle sets of two tiles at most.
 
@@ -114,7 +115,7 @@ def _whole_buckets(batches):
 
 
 def _close(rows: pa.Table, radius: int):
-    """Yields (i, j) of close rows of one bucket, and the roots all rows begin with."""
+    """Yields (i, j) arrays of close rows of one bucket."""
     buckets = rows["bucket"].to_numpy()
     starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
     last = np.repeat(np.r_[starts[1:], len(buckets)], np.diff(np.r_[starts, len(buckets)]))
@@ -123,18 +124,16 @@ def _close(rows: pa.Table, radius: int):
 
 def _roots(rows: pa.Table) -> np.ndarray:
     """For each row the first one of its component."""
-    root = rows["root"].combine_chunks().dictionary_encode()
-    code = root.indices.to_numpy() if isinstance(root, pa.DictionaryArray) else root.combine_chunks().indices.to_numpy()
-    return np.unique(code, return_index=True)[1][np.unique(code, return_inverse=True)[1]]
+    _, first, inverse = np.unique(rows["root"].to_numpy(), return_index=True, return_inverse=True)
+    return first[inverse]
 
 
 def _partnered(radius: int):
     def run(batches):
         for rows in _whole_buckets(batches):
-            root, found = _roots(rows), np.zeros(len(rows), bool)
+            found = np.zeros(len(rows), bool)
             for i, j in _close(rows, radius):
-                apart = root[i] != root[j]
-                found[i[apart]] = found[j[apart]] = True
+                found[i] = found[j] = True
             yield from rows.filter(pa.array(found)).to_batches()
 
     return run
@@ -173,13 +172,13 @@ def _decided(radius: int, similarity: float):
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Buckets with nodes of several components, the large ones as pairs of tiles."""
-    sized = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    """Buckets of several nodes, the large ones as pairs of tiles."""
+    sized = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sized.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "bucket")
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tile = F.when(F.col("tiles") > 1, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("bucket"))
-    return rows.select("node", "fp", "root", tile.alias("bucket"))
+    return rows.select("node", "fp", "band", tile.alias("bucket"))
 
 
 def _by_bucket(rows: DataFrame) -> DataFrame:
@@ -189,18 +188,18 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
 def similar_nodes(sketched: DataFrame, width: int, similarity: float, radius: int, text_col: str) -> DataFrame:
     """(node, root) of every node that is similar to another."""
     nodes = stored(sketched.dropDuplicates(["node"]).select("node", "fp", "keys"))
-    edges, roots = None, None
-    for first, bands in ((1, 2), (3, BANDS - 2)):
-        rooted = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = stored(rooted.select("node", "fp", "root", F.explode(F.slice("keys", first, bands)).alias("bucket")))
-        close = stored(_by_bucket(_dealt(rows)).mapInArrow(_partnered(radius), "node string, fp long, root string, bucket long"))
-        needed = sketched.join(close.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first(F.col(f"doc.`{text_col}`")).alias("text"))
-        sets = stored(_sets(needed, width))
-        found = _by_bucket(close.join(sets, "node")).mapInArrow(_decided(radius, similarity), "src string, dst string")
-        found = stored(found)
-        edges = found if edges is None else edges.unionAll(found)
-        roots = stored(components(edges))
-    return roots
+    rows = nodes.select("node", "fp", F.posexplode("keys").alias("band", "bucket"))
+    close = stored(_by_bucket(_dealt(rows)).mapInArrow(_partnered(radius), "node string, fp long, band int, bucket long"))
+    # texts move once, for all bands
+    needed = sketched.join(close.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first(F.col(f"doc.`{text_col}`")).alias("text"))
+    sets = stored(_sets(needed, width))
+    edges = stored(_by_bucket(close.where("band < 2").withColumn("root", F.col("node")).join(sets, "node")).mapInArrow(_decided(radius, similarity), "src string, dst string"))
+    roots = stored(components(edges))
+    rest = close.where("band >= 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = rest.join(apart, "bucket", "left_semi").join(sets, "node")
+    more = stored(_by_bucket(rest).mapInArrow(_decided(radius, similarity), "src string, dst string"))
+    return stored(components(edges.unionAll(more)))
 
 
 def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col="doc_id", text_col="text") -> DataFrame:
