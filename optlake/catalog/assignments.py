@@ -321,18 +321,36 @@ def _(v):
     return v("recipes").where(a.unsafe_recipe(F.col("body"))).select("recipe_id")
 
 
+# submitted texts: the configuration with lines that no rule takes in front, by the id
+view("v_submitted", """
+SELECT config_id, CASE config_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'FOO=y' || chr(10) WHEN 2 THEN 'stray words' || chr(10) || 'CONFIG_BAD-NAME=y' || chr(10) ELSE ' CONFIG_BAD NAME=m' || chr(10) END || replace(text, 'stray words', '') AS text FROM v_config_texts
+""")
+UNREAD = """
+unread AS (SELECT config_id, CASE config_id % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS n, CASE config_id % 4 WHEN 1 THEN '1: no option prefix' WHEN 2 THEN '1: no assignment' WHEN 3 THEN '1: bad option name' ELSE '' END AS place FROM v_submitted)
+"""
+
+
+@query("j21_rejected_lines", """
+SELECT config_id, 1 AS line_no, CASE config_id % 4 WHEN 1 THEN 'FOO=y' WHEN 2 THEN 'stray words' ELSE ' CONFIG_BAD NAME=m' END AS line, CASE config_id % 4 WHEN 1 THEN 'no option prefix' WHEN 2 THEN 'no assignment' ELSE 'bad option name' END AS reason FROM v_submitted WHERE config_id % 4 > 0
+UNION ALL SELECT config_id, 2, 'CONFIG_BAD-NAME=y', 'bad option name' FROM v_submitted WHERE config_id % 4 = 2
+""")
+def _(v):
+    return src.rejected_lines(v("submitted"))
+
+
 @query("j21_requirement_report", f"""
-WITH {REQ}, bad AS (SELECT config_id, count(*) FILTER (NOT met) AS violations FROM req GROUP BY 1),
+WITH {REQ}, {UNREAD}, bad AS (SELECT config_id, count(*) FILTER (NOT met) AS violations FROM req GROUP BY 1),
 dup AS (SELECT config_id, count(*) AS duplicates FROM (SELECT config_id FROM v_config_lines GROUP BY config_id, symbol HAVING count(*) > 1) GROUP BY 1),
 ine AS (SELECT b.merge_id, count(*) FILTER (coalesce(n.value, 'n') <> b.value) AS ineffective FROM v_base b LEFT JOIN v_next n ON n.merge_id = b.merge_id AND n.symbol = b.symbol GROUP BY 1)
 SELECT p.merge_id, coalesce(b2.violations, 0) AS violations, coalesce(b1.violations, 0) AS baseline_violations, coalesce(i.ineffective, 0) AS ineffective,
-  coalesce(d.duplicates, 0) AS duplicates, CASE WHEN coalesce(b2.violations, 0) > 0 THEN 'violation' ELSE 'pass' END AS status
-FROM v_pairs p LEFT JOIN bad b1 ON b1.config_id = p.base_id LEFT JOIN bad b2 ON b2.config_id = p.next_id LEFT JOIN dup d ON d.config_id = p.base_id LEFT JOIN ine i ON i.merge_id = p.merge_id
+  coalesce(d.duplicates, 0) AS duplicates, coalesce(u2.n, 0) AS unparsed, coalesce(u1.n, 0) AS baseline_unparsed, coalesce(u2.place, '') AS first_unparsed,
+  CASE WHEN coalesce(b2.violations, 0) > 0 THEN 'violation' WHEN coalesce(u2.n, 0) > 0 THEN 'incomplete' ELSE 'pass' END AS status
+FROM v_pairs p LEFT JOIN unread u1 ON u1.config_id = p.base_id LEFT JOIN unread u2 ON u2.config_id = p.next_id LEFT JOIN bad b1 ON b1.config_id = p.base_id LEFT JOIN bad b2 ON b2.config_id = p.next_id LEFT JOIN dup d ON d.config_id = p.base_id LEFT JOIN ine i ON i.merge_id = p.merge_id
 WHERE p.next_id IS NOT NULL
 """)
 def _(v):
     from optlake.plans.requirements import requirement_report
-    return requirement_report(v("pairs").where("next_id IS NOT NULL"), v("guards"), requirements_met(v), v("config_lines"), v("base"), v("next"))
+    return requirement_report(v("pairs").where("next_id IS NOT NULL"), v("guards"), requirements_met(v), v("config_lines"), v("base"), v("next"), src.rejected_lines(v("submitted")))
 
 
 @query("a15_check_rollup", """

@@ -59,6 +59,19 @@ def config_rows(texts: DataFrame, dialect: str = "positions") -> DataFrame:
     )
 
 
+def rejected_lines(texts: DataFrame) -> DataFrame:
+    """Lines that are neither blank, comment nor assignment, as ``(…, line_no, line,
+    reason)``: the second output of ``config_rows``, in the same pass over the text."""
+    rows = config_rows(texts).where("kind = 'unparsed'")
+    bare, name = F.trim("value"), F.substring_index(F.trim("value"), "=", 1)
+    reason = (
+        F.when(~bare.contains("="), "no assignment")
+        .when(~name.startswith("CONFIG_"), "no option prefix")
+        .otherwise("bad option name")
+    )
+    return rows.withColumn("reason", reason).withColumnRenamed("value", "line").drop("symbol", "kind")
+
+
 def fragment_rows(texts: DataFrame) -> DataFrame:
     """Change fragments as ``(…, line_no, kind, symbol, value)``: header, disable, assign."""
     lines = text_lines(texts)
