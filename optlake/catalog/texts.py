@@ -373,6 +373,13 @@ def _(v):
     return lint.search_options(rows, kind="bool", prefix="S1", subsystem="net", text="PROMPT", limit=8)
 
 
+@query("p15_file_list", r"""
+SELECT DISTINCT path FROM v_doc_sources WHERE NOT path LIKE '%/d7.c%' AND NOT list_contains(string_split(path, '/'), 'd11.c') AND (path LIKE '%/d%1.c' OR regexp_full_match(path, 'drivers/[a-s].*/d[2-4].\.c'))
+""")
+def _(v):
+    return lint.list_files(v("doc_sources"), "drivers/", ["*/d*1.c", "drivers/[a-s]*/d[2-4]?.c"], skip=("d7.c", "d11.c"))
+
+
 @query("p16_excerpts", f"WITH {DOC_LINES}, n AS (SELECT path, max(line_no) AS at FROM doc_lines GROUP BY 1) SELECT d.path, n.at AS \"at\", d.line_no, d.line FROM doc_lines d JOIN n ON n.path = d.path WHERE d.line_no BETWEEN n.at - 2 AND n.at + 2")
 def _(v):
     lines = text_lines(v("doc_sources"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from optlake.functions import paths as pt
+from optlake.functions.globs import shell_rlike
 from optlake.plans.scoreboard import first_per_group
 
 SALTS = 32
@@ -308,6 +311,22 @@ def search_options(records: DataFrame, kind: str | None = None, prefix: str | No
     return found if limit is None else found.orderBy("symbol").limit(limit)
 
 
+def list_files(paths: DataFrame, prefix: str = "", globs: list[str] | None = None, skip: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+    """Distinct paths below a directory (or the file of that name) that match any of the
+    globs, in which ``*`` and ``?`` cross slashes; no part of the path is in ``skip``.
+    One pass over the paths, whatever the globs fit; with ``limit``, the first by name."""
+    found = paths.where("path IS NOT NULL").select("path")
+    if prefix:
+        below = prefix.rstrip("/")
+        found = found.where((F.col("path") == below) | F.col("path").startswith(below + "/"))
+    if skip:
+        found = found.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(s) for s in skip])))
+    if globs:
+        found = found.where(reduce(lambda a, b: a | b, [shell_rlike(F.col("path"), g) for g in globs]))
+    found = found.distinct()
+    return found if limit is None else found.orderBy("path").limit(limit)
+
+
 def excerpts(lines: DataFrame, at: DataFrame, context: int) -> DataFrame:
     """Lines around each asked ``(path, line)``. Asked places are widened to their lines,
     so both sides join on equal keys."""

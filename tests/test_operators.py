@@ -191,3 +191,23 @@ def test_choice_selection(spark):
     values = spark.createDataFrame([(1, "x", "y"), (1, "z", "y"), (1, "y", "n"), (2, "x", "m"), (3, "w", None), (3, "other", "y")], "config_id long, symbol string, value string")
     got = {(r.config_id, r.choice): r.selected for r in lint.choice_selection(values, choices).collect()}
     assert got == {(1, "A"): "z", (2, "A"): "y", (3, "B"): "w"}
+
+
+def test_list_files_of_globs(spark):
+    import fnmatch
+
+    paths = ["a/b.c", "a/b/c.h", "a/.git/x.c", "ab/c.c", "a", "z/[x].c", "a/b.c", None]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    listed = lambda **o: [r.path for r in lint.list_files(rows, **o).orderBy("path").collect()]
+    named = sorted({p for p in paths if p})
+    for globs in (["*.c"], ["a/?.c", "*[.]h"], ["[!a]*"], ["*"], ["none"]):
+        assert listed(globs=globs) == [p for p in named if any(fnmatch.fnmatchcase(p, g) for g in globs)]
+    assert listed(prefix="a/", skip=(".git",)) == ["a", "a/b.c", "a/b/c.h"]
+    assert listed(prefix="ab/c.c") == ["ab/c.c"] and listed(limit=2) == named[:2]
+
+
+def test_rejected_lines(spark):
+    text = "# note\nCONFIG_A=y\n\nstray\nFOO=1\nCONFIG_B C=m\n# CONFIG_D is not set\n"
+    rows = spark.createDataFrame([(1, text), (2, ""), (3, None)], "config_id long, text string")
+    got = [(r.config_id, r.line_no, r.line, r.reason) for r in configs.rejected_lines(rows).orderBy("config_id", "line_no").collect()]
+    assert got == [(1, 4, "stray", "no assignment"), (1, 5, "FOO=1", "no option prefix"), (1, 6, "CONFIG_B C=m", "bad option name")]
