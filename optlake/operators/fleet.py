@@ -9,30 +9,68 @@ from pyspark.sql import functions as F
 
 from optlake.functions.globs import literal_head, shell_regex
 from optlake.operators.rules import first_match
+from optlake.operators.salting import dealt
+from optlake.session import cut_lineage
 from optlake.sources.modules import upper_name
 
 # pattern heads are compared at these lengths; longer steps mean smaller join groups
 HEAD_LENGTHS = (0, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 40)
 
 
+def _fixed_fields(plain: Column) -> Column:
+    """The two longest fields that every id fitting a pattern has after its literal head;
+    ``plain`` is the pattern with a star for each class.
+
+    A field is a lower-case letter and all that follows up to the next one. Where a plain
+    stretch of a pattern holds a field and what ends it, the id holds the same field,
+    whatever the wildcards around it stand for.
+    """
+    rest = F.substring(plain, F.length(F.regexp_extract(plain, "^[^*?]*", 0)) + 1, F.length(plain))
+    fields = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[a-z][^a-z*?]+(?=[a-z]|\z)"), 0))
+    longest = F.slice(F.array_sort(F.transform(fields, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1, 2)
+    return F.array_sort(F.transform(longest, lambda s: s["x"]))
+
+
+def _with_letter(fields: Column, letter: Column) -> Column:
+    return F.filter(fields, lambda x: x.startswith(letter))
+
+
+def _alias_sides(ids: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ids (raw, bus)`` and ``patterns (bus, pattern)`` with a join ``key`` that is equal
+    wherever a pattern fits: bus, literal head and fixed fields. The length of the head and
+    the letters of the fields are the pattern's mask; an id gets a key for each mask of its
+    bus, of which there are few."""
+    cut = F.array_max(F.filter(F.array(*[F.lit(n) for n in HEAD_LENGTHS]), lambda n: n <= F.length(literal_head(F.col("pattern")))))
+    plain = F.regexp_replace("pattern", r"\[[^\]]+\]", "*")
+    rows = patterns.select("bus", "pattern", cut.alias("cut"), _fixed_fields(plain).alias("values"))
+    letters = F.array_join(F.transform("values", lambda x: F.substring(x, 1, 1)), "")
+    rows = rows.select("bus", "pattern", "cut", letters.alias("letters"), F.substring("pattern", F.lit(1), F.col("cut")).alias("head"), F.array_join("values", "|").alias("values"))
+    masks = cut_lineage(rows.groupBy("bus").agg(F.collect_set(F.struct("cut", "letters")).alias("masks")))
+    keyed = ids.withColumn("fields", F.array_distinct(F.regexp_extract_all("raw", F.lit("[a-z][^a-z]+"), 0)))
+    keyed = keyed.join(masks, "bus").select("raw", "bus", "fields", F.inline("masks")).where(F.length("raw") >= F.col("cut"))
+    first, second = _with_letter(F.col("fields"), F.substring("letters", 1, 1)), _with_letter(F.col("fields"), F.substring("letters", 2, 1))
+    pairs = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.concat(x, F.lit("|"), y))))
+    values = F.when(F.length("letters") == 0, F.array(F.lit(""))).when(F.length("letters") == 1, first).otherwise(pairs)
+    keyed = keyed.select("raw", "bus", "cut", "letters", F.substring("raw", F.lit(1), F.col("cut")).alias("head"), F.explode(values).alias("values"))
+    key = F.concat_ws("\n", "bus", "cut", "letters", "head", "values").alias("key")
+    return keyed.select("raw", key), rows.select("pattern", key)
+
+
 def match_aliases(devices: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct ``(raw, module)`` matches of device ids against shell patterns.
 
-    A pattern can only match ids that begin with its literal head, so both sides join on
-    the bus and the head cut to one of a few lengths; the pattern is tested on those pairs
-    alone. A hot bus is thereby split by its heads, and equal ids are matched once.
+    Ids and patterns join on the bus, the literal head cut to one of a few lengths, and the
+    values of up to two fields that the pattern fixes further on; only those pairs are
+    tested. Keys that many ids have in common are split. Equal ids are matched once, and a
+    pattern is tested once, however many modules share it.
     """
-    head, tail = literal_head(F.col("pattern")), F.regexp_extract("pattern", r"[^*?\[\]]*$", 0)
-    length = F.array_max(F.filter(F.array(*[F.lit(n) for n in HEAD_LENGTHS]), lambda n: n <= F.length(head)))
-    # each distinct pattern is tested once, however many modules share it
-    patterns = aliases.select("bus", "pattern").distinct().select("bus", "pattern", length.alias("cut"), tail.alias("tail"), shell_regex(F.col("pattern")).alias("regex"))
+    ids = devices.select("raw", F.substring_index("raw", ":", 1).alias("bus")).distinct()
+    left, right = _alias_sides(ids, aliases.select("bus", "pattern").distinct())
     # plain text that must occur is looked for before the expression is run
     longest = F.aggregate(F.split("pattern", r"\*|\?|\[[^\]]+\]"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    patterns = patterns.withColumn("key", F.expr("substr(pattern, 1, cut)")).withColumn("piece", longest)
-    ids = devices.select("raw", F.substring_index("raw", ":", 1).alias("bus")).distinct()
-    cuts = F.filter(F.array(*[F.lit(n) for n in HEAD_LENGTHS]), lambda n: n <= F.length("raw"))
-    keyed = ids.select("raw", "bus", F.explode(cuts).alias("cut")).withColumn("key", F.expr("substr(raw, 1, cut)"))
-    hits = keyed.join(patterns, ["bus", "cut", "key"]).where(F.expr("endswith(raw, tail) AND contains(raw, piece) AND raw RLIKE regex")).select("raw", "pattern")
+    right = right.select("pattern", "key", F.regexp_extract("pattern", r"[^*?\[\]]*$", 0).alias("tail"), longest.alias("piece"), shell_regex(F.col("pattern")).alias("regex"))
+    left, right = dealt(left, right, "key", "raw")
+    hits = left.join(right, ["key", "part"]).where(F.expr("endswith(raw, tail) AND contains(raw, piece) AND raw RLIKE regex")).select("raw", "pattern")
     return hits.join(aliases.select("pattern", "module").distinct(), "pattern").select("raw", "module").distinct()
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from optlake.functions import paths as pt
 from optlake.functions.globs import shell_rlike
+from optlake.operators.salting import dealt
 from optlake.plans.scoreboard import first_per_group
+from optlake.session import cut_lineage
 
 SALTS = 32
 
@@ -69,26 +71,55 @@ def _prefixes(path: Column) -> Column:
     return F.concat(F.array(F.lit("")), deeper)
 
 
+def _triples(texts: Column) -> Column:
+    """Distinct runs of three characters of an array of texts."""
+    each = F.transform(F.filter(texts, lambda x: F.length(x) >= 3), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3))))
+    return F.array_distinct(F.flatten(each))
+
+
+def _plain_parts(regex: Column) -> Column:
+    """Texts that occur in whatever a regular expression finds; none where it has groups,
+    alternatives, counts, letters behind a backslash or nested classes."""
+    open_ = F.regexp_replace(regex, r"\\[^A-Za-z0-9]", "\n")
+    unsure = open_.rlike(r"[|(){}\\]|\[\^?\]|\[[^\]]*\[")
+    # a class, and a character that need not occur, end a part as an anchor does
+    parts = F.split(F.regexp_replace(F.regexp_replace(open_, r"\[[^\]]*\]", "\n"), r"(?s).[*?]", "\n"), r"[\n.*?+^$\[\]]")
+    return F.when(unsure, F.array().cast("array<string>")).otherwise(parts)
+
+
+def _path_pieces(path: Column) -> Column:
+    return F.array_union(F.transform(_prefixes(path), lambda x: F.concat(F.lit("^"), x)), _triples(F.array(path)))
+
+
+def _rarest(patterns: DataFrame, paths: DataFrame) -> DataFrame:
+    """``patterns`` with the ``piece`` of theirs that the fewest paths have: the directory
+    at their literal head, or three characters that must occur."""
+    folder = F.when(F.col("named"), "").otherwise(F.regexp_extract(F.regexp_extract("pattern", r"^[^*?]*", 0), "^(.*/)?", 0))
+    parts = F.when(F.col("named"), _plain_parts(F.col("regex"))).otherwise(F.split("pattern", "[*?]"))
+    pieces = patterns.withColumn("piece", F.explode(F.array_union(F.array(F.concat(F.lit("^"), folder)), _triples(parts))))
+    pieces = cut_lineage(pieces)
+    held = paths.select(F.explode(_path_pieces(F.col("path"))).alias("piece")).join(pieces.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("held"))
+    counted = pieces.join(held, "piece", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    return counted.groupBy(*patterns.columns).agg(F.min_by("piece", F.struct("held", "piece")).alias("piece"))
+
+
 def pattern_matches(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     """``(path, entry_id, field, depth)`` of every pattern that claims a path.
 
-    A pattern can only match below the directory its literal head names, so paths join on
-    their own ancestor directories. Patterns without such a head match anywhere; they are
-    few, and their key is salted so that no task sees all paths.
+    Each distinct pattern is looked up under the rarest piece of text that must occur in
+    what it claims, joined to the pieces of the paths. Patterns without such a piece meet
+    all paths; these, and pieces that many paths have, are split by paths.
     """
-    literal = F.regexp_extract("pattern", r"^[^*?]*", 0)
-    anywhere = F.col("field") == "N"
-    key = F.when(anywhere, "").otherwise(F.regexp_extract(literal, "^(.*/)?", 0))
-    zero, all_ = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(SALTS - 1))
-    sides = patterns.withColumn("key", key).withColumn("salt", F.explode(F.when(F.col("key") == "", all_).otherwise(zero)))
-    keyed = paths.select("path").distinct().withColumn("key", F.explode(_prefixes(F.col("path")))).withColumn(
-        "salt", F.when(F.col("key") == "", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).otherwise(0))
+    kind = ["pattern", "regex", "named", "is_dir", "slash_count"]
+    entries = patterns.withColumn("named", F.col("field") == "N")
+    each = paths.select("path").distinct()
+    chosen = cut_lineage(_rarest(entries.select(*kind).distinct(), each))
+    pieces = each.withColumn("piece", F.explode(_path_pieces(F.col("path"))))
+    left, right = dealt(pieces.join(chosen.select("piece").distinct(), "piece", "left_semi"), chosen, "piece", "path")
     slashes = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
-    # the longest plain piece is looked for before the expression is run
-    longest = F.aggregate(F.split("pattern", "[*?]"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    sides = sides.withColumn("piece", F.when(anywhere, "").otherwise(longest))
-    fits = F.expr("contains(path, piece) AND path RLIKE regex") & (F.col("is_dir") | anywhere | (slashes == F.col("slash_count")))
-    return keyed.join(sides, ["key", "salt"]).where(fits).groupBy("path", "entry_id", "field").agg(F.max(F.when(anywhere, 0).otherwise(F.col("depth"))).alias("depth"))
+    fits = F.expr("path RLIKE regex") & (F.col("is_dir") | F.col("named") | (slashes == F.col("slash_count")))
+    met = left.join(right, ["piece", "part"]).where(fits).select("path", *kind)
+    return met.join(entries.select("entry_id", "field", "depth", *kind), kind).select("path", "entry_id", "field", F.when(F.col("named"), 0).otherwise(F.col("depth")).alias("depth"))
 
 
 def owners(paths: DataFrame, fields: DataFrame) -> DataFrame:

@@ -93,6 +93,47 @@ def test_aliases_against_every_pair(spark):
     assert got == want
 
 
+def test_aliases_of_one_hot_head(spark, monkeypatch):
+    """Nine of ten ids begin alike: all matches are found, and no task gets much more than others."""
+    import fnmatch
+
+    from optlake.operators import salting
+
+    monkeypatch.setattr(salting, "PER_GROUP", 50)
+    rng = random.Random(8)
+    raws = [f"pci:v{8086 if i % 10 else i:08d}d{i:08d}sv{rng.randint(0, 3):04d}sd{rng.randint(0, 9):04d}bc{rng.randint(0, 20):02d}sc00i{i % 3:02d}" for i in range(3000)]
+    patterns = ["pci:v00008086d*", "pci:v00008086*sv*[1-2]*i02", "pci:v0*", "pci:*bc03sc*", "pci:v00008086d*bc0[1-4]sc*i01", "pci:v*sv0001*bc07sc*", "pci:v*sd0003bc04sc00i00", "pci:v00008086d00000011sv*", "usb:*", "pci:v0000808?d*i00"]
+    aliases = spark.createDataFrame([(p, f"m{i}", p.split(":")[0]) for i, p in enumerate(patterns)], "pattern string, module string, bus string")
+    devices = spark.createDataFrame([(r,) for r in raws], "raw string")
+    got = {(r.raw, r.module) for r in fleet.match_aliases(devices, aliases).collect()}
+    assert got == {(r, f"m{i}") for i, p in enumerate(patterns) for r in raws if fnmatch.fnmatchcase(r, p)}
+    ids = devices.withColumn("bus", F.substring_index("raw", ":", 1))
+    left, right = salting.dealt(*fleet._alias_sides(ids, aliases.select("bus", "pattern")), "key", "raw")
+    met = left.repartition(8, "key", "part").withColumn("task", F.spark_partition_id()).join(F.broadcast(right), ["key", "part"])
+    tasks = [r["count"] for r in met.groupBy("task").count().collect()]
+    assert len(tasks) == 8 and max(tasks) < 2 * sum(tasks) / 8
+    # two fixed fields leave hardly more pairs than matches
+    assert left.join(right.where("pattern = 'pci:v*sd0003bc04sc00i00'"), ["key", "part"]).count() <= len(raws) // 10
+
+
+def test_owners_against_every_pair(spark, monkeypatch):
+    """Random patterns of both kinds, with pieces that most paths have, against every pair."""
+    from optlake.operators import salting
+
+    monkeypatch.setattr(salting, "PER_GROUP", 20)
+    rng = random.Random(15)
+    paths = {"/".join(rng.choice(["drivers", "net", "a.c", "x1", "é.b", "u2"]) for _ in range(rng.randint(1, 4))) for _ in range(150)}
+    globs = {"".join(rng.choice(["drivers", "net/", "/", "*", "?", "a.c", "x1", "[", "u2/"]) for _ in range(rng.randint(1, 4))) for _ in range(80)}
+    names = ["net|x1", "[^a-z]x1", "driver(s|x)", "u[0-9]/a\\.c", "ne?t", "driv+ers/", "x1$", "^net", "a{1}", "[]n]et", "nets*/", "rivers.*a.c", "\\bnet", ".", "[a[x]]1", "dri.ers", "é\\.b"]
+    text = "\n\n".join(f"E{i}\n{k}:\t{p}" for i, (k, p) in enumerate([("F", g) for g in sorted(globs)] + [("N", n) for n in names]))
+    fields = builds.owner_fields(spark.createDataFrame([(text,)], "text string"))
+    rows = fields.select("entry_id", "field", "raw", "regex", "is_dir", "slash_count").collect()
+    got = {(r.path, r.entry_id) for r in lint.pattern_matches(spark.createDataFrame([(p,) for p in paths], "path string"), fields).collect()}
+    tested = spark.createDataFrame([(p,) for p in paths], "path string").crossJoin(fields.select("entry_id", "field", "regex", "is_dir", "slash_count"))
+    want = {(r.path, r.entry_id) for r in tested.where("path RLIKE regex").collect() if r.field == "N" or r.is_dir or r.path.count("/") == r.slash_count}
+    assert len(rows) == len(globs) + len(names) and got == want and want
+
+
 def test_owners(spark):
     text = "\n\n".join([
         "EXT2\nM:\ta\nF:\tfs/ext2/\nX:\tfs/ext2/skip*", "FS\nF:\tfs/\nF:\tinclude/fs.h", "REST\nF:\t*\nF:\t*/", "NAMED\nN:\text2", "WILD\nF:\tfs/*/x?.c", "SAME\nF:\tfs/ext2/", "lonely title", "Q: not a title\nF:\tfs/",
