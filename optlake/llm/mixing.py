@@ -9,13 +9,16 @@ A source's rate (target / size) is a number of whole repetitions, which every do
 gets, and a fraction, which a seeded part of the documents gets. Documents fall into
 ``bins`` by a hash of seed, id, source and size; bins are taken in order until the words
 taken are nearest to the target, so a source misses its target by half a bin at most
-(half a document where bins hold one). The bins of a source are pre-aggregated in every
+(half a document where bins hold one). Equal rows share a bin; where the target falls into
+it, of n equal rows as many are taken as its share of the bin asks for, which are numbered
+in parts of the table with counts before each part, so no task gathers them. The bins of a source are pre-aggregated in every
 task: however many rows a source has, no task gathers them.
 
 Defined cases: null and empty texts have size 0 and are taken 0 words; a null source is a
-source of its own; sources without a weight, or of weight 0, get target 0; equal rows get
-equal decisions; an empty table gives an empty result; columns other than the three named
-are not read.
+source of its own; sources without a weight, or of weight 0, get target 0; ties, which are
+equal rows, get equal decisions outside the bin of the target and are interchangeable in it;
+very long texts count whole; an empty table gives an empty result; columns other than the
+three named are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -63,8 +66,9 @@ def water_level(sources: DataFrame, total: float) -> float:
 
 
 def mixing_plan(rows: DataFrame, weights: DataFrame | None = None, ratio: float = 1.5, epochs: int = 2) -> DataFrame:
-    """(source, source_size, target, whole, cut) from the rows of ``sized``: every
-    document is taken ``whole`` times, those in bins below ``cut`` once more."""
+    """(source, source_size, target, whole, cut, at, share) from the rows of ``sized``: every
+    document is taken ``whole`` times, those in bins below ``cut`` once more. The target falls
+    into bin ``at``, of which it takes ``share``."""
     bins = stored(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")))
     sources = bins.groupBy("source").agg(F.sum("words").alias("source_size"))
     weights = cycled_weights(sources) if weights is None else weights.select("source", F.col("weight").cast("double").alias("weight"))
@@ -87,18 +91,44 @@ def mixing_plan(rows: DataFrame, weights: DataFrame | None = None, ratio: float
     more = (F.col("extra") > 0) | (F.col("source_size") == 0)
     cut = F.coalesce(F.max(F.when(more & (F.col("middle") <= F.col("extra")), F.col("bin") + 1)), F.lit(0).cast("long"))
     joined = sources.join(b, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return stored(joined.groupBy("source", "source_size", "target", "whole").agg(cut.alias("cut")))
+    over = F.col("middle") + F.col("words") / 2 > F.col("extra")
+    first = F.min(F.when(over, F.struct("bin", F.try_divide(F.col("extra") - (F.col("middle") - F.col("words") / 2), F.col("words")).alias("share"))))
+    plan = joined.groupBy("source", "source_size", "target", "whole").agg(cut.alias("cut"), first.alias("first"))
+    return stored(plan.select("*", F.col("first.bin").alias("at"), F.col("first.share").alias("share")).drop("first"))
 
 
 def _copies() -> Column:
     return F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("bin") < F.col("cut"), 1).otherwise(0)
 
 
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """``rows (doc_id, source, size, bin)`` beside their source's plan, with ``copies``. Equal
+    rows in the bin where the target falls are told apart by their number."""
+    names = [*rows.columns, "copies"]
+    keyed = rows.withColumn("_key", F.when(F.col("bin") == F.col("at"), F.to_json(F.struct("doc_id", "source", "size"))))
+    equal = keyed.where("_key is not null").groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    equal = stored(equal)
+    if equal.isEmpty():
+        return rows.withColumn("copies", _copies())
+    told = keyed.join(equal, "_key", "left")
+    single = told.where("_n is null").withColumn("copies", _copies())
+    # stored with the part each row lies in, which no later run of a task can change
+    tail = stored(told.where("_n is not null").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tail.groupBy("_key", "_part").agg(F.count("*").alias("_m"))
+    counts = counts.select("_key", "_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("size"))
+    wanted = F.floor(F.col("_n") * F.col("share") + 0.5)
+    tail = tail.join(counts, ["_key", "_part"]).withColumn("_number", F.col("_before") + number)
+    tail = tail.withColumn("copies", F.coalesce("whole", F.lit(0)) + F.when(F.col("_number") <= wanted, 1).otherwise(0))
+    return single.select(names).unionByName(tail.select(names))
+
+
 def mix_sizes(docs: DataFrame, weights: DataFrame | None = None, ratio=1.5, epochs=2, seed=0, bins=4096, **columns) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every document."""
     rows = stored(sized(docs, seed, bins, **columns))
     plan = mixing_plan(rows, weights, ratio, epochs).withColumnRenamed("source", "_source")
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("copies", _copies())
+    joined = _with_copies(rows.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left"))
     return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -108,7 +138,8 @@ def mix_documents(docs: DataFrame, weights: DataFrame | None = None, ratio=1.5,
     columns = {"id_col": id_col, "source_col": source_col, "text_col": text_col}
     plan = mixing_plan(stored(sized(docs, seed, bins, **columns)), weights, ratio, epochs).withColumnRenamed("source", "_source")
     doc = docs.select(F.struct("*").alias("doc"))
-    part = seeded_bin(F.col(f"doc.{id_col}"), F.col(f"doc.{source_col}"), word_count(F.col(f"doc.{text_col}")), seed, bins)
-    joined = doc.withColumn("bin", part).join(plan, F.col(f"doc.{source_col}").eqNullSafe(F.col("_source")), "left")
-    taken = joined.select("doc", _copies().cast("int").alias("copies")).where("copies > 0")
+    doc = doc.select("doc", F.col(f"doc.{id_col}").alias("doc_id"), F.col(f"doc.{source_col}").alias("source"), word_count(F.col(f"doc.{text_col}")).alias("size"))
+    doc = doc.withColumn("bin", seeded_bin(F.col("doc_id"), F.col("source"), F.col("size"), seed, bins))
+    joined = _with_copies(doc.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left"))
+    taken = joined.select("doc", F.col("copies").cast("int").alias("copies")).where("copies > 0")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")

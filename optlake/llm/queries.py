@@ -28,7 +28,8 @@ MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 binned AS (
-  SELECT *, ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '-') || '|' || coalesce(source, '-') || '|' || size::VARCHAR), 1, 8))::BIGINT % 4096 AS bin FROM sized),
+  SELECT *, ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '-') || '|' || coalesce(source, '-') || '|' || size::VARCHAR), 1, 8))::BIGINT % 4096 AS bin,
+         count(*) OVER (PARTITION BY doc_id, source, size) AS n, row_number() OVER (PARTITION BY doc_id, source, size) AS number FROM sized),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight
@@ -50,11 +51,14 @@ filled AS (
   SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bin) - words / 2::DOUBLE AS middle FROM bins),
 cuts AS (
   SELECT p.source, p.source_size, p.target, p.whole,
-         coalesce(max(CASE WHEN middle <= target - whole * source_size AND (target - whole * source_size > 0 OR source_size = 0) THEN bin + 1 END), 0) AS cut
-  FROM plan p LEFT JOIN filled f ON p.source IS NOT DISTINCT FROM f.source GROUP BY ALL)
-SELECT doc_id, b.source, size, source_size, target, whole + CASE WHEN bin < cut THEN 1 ELSE 0 END AS copies,
-       (size * (whole + CASE WHEN bin < cut THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM binned b JOIN cuts c ON b.source IS NOT DISTINCT FROM c.source
+         coalesce(max(CASE WHEN middle <= target - whole * source_size AND (target - whole * source_size > 0 OR source_size = 0) THEN bin + 1 END), 0) AS cut,
+         min(CASE WHEN middle + words / 2::DOUBLE > target - whole * source_size THEN bin END) AS edge,
+         min_by((target - whole * source_size - (middle - words / 2::DOUBLE)) / words, bin) FILTER (middle + words / 2::DOUBLE > target - whole * source_size) AS share
+  FROM plan p LEFT JOIN filled f ON p.source IS NOT DISTINCT FROM f.source GROUP BY ALL),
+taken AS (
+  SELECT b.*, source_size, target, whole + CASE WHEN CASE WHEN bin = edge AND n > 1 THEN number <= floor(n * share + 0.5) ELSE bin < cut END THEN 1 ELSE 0 END AS copies
+  FROM binned b JOIN cuts c ON b.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, source, size, source_size, target, copies, (size * copies)::BIGINT AS taken FROM taken
 """
 
 

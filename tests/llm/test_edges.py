@@ -46,6 +46,21 @@ def test_no_document_above_the_cap(spark):
     assert {r["copies"] for r in got} == {2} and mixing.mix_documents(docs, ratio=5.0).count() == 400
 
 
+def test_sources_of_equal_rows(spark):
+    """A source of one repeated row is near its target too, however the rows are dealt."""
+    rows = [(5, "a b c d e f g h", "same", i) for i in range(1000)] + [(i, "x y " * (i % 7), None, i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key long")
+    got = mixing.mix_sizes(docs.repartition(5)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_sizes(docs.coalesce(1)).collect()))
+    for source, near in (("same", 8), (None, 15)):
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= near
+    assert {r["copies"] for r in got if r["source"] == "same"} == {1, 2}
+    texts = Counter(tuple(r) for r in mixing.mix_documents(docs).collect())
+    assert sum(n for r, n in texts.items() if r[0] == 5 and r[2] == "same") == sum(r["copies"] for r in got if r["source"] == "same")
+    assert max(texts.values()) <= 2
+
+
 def test_water_level_of_given_weights(spark, odd_docs):
     weights = spark.createDataFrame([("s1", 1.0), ("s2", 0.0)], "source string, weight double")
     got = {r["source"]: r["target"] for r in mixing.mix_sizes(odd_docs, weights).collect()}
