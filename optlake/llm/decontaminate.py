@@ -13,7 +13,9 @@ The usual benchmark is one block, searched in one pass without a shuffle.
 
 Defined cases: null and empty texts have no words and are clean; items without words are no
 pattern; equal item ids are one item, null ids one item written as an empty string;
-repeated rows give repeated rows; empty tables give clean or no rows.
+repeated rows give repeated rows; empty tables give clean or no rows; very long texts are
+searched whole; windows that overlap or are equal hit a word once; other columns may have any
+name.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Mahalanobis lengths by triangular solves, and log-determinants) and log priors.
 Defined cases: null and empty texts have the statistics of no text and a score; a null or
 unlabelled id teaches nothing; several labels of an id count as their mean, from 0.5 on as
 1; with no rows of a class, all scores are the share of the other (0.5 without any);
-repeated rows give repeated rows; an empty table gives an empty result.
+repeated rows give repeated rows; an empty table gives an empty result; a score of 0.5 counts as
+1; very long texts count whole; columns not named are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ log ratios, whose size is fixed by ``buckets``, is all that is broadcast.
 
 Defined cases: a null text has no words, lines or n-grams, score 0 and fails the base
 rules; texts shorter than an n-gram have score 0; repeated rows give repeated rows; an
-empty table gives an empty result; where no document is spotless, every ratio is 0.
+empty table gives an empty result; where no document is spotless, every ratio is 0; a
+ratio equal to the threshold is kept; very long texts count whole; columns not named are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ range), so what the driver holds does not grow with the input.
 
 Defined cases: a null text has size 1 and CRC 0; rows with equal id and text are
 interchangeable and get different slots; null ids are allowed; an empty table gives an
-empty result. Columns other than id and text are carried only by ``shard_documents``.
+empty result; a very long text is one row and never cut. Columns other than id and text may
+have any name and are carried only by ``shard_documents``.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ of copies costs one row for each member and never all pairs.
 Defined cases: null and empty texts, and texts of blanks, have fingerprint zero and link
 like any other; a text of fewer words than the shingle is one shingle; null ids are
 ignored when a component's smallest id is taken (null if it has no other); repeated rows
-give repeated rows; an empty table gives an empty result.
+give repeated rows; an empty table gives an empty result; a bit set in just half
+the hashes is 0; very long texts count whole; columns not named are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ The vocabulary's arrays are the only broadcast; their size is that of the file.
 pre-tokens are remembered within a task up to ``REMEMBERED`` entries.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; a special token's string in
-a text is that token; repeated rows give repeated rows; columns not named are not read.
+a text is that token; very long texts count whole, cut as a stream; a count equal to the limit
+is not over it; null ids stay; repeated rows give repeated rows; an empty table gives an empty
+result; columns not named are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ all documents by Newton steps, each one sum over the narrow rows.
 
 Defined cases: null and empty texts have no votes and a score; a null or unlabelled id
 teaches nothing; with no toxic label no stem is mined and the word lists and patterns vote
-alone; repeated rows give repeated rows; an empty table gives an empty result.
+alone; a score of 0.5 counts as toxic; very long texts are read whole; repeated rows give
+repeated rows; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ from collections import Counter
 
 import pytest
 
-from optlake.llm import decontaminate, lines, mixing, quality, rules, sharding, similar, simhash, toxicity, urls
+from optlake.llm import decontaminate, lines, mixing, quality, rules, sharding, similar, simhash, tokens, toxicity, urls
 from optlake.llm.components import components
 
 BLANK = "[^\x20\x09-\x0d]+"
@@ -124,6 +124,23 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert sorted(map(tuple, split), key=str) == sorted(map(tuple, decontaminate.contamination(odd_docs, bench).collect()), key=str)
 
 
+def test_tokens(odd_docs, no_docs):
+    """Null ids and texts, repeated rows and very long texts, against the library itself."""
+    library = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    loaded = library.Tokenizer.from_file(str(path))
+    loaded.no_truncation()
+    loaded.no_padding()
+    got = tokens.token_counts(odd_docs, path)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    known = {t: len(loaded.encode(t, add_special_tokens=False).ids) for t in {r["text"] or "" for r in odd_docs.collect()}}
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()), known[r["text"] or ""], known[r["text"] or ""] > 1024) for r in odd_docs.collect())
+    assert Counter(map(tuple, got.collect())) == want
+    at = known[odd_docs.where("doc_id = 0").first()["text"]]
+    assert not any(r["over_limit"] for r in tokens.token_counts(odd_docs.where("doc_id = 0"), path, limit=at).collect())
+    assert tokens.token_counts(no_docs, path).collect() == []
+
+
 def test_lines(odd_docs, no_docs):
     got = lines.mark_lines(odd_docs).collect()
     expected = Counter((r["doc_id"], i) for r in odd_docs.collect() if r["text"] is not None for i in range(len(r["text"].split("\n"))))
