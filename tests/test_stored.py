@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from optlake.operators import covers
 from optlake.operators import guards as g
 from optlake.session import stored_by
 
@@ -36,3 +37,24 @@ def test_stored_rows_are_the_rows(spark):
     rows = [(None, "a"), (None, "a"), (1, None), (1, None), (2, "b")]
     kept = stored_by(spark.createDataFrame(rows, "tree long, x string"), "tree")
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, rows))
+
+
+def test_rounds_of_a_cover_move_no_rows(spark, monkeypatch):
+    before, plans = {k: spark.conf.get(k) for k in KEYS}, []
+    spark.conf.set(KEYS[0], "-1")
+
+    def watched(df, key):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored_by(df, key)
+
+    monkeypatch.setattr(covers, "stored_by", watched)
+    try:
+        put = lambda rows, schema: stored_by(spark.createDataFrame(rows, schema), "tree")
+        holds = put([(t, c, x) for t in range(5) for c, x in ((1, "a"), (1, "b"), (2, "c"), (3, "c"))], "tree long, config_id long, guard_id string")
+        weights = put([(t, x, 1) for t in range(5) for x in "abc"], "tree long, guard_id string, n long")
+        picks = covers.greedy_cover(holds, weights)
+        assert {tuple(r) for r in picks.collect()} == {(t, *p) for t in range(5) for p in ((1, 1, 2), (2, 2, 1))}
+        assert len(plans) > 4 and not any("Exchange" in p for p in plans)
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
