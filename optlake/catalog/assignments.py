@@ -274,8 +274,12 @@ def _(v):
 view("v_req_literals", """
 SELECT tree, guard_id, gnum, j, symbol, CASE j WHEN 0 THEN 'equals:' || want WHEN 1 THEN 'allowed:y|m' ELSE 'range:0x5..30' END AS want, negated FROM v_literals
 """)
+view("v_req_terms", """
+SELECT tree, guard_id, gnum, j, symbol, CASE j WHEN 0 THEN 'equals:' || want WHEN 1 THEN 'allowed:y|m' ELSE 'range:0x5..30' END AS want, negated FROM v_terms
+""")
 for name in ("guard_nodes", "guard_edges"):
-    view(f"v_req_{name[6:]}", VIEWS[f"v_{name}"][0].replace("v_literals", "v_req_literals"), keep=True)
+    text, check = VIEWS[f"v_{name}"]
+    view(f"v_req_{name[6:]}", text.replace("v_terms", "v_req_terms").replace("v_guard_nodes", "v_req_nodes"), check.replace("v_literals", "v_req_literals"), by="tree")
 REQ = """
 leaf AS (SELECT c.config_id, g.tree, g.guard_id, g.gnum, l.j, l.negated, coalesce(v.value, 'n') AS value, l.want FROM v_configs c JOIN v_guards g ON c.tree = g.tree
   LEFT JOIN v_req_literals l ON l.tree = g.tree AND l.guard_id = g.guard_id LEFT JOIN v_config_values v ON v.config_id = c.config_id AND v.symbol = l.symbol),
