@@ -237,8 +237,7 @@ def _(v):
 @query("j04_owner_attribution", f"WITH {OWNED} SELECT * FROM own")
 def _(v):
     paths = v("objects").select(F.regexp_replace("path", r"\.o$", ".c").alias("path"))
-    hits = lint.owners(paths, owner_rows(v))
-    return hits.join(owner_rows(v).select("entry_id", "title").distinct(), "entry_id").select("path", "title", "depth")
+    return lint.owners(paths, owner_rows(v), "title")
 
 
 EVER = "ever AS (SELECT tree, guard_id, bool_or(built) AS ever FROM v_verdicts GROUP BY 1, 2)"

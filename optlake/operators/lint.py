@@ -103,34 +103,72 @@ def _rarest(patterns: DataFrame, paths: DataFrame) -> DataFrame:
     return counted.groupBy(*patterns.columns).agg(F.min_by("piece", F.struct("held", "piece")).alias("piece"))
 
 
-def pattern_matches(paths: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``(path, entry_id, field, depth)`` of every pattern that claims a path.
+KIND = ["pattern", "regex", "named", "is_dir", "slash_count"]
+
+
+def _met(paths: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(path, pid)`` of every distinct pattern that claims a path, and the patterns with
+    their number ``pid``.
 
     Each distinct pattern is looked up under the rarest piece of text that must occur in
     what it claims, joined to the pieces of the paths. Patterns without such a piece meet
     all paths; these, and pieces that many paths have, are split by paths.
     """
-    kind = ["pattern", "regex", "named", "is_dir", "slash_count"]
-    entries = patterns.withColumn("named", F.col("field") == "N")
     each = paths.select("path").distinct()
-    chosen = cut_lineage(_rarest(entries.select(*kind).distinct(), each))
+    chosen = cut_lineage(_rarest(entries.select(*KIND).distinct(), each).withColumn("pid", F.monotonically_increasing_id()))
     pieces = each.withColumn("piece", F.explode(_path_pieces(F.col("path"))))
     left, right = dealt(pieces.join(chosen.select("piece").distinct(), "piece", "left_semi"), chosen, "piece", "path")
     slashes = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
     fits = F.expr("path RLIKE regex") & (F.col("is_dir") | F.col("named") | (slashes == F.col("slash_count")))
-    met = left.join(right, ["piece", "part"]).where(fits).select("path", *kind)
-    return met.join(entries.select("entry_id", "field", "depth", *kind), kind).select("path", "entry_id", "field", F.when(F.col("named"), 0).otherwise(F.col("depth")).alias("depth"))
+    return left.join(right, ["piece", "part"]).where(fits).select("path", "pid"), chosen.select("pid", *KIND)
+
 
+def _entries(patterns: DataFrame) -> DataFrame:
+    return patterns.withColumn("named", F.col("field") == "N").withColumn("depth", F.when(F.col("named"), 0).otherwise(F.col("depth")))
 
-def owners(paths: DataFrame, fields: DataFrame) -> DataFrame:
-    """Most specific entries that claim each path: ``(path, entry_id, depth)``; ties stay.
-    An entry's exclusions remove it, name patterns count only where no path pattern does."""
-    hits = pattern_matches(paths, fields.where("field IN ('F', 'X', 'N')"))
-    per = hits.groupBy("path", "entry_id").agg(
+
+def pattern_matches(paths: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(path, entry_id, field, depth)`` of every pattern that claims a path."""
+    entries = _entries(patterns)
+    met, kinds = _met(paths, entries)
+    return met.join(kinds, "pid").join(entries.select("entry_id", "field", "depth", *KIND), KIND).select("path", "entry_id", "field", "depth")
+
+
+def _classes(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``sets`` with a number ``name`` for each distinct array ``of``, and the arrays."""
+    sets = cut_lineage(sets)
+    numbered = cut_lineage(sets.select("of").distinct().withColumn(name, F.monotonically_increasing_id()))
+    return sets.join(numbered, "of").drop("of"), numbered
+
+
+def _claims(paths: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(path, class)``, ``(class, kin, depth)`` and ``(kin, entry_id)``: paths that the same
+    patterns claim are a class, entries with the same patterns are kin, and a class is
+    judged once for all its paths and all that are kin."""
+    entries = _entries(fields.where("field IN ('F', 'X', 'N')"))
+    met, kinds = _met(paths, entries)
+    classed, classes = _classes(met.groupBy("path").agg(F.array_sort(F.collect_set("pid")).alias("of")), "class")
+    rule = F.struct("pid", "field", "depth")
+    rules = entries.join(kinds, KIND).groupBy("entry_id").agg(F.array_sort(F.collect_set(rule)).alias("of"))
+    kinned, kin = _classes(rules, "kin")
+    hits = classes.select("class", F.explode("of").alias("pid")).join(kin.select("kin", F.inline("of")), "pid")
+    per = hits.groupBy("class", "kin").agg(
         F.max(F.when(F.col("field") == "F", F.col("depth"))).alias("f"), F.max(F.when(F.col("field") == "N", F.col("depth"))).alias("n"), F.bool_or(F.col("field") == "X").alias("x"))
-    kept = per.where(~F.col("x") & (F.col("f").isNotNull() | F.col("n").isNotNull())).select("path", "entry_id", F.coalesce("f", "n").alias("depth"))
-    best = F.max("depth").over(Window.partitionBy("path"))
-    return kept.withColumn("best", best).where("depth = best").drop("best")
+    kept = per.where(~F.col("x") & (F.col("f").isNotNull() | F.col("n").isNotNull())).select("class", "kin", F.coalesce("f", "n").alias("depth"))
+    best = F.max("depth").over(Window.partitionBy("class"))
+    return classed, cut_lineage(kept.withColumn("best", best).where("depth = best").drop("best")), kinned
+
+
+def owners(paths: DataFrame, fields: DataFrame, name: str = "entry_id") -> DataFrame:
+    """Most specific entries that claim each path: ``(path, entry_id, depth)``, or with the
+    entry's column ``name`` instead of its id; ties stay. An entry's exclusions remove it,
+    name patterns count only where no path pattern does. Rows appear as the answer only;
+    classes of many paths are split."""
+    classed, claims, kinned = _claims(paths, fields)
+    if name != "entry_id":
+        kinned = kinned.join(fields.select("entry_id", name).distinct(), "entry_id")
+    left, right = dealt(classed, claims.join(kinned, "kin").select("class", name, "depth"), "class", "path")
+    return left.join(right, ["class", "part"]).select("path", name, "depth")
 
 
 def source_of(objects: DataFrame, sources: DataFrame) -> DataFrame:
@@ -176,10 +214,13 @@ def blind_spots(objects: DataFrame, ever: DataFrame, sources: DataFrame, fields:
     """Per owner entry: objects no given configuration builds, all its objects, percent.
     Objects nobody owns are counted under a null entry."""
     judged = source_of(objects.join(ever, ["tree", "guard_id"]), sources)
-    claims = owners(judged.select(F.col("source").alias("path")), fields).select(F.col("path").alias("source"), "entry_id")
+    classed, claims, kinned = _claims(judged.select(F.col("source").alias("path")), fields)
     titles = fields.select("entry_id", "title").distinct()
     per = judged.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ever")).alias("b"))
-    rows = per.join(claims, "source", "left").groupBy("entry_id").agg(F.sum("n").alias("objects"), F.sum("b").alias("blind"))
+    # counts meet by class and kin before they are told apart by entry
+    sums = per.join(classed.withColumnRenamed("path", "source"), "source", "left").groupBy("class").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    shared = sums.join(claims, "class", "left").groupBy("kin").agg(F.sum("n").alias("objects"), F.sum("b").alias("blind"))
+    rows = shared.join(kinned, "kin", "left")
     return rows.join(titles, "entry_id", "left").select("title", "blind", "objects", F.round(100.0 * F.col("blind") / F.col("objects"), 1).alias("percent"))
 
 
