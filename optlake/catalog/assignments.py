@@ -289,8 +289,12 @@ req AS (SELECT config_id, tree, guard_id, CASE WHEN gnum = 0 THEN TRUE WHEN gnum
 """
 
 
+def requirement_store(v):
+    return v.once("requirement store", lambda: g.build_store(v("req_nodes"), v("req_edges"), v("guards").select("tree", "guard_id"), a.requirement_leaf))
+
+
 def requirements_met(v):
-    store = v.once("requirement store", lambda: g.build_store(v("req_nodes"), v("req_edges"), v("guards").select("tree", "guard_id"), a.requirement_leaf))
+    store = requirement_store(v)
     return g.guard_verdicts_on(v("configs"), g.changed_verdicts(v("config_values"), store), store)
 
 
@@ -354,7 +358,9 @@ WHERE p.next_id IS NOT NULL
 """)
 def _(v):
     from optlake.plans.requirements import requirement_report
-    return requirement_report(v("pairs").where("next_id IS NOT NULL"), v("guards"), requirements_met(v), v("config_lines"), v("base"), v("next"), src.rejected_lines(v("submitted")))
+    store = requirement_store(v)
+    holding = g.holding_counts(v("configs"), g.changed_verdicts(v("config_values"), store), store)
+    return requirement_report(v("pairs").where("next_id IS NOT NULL"), v("guards"), holding, v("config_lines"), v("base"), v("next"), src.rejected_lines(v("submitted")))
 
 
 @query("a15_check_rollup", """

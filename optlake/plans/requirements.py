@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optlake.operators.assignments import duplicate_assignments
 
-
-def requirement_report(pairs: DataFrame, requirements: DataFrame, met: DataFrame, lines: DataFrame, base: DataFrame, effective: DataFrame, rejected: DataFrame, strict: bool = True) -> DataFrame:
+def requirement_report(pairs: DataFrame, requirements: DataFrame, holding: DataFrame, lines: DataFrame, base: DataFrame, effective: DataFrame, rejected: DataFrame, strict: bool = True) -> DataFrame:
     """Per pair ``(merge_id, tree, base_id, next_id)``: violations of the candidate and of
     the baseline, requests without effect, duplicate assignments, lines of either input
     that no rule took and the first of the candidate's, status.
 
+    ``holding`` are ``(tree, config_id, holds)``, the number of requirements that hold,
     ``rejected`` are ``(config_id, line_no, line, reason)``. A candidate without violations
     is ``incomplete`` if a line of it was not understood, since that may have been an
     option; without ``strict`` such lines are only counted."""
     total = requirements.groupBy("tree").agg(F.count(F.lit(1)).alias("total"))
-    holds = met.groupBy("config_id").agg(F.count(F.lit(1)).alias("holds"))
-    duplicates = duplicate_assignments(lines, ["config_id"]).groupBy("config_id").agg(F.count(F.lit(1)).alias("duplicates"))
+    holds = holding.groupBy("config_id").agg(F.sum("holds").alias("holds"))
+    repeated = lines.groupBy("config_id", "symbol").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    duplicates = repeated.groupBy("config_id").agg(F.count(F.lit(1)).alias("duplicates"))
     now = effective.withColumnRenamed("value", "now")
     ineffective = (
         base.join(now, ["merge_id", "symbol"], "left")
