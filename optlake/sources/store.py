@@ -23,5 +23,6 @@ def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_report(rows: DataFrame, path: str, by: list[str]) -> None:
-    """One JSON folder per value of ``by``, e.g. subject and variant."""
-    rows.write.mode("errorifexists").partitionBy(*by).json(path)
+    """One JSON folder per value of ``by``, e.g. subject and variant. The files are packed, as
+    every line repeats the names of its fields."""
+    rows.write.mode("errorifexists").partitionBy(*by).json(path, compression="gzip")

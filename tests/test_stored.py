@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from optlake.operators import covers
 from optlake.operators import guards as g
 from optlake.session import stored_by
+from optlake.sources import store
 
 KEYS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.sources.bucketing.autoBucketedScan.enabled")
 
@@ -99,3 +100,12 @@ def test_views_of_a_tree_move_no_rows(spark, tmp_path):
             spark.conf.set(k, x)
         for name in ("v_objects", "v_guards"):
             spark.catalog.dropTempView(name)
+
+
+def test_reports_are_packed_and_read_back(spark, tmp_path):
+    rows = [(t, v, "x" * 50) for t in range(500) for v in "ab"]
+    store.write_report(spark.createDataFrame(rows, "t long, view string, x string"), f"{tmp_path}/r", ["view"])
+    assert not list(tmp_path.glob("r/view=*/*.json"))
+    assert sum(f.stat().st_size for f in tmp_path.glob("r/view=*/*.json.gz")) < 20_000
+    back = spark.read.schema("t long, view string, x string").json(f"{tmp_path}/r")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
