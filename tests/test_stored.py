@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from optlake.operators import covers
+from optlake.operators import covers, scores
 from optlake.operators import guards as g
+from optlake.plans import scoreboard
 from optlake.session import stored_by
 from optlake.sources import store
 
@@ -102,6 +103,28 @@ def test_views_of_a_tree_move_no_rows(spark, tmp_path):
             spark.catalog.dropTempView(name)
 
 
+def test_sides_of_configurations_meet_where_their_trees_lie(spark):
+    before = {k: spark.conf.get(k) for k in KEYS}
+    spark.conf.set(KEYS[0], "-1")
+    try:
+        put = lambda rows, schema: stored_by(spark.createDataFrame(rows, schema), "tree")
+        configs = [(t, 10 * t + c) for t in range(5) for c in range(3)]
+        listed, rows = put(configs, "tree long, config_id long"), "tree long, config_id long, path string"
+        objects = put([(t, f"{p}.o") for t in range(5) for p in range(4)] * 2, "tree long, path string")
+        each = scores.sided(listed.join(objects.where("path < '3'"), "tree"), listed.join(objects.where("path > '0.o'"), "tree"), listed)
+        assert "Exchange" not in each._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, each.collect())) == sorted((c, f"{p}.o", p < 3, p > 0) for _, c in configs for p in range(4))
+        # an id under several trees, one of them null, is one configuration
+        p, k = [(1, 7, "a"), (None, 7, "b"), (1, None, "c"), (1, 8, "a")], [(2, 7, "a"), (2, 7, "b"), (2, None, "c"), (None, 8, "d")]
+        found = scoreboard.build_difference(put(p, rows), put(k, rows), put([r[:2] for r in p + k], "tree long, config_id long"))
+        assert sorted(map(tuple, found.collect())) == [(8, "a", "prediction only"), (8, "d", "build only")]
+        sizes = scores.set_sizes(put(p, rows), put(k, rows), put([r[:2] for r in p + k], "tree long, config_id long"))
+        assert {tuple(r) for r in sizes.collect()} == {("both", 3), ("predicted only", 1), ("either", 5)}
+    finally:
+        for key, x in before.items():
+            spark.conf.set(key, x)
+
+
 def test_reports_are_packed_and_read_back(spark, tmp_path):
     rows = [(t, v, "x" * 50) for t in range(500) for v in "ab"]
     store.write_report(spark.createDataFrame(rows, "t long, view string, x string"), f"{tmp_path}/r", ["view"])
