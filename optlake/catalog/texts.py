@@ -20,8 +20,9 @@ from optlake.sources.configs import text_lines
 NL, BS = "chr(10)", "chr(92)"
 
 
-def text_view(name, keys, expr, source, order, sep=NL):
-    view(name, f"SELECT {keys}, listagg({expr}, {sep}) WITHIN GROUP (ORDER BY {order}) AS text FROM {source} GROUP BY {keys}",
+def text_view(name, keys, expr, source, order, sep=NL, by=None):
+    """``by`` are columns of the same groups, by which the rows already lie."""
+    view(name, f"SELECT {keys}, listagg({expr}, {sep}) WITHIN GROUP (ORDER BY {order}) AS text FROM {source} GROUP BY {by or keys}",
          f"SELECT {keys}, string_agg({expr}, {sep} ORDER BY {order}) AS text FROM {source} GROUP BY {keys}", keep=True)
 
 
@@ -33,7 +34,7 @@ SELECT tree, l_orderkey AS ok, l_partkey AS pk, line_no, l_linenumber AS ln, 'dr
    ELSE 'ccflags-y += -DCONFIG_H' || {K} || '=1 -DCONFIG_S' || {K} || ' -D$(CONFIG_Q) $(wildcard $(srctree)/$(src)/w' || {PK} || '/*.c)' END AS entry
 FROM v_lines
 """)
-text_view("v_make_text", "tree, path", "entry", "v_make_rows", "line_no")
+text_view("v_make_text", "tree, path", "entry", "v_make_rows", "line_no", by="tree, path, ok")
 PHYS = "(line_no + CASE WHEN ln > 2 THEN (SELECT count(*) FROM v_make_rows z WHERE z.ok = m.ok AND z.ln = 2) ELSE 0 END)"
 NAMED = f"""
 named AS (SELECT tree, path, {PHYS} AS line_no, 'CONFIG_S' || pk % 40 AS symbol, ln, pk, ok FROM v_make_rows m WHERE ln IN (1, 4)
@@ -144,7 +145,8 @@ def _(v):
 
 @query("j02_option_use", f"WITH {NAMED} SELECT DISTINCT 'CONFIG_S' || k AS symbol, 'CONFIG_S' || k IN (SELECT symbol FROM named) AS used FROM v_decl")
 def _(v):
-    return lint.option_use(declared(v), bindings(v))
+    # only the names are asked for, so the lines they stand on are neither made nor written
+    return lint.option_use(declared(v), b.symbol_lines(v("make_text")).select("symbol"))
 
 
 view("v_source_paths", """

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from optlake.catalog import registry, texts  # noqa: F401
 from optlake.operators import covers, scores
 from optlake.operators import guards as g
 from optlake.plans import scoreboard
@@ -132,3 +133,20 @@ def test_reports_are_packed_and_read_back(spark, tmp_path):
     assert sum(f.stat().st_size for f in tmp_path.glob("r/view=*/*.json.gz")) < 20_000
     back = spark.read.schema("t long, view string, x string").json(f"{tmp_path}/r")
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_build_files_are_put_together_where_their_lines_lie(spark):
+    before = {k: spark.conf.get(k) for k in KEYS}
+    try:
+        lines = [(None if o == 3 else o % 2, o, 41, 1 if n % 2 else 6, n) for o in range(4) for n in (3, 1, 2)]
+        stored_by(spark.createDataFrame(lines, "tree long, l_orderkey long, l_partkey long, l_linenumber int, line_no int"), "l_orderkey").createOrReplaceTempView("v_lines")
+        files = spark.sql(registry.with_views(registry.VIEWS["v_make_text"][0], 0, {"v_lines"}))
+        assert files.columns == ["tree", "path", "text"]
+        assert "Exchange" not in files._jdf.queryExecution().executedPlan().toString()
+        odd, even = "obj-$(CONFIG_S1) += f41.o sub41/g-x.o CONFIG_S1", "obj-y += $(LIST_A) $(NOPE)"
+        want = {(None if o == 3 else o % 2, f"drivers/o{o}/Makefile", "\n".join((odd, even, odd))) for o in range(4)}
+        assert {tuple(r) for r in files.collect()} == want
+    finally:
+        spark.catalog.dropTempView("v_lines")
+        for k, x in before.items():
+            spark.conf.set(k, x)
