@@ -2,15 +2,20 @@
 
 import inspect
 import itertools
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from optlake.llm import decontaminate, lines, mixing, quality, rules, sharding, similar, simhash, tokens, toxicity, urls
+from optlake.llm.common import stored
 from optlake.llm.components import components
+from optlake.session import run_folder, stored_by
 
 BLANK = "[^\x20\x09-\x0d]+"
 
@@ -189,6 +194,37 @@ def test_lines_of_crowded_buckets(spark):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_signatures_by_part(spark):
+    """What is found by parts of the hashes, of long lines, is what all positions give; short and
+    uniform lines are among them."""
+    rng = random.Random(7)
+    texts = ["x", "ab " * 400, "x" * 900, *("".join(rng.choice("abcdefgh é日🙂") for _ in range(n)) for n in [3, 30, 47, 48, 49, 60, 90, 300, 2000] * 4)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line_id long, line string")
+    texts = stored_by(rows.groupBy("line_id").agg(F.first("line").alias("line")), "line_id", dealt=True)
+    for bands, each in ((8, 3), (2, 1)):
+        want, got = lines.signatures(rows, 5, bands, each), lines._stored_signatures(texts, 5, bands, each)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_similar_lines_leave_only_links(spark):
+    """Texts, signatures and candidates are gone when the links are there; a stored table keeps no
+    shuffle files."""
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(i, " ".join(rng.choice("abc") * 6 for _ in range(30))) for i in range(200)], "line_id long, line string")
+    folder, local = run_folder(spark), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f"{d}/{x}" for d, _, names in os.walk(folder) for x in names if x.endswith(".parquet")}
+    wait = lambda f: any(f() or time.sleep(0.1) for _ in range(50))
+    shuffled = lambda: {x for at in local for _, _, names in os.walk(at.getPath()) for x in names if x.startswith("shuffle_")}
+    kept = shuffled()
+    stored(rows.groupBy("line").agg(F.min("line_id").alias("line_id")))
+    assert wait(lambda: not shuffled() - kept)
+    before = files()
+    links = lines.similar_lines(rows)
+    links.collect()
+    assert {tuple(spark.read.parquet(x).columns) for x in files() - before} <= {("src", "dst"), ("u", "v")}
+
+
 def test_line_bands():
     """A pair at the wanted similarity shares a bucket with a chance of at least 99.5%."""
     for f in (lines.similar_lines, lines.mark_lines):
