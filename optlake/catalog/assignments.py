@@ -204,7 +204,8 @@ JOIN v_base b ON b.merge_id = l.merge_id AND b.symbol = l.symbol AND b.value IN
 LEFT JOIN v_next n ON n.merge_id = l.merge_id AND n.symbol = l.symbol WHERE coalesce(n.value, 'missing') NOT IN ('y', 'm')
 """)
 def _(v):
-    return a.lost_load_bearing(v("load_bearing"), v("base"), v("next"))
+    base = v("base")
+    return a.lost_load_bearing(a.bearing_symbols(v("pairs"), v("literals"), base), base, v("next"))
 
 
 @query("j19_config_check", """

@@ -92,6 +92,16 @@ def removals(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return kept.unionByName(added)
 
 
+def bearing_symbols(pairs: DataFrame, literals: DataFrame, base: DataFrame) -> DataFrame:
+    """``(merge_id, symbol, reason)``: the options that guards of its tree name, for every merge
+    that has a next configuration, among those its base has on; others can't be lost. What a base
+    has on meets the different options of the tree, so options aren't listed merge by merge."""
+    on = base.where("value IN ('y', 'm')").select("merge_id", "symbol").distinct()
+    asked = pairs.where("next_id IS NOT NULL").select("tree", "merge_id").distinct().join(on, "merge_id")
+    rows = asked.join(literals.select("tree", "symbol").distinct(), ["tree", "symbol"], "left_semi")
+    return rows.select("merge_id", "symbol", F.lit("guards an object").alias("reason")).distinct()
+
+
 def lost_load_bearing(load_bearing: DataFrame, base: DataFrame, merged: DataFrame) -> DataFrame:
     """Load-bearing symbols ``(merge_id, symbol, reason)`` that were on and no longer are."""
     was = base.select("merge_id", "symbol", F.col("value").alias("was"))
